@@ -76,9 +76,9 @@ spots AS (
   SELECT doc_id, size, i, array_to_string(w[i + 1:i + size], ' ') AS gram
   FROM (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS i FROM docs, sizes WHERE len(w) >= size)),
 hits AS (SELECT doc_id, s.size, i, item_id FROM spots s JOIN wins USING (size, gram)),
-at AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN at USING (doc_id) LEFT JOIN named USING (doc_id)""",
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
 }
