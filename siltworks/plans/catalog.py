@@ -1,6 +1,368 @@
-"""Queries by name, with the SQL that gives the same rows."""
+"""Queries by name, with the DuckDB SQL that gives the same rows.
+
+Source-code queries run on the corpus of siltworks.plans.corpus, the others on the driver's tables as stand-in inputs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltworks.functions import fixed, resources
+from siltworks.operators import extract, report, resolve, rewrite
+from siltworks.plans import corpus
+from siltworks.session import table
+from siltworks.sources.files import lines_of, zip_route
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its name, with its SQL if it has one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(corpus.corpus(spark, sf_dir))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_SRC = "WITH " + corpus.SQL
+_DIM = f"dim(ord, prefix, group_id, artifact_id, version) AS (VALUES {_values([(i, *r) for i, r in enumerate(fixed.LIBRARIES)])})"
+_AX = f"ax(ord, prefix, group_id, artifact_id, version) AS (VALUES {_values([(i, *r) for i, r in enumerate(fixed.ANDROIDX)])})"
+_IMPORTS = r"""imports AS (SELECT path, line_no, trim(regexp_replace(regexp_replace(regexp_replace(trim(line)[8:], '^static ', ''), ';$', ''), '\.\*$', '')) AS import FROM lines WHERE trim(line) LIKE 'import %')"""
+_PACKAGES = """packages AS (SELECT path, line_no, trim(regexp_replace(trim(line)[9:], ';$', '')) AS package FROM lines WHERE trim(line) LIKE 'package %')"""
+_ALL_PACKAGES = r"all_packages AS (SELECT package FROM packages UNION SELECT regexp_extract(import, '^(.*)\.', 1) FROM imports)"
+_CATEGORY = f"""CASE WHEN package LIKE 'android.%' OR package LIKE 'java.%' OR package LIKE 'javax.%' THEN 'platform' WHEN package LIKE 'androidx.%' THEN 'androidx'
+ WHEN package LIKE 'com.google.android.gms%' OR package LIKE 'com.google.firebase%' THEN 'google'
+ WHEN {' OR '.join(f"starts_with(package, '{p}')" for p in fixed.THIRD_PARTY)} THEN 'third_party' ELSE 'app' END"""
+_LIBRARY_HITS = """library_hits AS (SELECT * FROM (SELECT i.import, d.*, row_number() OVER (PARTITION BY i.import ORDER BY i.import <> d.prefix, d.ord) AS n
+ FROM (SELECT DISTINCT import FROM imports) i JOIN dim d ON starts_with(i.import, d.prefix)) WHERE n = 1)"""
+_AX_HITS = """ax_hits AS (SELECT * FROM (SELECT p.package, d.*, row_number() OVER (PARTITION BY p.package ORDER BY d.ord) AS n
+ FROM all_packages p JOIN ax d ON starts_with(p.package, d.prefix)) WHERE n = 1)"""
+_RESOLVED = f"""{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES}, {_DIM}, {_AX}, {_LIBRARY_HITS}, {_AX_HITS},
+staged AS (SELECT DISTINCT group_id || ':' || artifact_id AS coordinate, version, CAST(0.95 AS FLOAT) AS confidence, 0 AS stage FROM ax_hits
+ UNION SELECT DISTINCT group_id || ':' || artifact_id, version, CAST(0.85 AS FLOAT), 1 FROM library_hits),
+resolved AS (SELECT coordinate, arg_max(version, (stage, version)) AS version, arg_max(confidence, (stage, version)) AS confidence, min(stage) AS first_stage FROM staged GROUP BY coordinate)"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    found = extract.imports(lines)
+    every = extract.packages(lines).select("package").union(found.select(extract.package_of(F.col("import")))).distinct()
+    return resolve.resolve(spark, found, every)
+
+
+@query(_RESOLVED + " SELECT coordinate, version, confidence, first_stage FROM resolved")
+def dependency_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).orderBy(F.desc("confidence"), "first_stage", "coordinate")
+
+
+@query(_RESOLVED + " SELECT CASE WHEN confidence >= CAST(0.8 AS FLOAT) THEN 'high' WHEN confidence >= CAST(0.6 AS FLOAT) THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM resolved GROUP BY 1")
+def confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).groupBy(resolve.tier(F.col("confidence")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query(_RESOLVED + " SELECT coordinate, version FROM resolved WHERE confidence >= CAST(0.85 AS FLOAT)")
+def build_dependency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).filter(F.col("confidence") >= F.lit(0.85).cast("float")).select("coordinate", "version")
+
+
+@query(_RESOLVED + """ SELECT coordinate, version FROM resolved UNION ALL SELECT 'com.google.android.material:material', '1.11.0'
+ WHERE EXISTS (SELECT 1 FROM resolved WHERE coordinate LIKE '%appcompat%') AND NOT EXISTS (SELECT 1 FROM resolved WHERE coordinate = 'com.google.android.material:material')""")
+def conditional_put_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.put_if_absent(_resolved(spark, sf_dir).select("coordinate", "version"), "appcompat", "com.google.android.material:material", "1.11.0")
+
+
+@query(f"{_SRC}, {_IMPORTS} SELECT DISTINCT import FROM imports")
+def import_extract_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.imports(_lines(spark, sf_dir)).select("import").distinct()
+
+
+@query(f"{_SRC}, {_PACKAGES} SELECT path, line_no, package FROM packages")
+def package_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.packages(_lines(spark, sf_dir))
+
+
+@query(rf"{_SRC} SELECT path, line_no, regexp_extract(line, '{fixed.CLASS}', 1) AS class FROM lines WHERE regexp_extract(line, '{fixed.CLASS}', 1) <> ''")
+def class_decl_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.classes(_lines(spark, sf_dir))
+
+
+@query(rf"{_SRC} SELECT path, line_no, unnest(regexp_extract_all(line, '{fixed.METHOD}', 1)) AS method FROM lines")
+def method_name_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.methods(_lines(spark, sf_dir))
+
+
+@query(f"{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES} SELECT {_CATEGORY} AS category, count(*) AS n FROM all_packages GROUP BY 1")
+def package_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    every = extract.packages(lines).select("package").union(extract.imports(lines).select(extract.package_of(F.col("import")))).distinct()
+    return every.groupBy(extract.category(F.col("package")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_SRC}, {_IMPORTS}, {_DIM}, {_LIBRARY_HITS} SELECT import, prefix, group_id, artifact_id FROM library_hits")
+def prefix_join_exact_then_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.first_match(extract.imports(_lines(spark, sf_dir)), "import", resolve.dimension(spark, fixed.LIBRARIES), True).select("import", "prefix", "group_id", "artifact_id")
+
+
+@query(f"{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES}, {_AX}, {_AX_HITS} SELECT package, prefix, artifact_id FROM ax_hits")
+def prefix_join_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    every = extract.packages(lines).select("package").union(extract.imports(lines).select(extract.package_of(F.col("import")))).distinct()
+    return resolve.first_match(every, "package", resolve.dimension(spark, fixed.ANDROIDX)).select("package", "prefix", "artifact_id")
+
+
+_UNKNOWN = f"""{_SRC}, {_IMPORTS}, {_DIM}, known AS (SELECT DISTINCT group_id AS known FROM dim UNION SELECT unnest({list(fixed.PLATFORM)})),
+unknown AS (SELECT DISTINCT regexp_extract(import, '([^.]*)$', 1) AS name FROM imports i WHERE NOT EXISTS (SELECT 1 FROM known k WHERE starts_with(i.import, k.known)))"""
+
+
+@query(_UNKNOWN + " SELECT name FROM unknown")
+def unknown_imports_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.unknown_imports(spark, extract.imports(_lines(spark, sf_dir)))
+
+
+@query(_UNKNOWN + " SELECT name FROM unknown ORDER BY name LIMIT 15")
+def unknown_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.unknown_imports(spark, extract.imports(_lines(spark, sf_dir))).orderBy("name").limit(15)
+
+
+_SDK = ("com.skt", "com.nice", "com.visa")
+
+
+@query(f"{_SRC}, {_IMPORTS} SELECT path, import FROM imports WHERE " + " OR ".join(f"(import = '{p}' OR starts_with(import, '{p}.'))" for p in _SDK))
+def sdk_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefixes = spark.sql(f"SELECT * FROM VALUES {_values([(p,) for p in _SDK])} AS t(prefix)")
+    return extract.under_prefixes(extract.imports(_lines(spark, sf_dir)).select("path", "import"), "import", prefixes, True)
+
+
+@query(f"{_SRC}, {_PACKAGES} SELECT path, package FROM packages WHERE NOT (package = 'com.acme.m3' OR starts_with(package, 'com.acme.m3.'))")
+def library_exclusion_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefixes = spark.sql("SELECT 'com.acme.m3' AS prefix")
+    return extract.under_prefixes(extract.packages(_lines(spark, sf_dir)).select("path", "package"), "package", prefixes, False)
+
+
+_TOKENS = r"tokens AS (SELECT source, unnest(regexp_extract_all(text, '\pL[\pL0-9_]*')) AS token FROM documents)"
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}0-9_]*"), F.lit(0))).alias("token"))
+
+
+@query(f"WITH {_TOKENS} SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(token, '{fixed.OBFUSCATED}')) AS bad FROM tokens GROUP BY source")
+def obfuscated_name_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(extract.obfuscated(F.col("token"))).alias("bad"))
+
+
+@query(f"""WITH {_TOKENS}, counted AS (SELECT source, CAST(CAST(count(*) FILTER (regexp_matches(token, '{fixed.OBFUSCATED}')) AS DOUBLE) / count(*) AS FLOAT) AS r FROM tokens GROUP BY source)
+SELECT source, CASE WHEN CAST(r AS DOUBLE) < 0.1 THEN 'NONE' WHEN CAST(r AS DOUBLE) < 0.3 THEN 'LIGHT' WHEN CAST(r AS DOUBLE) < 0.6 THEN 'MODERATE' ELSE 'HEAVY' END AS level FROM counted""")
+def obfuscation_level_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = obfuscated_name_flag(spark, sf_dir)
+    return counts.select("source", extract.obfuscation_level(F.col("bad"), F.col("n")).alias("level"))
+
+
+@query("""WITH d AS (SELECT CAST(len(string_split(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '/')) AS INTEGER) AS depth FROM pages),
+h AS (SELECT depth, count(*) AS n FROM d GROUP BY depth)
+SELECT depth, n, (SELECT coalesce(sum(n) FILTER (depth <= 2), 0) > 3 * coalesce(sum(n) FILTER (depth > 2), 0) FROM h) AS flattened FROM h""")
+def depth_histogram_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    depth = F.size(F.split(F.regexp_replace("url", "^[a-z]+://[^/]*/?", ""), "/"))
+    return report.depth_histogram(table(spark, sf_dir, "pages").select(depth.alias("depth")))
+
+
+@query("WITH s AS (SELECT text FROM documents ORDER BY doc_id LIMIT 20) SELECT count(*) AS n, count(*) FILTER (NOT contains(text, '. ')) AS absent, count(*) FILTER (NOT contains(text, '. ')) > count(*) * 0.8 AS flagged FROM s")
+def sampled_comment_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = table(spark, sf_dir, "documents").orderBy("doc_id").limit(20)
+    absent = F.count_if(~F.col("text").contains(". "))
+    return sample.agg(F.count("*").alias("n"), absent.alias("absent"), (absent > F.count("*") * F.lit(0.8)).alias("flagged"))
+
+
+@query(rf"{_SRC}, c AS (SELECT path, regexp_extract(line, '{fixed.CLASS}', 1) AS class FROM lines) SELECT path, class, regexp_matches(class, '^I[A-Z]|(Listener|Callback|Handler|Observer)$') AS is_interface FROM c WHERE class <> ''")
+def interface_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.classes(_lines(spark, sf_dir)).select("path", "class", F.col("class").rlike("^I[A-Z]|(?:Listener|Callback|Handler|Observer)$").alias("is_interface"))
+
+
+@query(f"{_SRC} SELECT path, contains(content, 'JADX ERROR') OR contains(content, 'Method not decompiled') AS failed FROM corpus")
+def error_marker_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.corpus(spark, sf_dir).select("path", report.error_marker(F.col("content")).alias("failed"))
+
+
+def _rewrite(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: corpus.corpus(spark, sf_dir).select("path", f(F.col("content")).alias("content"))
+
+
+def _register(name: str, f: Callable, sql: str) -> None:
+    QUERIES[name] = _rewrite(f)
+    ORACLE_SQL[name] = f"{_SRC} SELECT path, {sql} AS content FROM corpus"
+
+
+_r = lambda x, p, new: f"regexp_replace({x}, '{p}', '{new}', 'g')"
+_UNKNOWN_TYPES = f"regexp_replace({_r(_r('content', r'\?\?\s+(\w+)\s*;', r'Object \1;'), r'\?\?\s+(\w+)\s*=\s*([^;]+);', r'Object \1 = \2;')}, '(?m)^\\s*\\?\\?\\s*[^;]*;?\\s*$', '// JADX FIX: removed unknown type', 'g')"
+_CALLS = _r(_r(_r("content", r"\(\s*,\s*\)", "()"), r"\(\s*,", "(null,"), r",\s*\)", ")")
+_BOOL = "content"
+for _op, _word, _new in (("==", "true", "!= 0"), ("==", "false", "== 0"), ("!=", "true", "== 0"), ("!=", "false", "!= 0")):
+    _BOOL = _r(_BOOL, rf"(\w+)\s*{_op}\s*{_word}\b", rf"\1 {_new}")
+_CODE = r"""regexp_replace(content, '(?s)"(\\.|[^"\\])*("|\\?\z)|''(\\.|[^''\\])*(''|\\?\z)|//[^\n]*|/\*.*?(\*/|\z)', '', 'g')"""
+_BALANCE = f"(len(regexp_replace({_CODE}, '[^{{]', '', 'g')) - len(regexp_replace({_CODE}, '[^}}]', '', 'g')))"
+_register("rewrite_unknown_type", rewrite.unknown_types, _UNKNOWN_TYPES)
+_register("rewrite_malformed_calls", rewrite.malformed_calls, _CALLS)
+_register("rewrite_int_boolean", rewrite.int_booleans, _BOOL)
+_register("closing_brace_repair", rewrite.close_braces, f"CASE WHEN {_BALANCE} > 0 THEN regexp_replace(content, '\\s+\\z', '') || chr(10) || repeat(chr(125) || chr(10), CAST({_BALANCE} AS BIGINT)) ELSE content END")
+
+
+@query(f"{_SRC} SELECT path, CAST({_BALANCE} AS BIGINT) AS balance FROM corpus")
+def brace_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.corpus(spark, sf_dir).select("path", rewrite.brace_balance(F.col("content")).cast("long").alias("balance"))
+
+
+@query(f"{_SRC}, wanted(ord, name, import) AS (VALUES {_values([(i, *r) for i, r in enumerate(fixed.WELL_KNOWN)])})" + r"""
+SELECT path, 'import ' || import || ';' AS added FROM corpus, wanted WHERE contains(content, 'package ') AND contains(content, name) AND NOT contains(content, 'import ' || import)
+ AND NOT contains(content, 'import android.graphics.*') AND NOT contains(content, 'import ' || regexp_replace(import, '\.[^.]*$', '') || '.*')""")
+def missing_imports_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.corpus(spark, sf_dir).select("path", F.explode(rewrite.missing_imports(F.col("content"))).alias("added"))
+
+
+_INVALID = " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in fixed.INVALID)
+
+
+@query(f"{_SRC} SELECT path, CAST({_INVALID} AS BIGINT) AS n FROM corpus")
+def invalid_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.corpus(spark, sf_dir).select("path", rewrite.invalid_patterns(F.col("content")).cast("long").alias("n"))
+
+
+@query(f"{_SRC} SELECT path FROM corpus WHERE {_INVALID} < 2")
+def drop_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.corpus(spark, sf_dir).filter(rewrite.invalid_patterns(F.col("content")) < 2).select("path")
+
+
+@query(f"""{_SRC}, e AS (SELECT *, trim(line) AS t, CASE WHEN regexp_matches(trim(line), '^(return |return;|throw )') AND trim(line) LIKE '%;' THEN 'end'
+ WHEN regexp_matches(trim(line), '^([}}]|else|case |default:|catch|finally)') THEN 'resume' END AS event FROM lines),
+s AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM e)
+SELECT path, line_no, line FROM s WHERE state = 'end' AND NOT regexp_matches(t, '^([}}]|else|case |default:|catch|finally)') AND t <> '' AND t NOT LIKE '//%'""")
+def unreachable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.unreachable(_lines(spark, sf_dir)).filter("dead").select("path", "line_no", "line")
+
+
+_LINE_BALANCE = _BALANCE.replace("content", "line")
+
+
+@query(rf"""{_SRC}, d AS (SELECT *, trim(line) AS t, {_LINE_BALANCE} AS d FROM lines),
+s AS (SELECT *, sum(d) OVER (PARTITION BY path ORDER BY line_no) AS run FROM d)
+SELECT a.path, a.line_no, min(b.line_no) AS end_no FROM s a JOIN s b ON a.path = b.path AND b.line_no > a.line_no AND b.line_no <= a.line_no + 501 AND b.run <= a.run - a.d
+WHERE regexp_matches(a.t, '^(public|private|protected|static)\s.*\(.*\{{$') GROUP BY a.path, a.line_no""")
+def method_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.method_spans(_lines(spark, sf_dir))
+
+
+_PATHS = "paths AS (SELECT p_partkey AS k, concat('res/', CASE p_partkey % 6 WHEN 0 THEN 'values-ko' WHEN 1 THEN 'drawable-hdpi-v4' WHEN 2 THEN 'layout' WHEN 3 THEN 'Mipmap-xhdpi' WHEN 4 THEN 'odd' ELSE 'xml' END, '/', replace(p_name, ' ', '-'), CASE WHEN p_partkey % 2 = 0 THEN '.xml' ELSE '.9.png' END) AS path FROM part)"
+_TYPES = list(resources.TYPES)
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expr = _PATHS[_PATHS.index("concat(") : _PATHS.rindex(" AS path")]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(expr).alias("path"))
+
+
+_KIND = "lower(string_split(string_split(path, '/')[2], '-')[1])"
+
+
+@query(f"WITH {_PATHS} SELECT CASE WHEN list_contains({_TYPES}, {_KIND}) THEN upper({_KIND}) ELSE 'UNKNOWN' END AS type, count(*) AS n FROM paths GROUP BY 1")
+def resource_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).groupBy(resources.resource_type(F.split("path", "/")[1]).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PATHS} SELECT k, array_to_string(string_split(string_split(path, '/')[2], '-')[2:], ',') AS qualifiers FROM paths")
+def resource_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("k", F.array_join(resources.qualifiers(F.split("path", "/")[1]), ",").alias("qualifiers"))
+
+
+@query(rf"""WITH {_PATHS}, f AS (SELECT k, regexp_extract(path, '[^/]*$') AS name FROM paths), s AS (SELECT k, name,
+ regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(name, '\.[^.]*$', '')), '[^a-z0-9_]', '_', 'g'), '^[_0-9]+', ''), '_+', '_', 'g') AS base FROM f)
+SELECT k, CASE WHEN base = '' THEN 'res_' ELSE base END || '.' || regexp_extract(name, '([^.]*)$', 1) AS name FROM s""")
+def sanitize_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("k", resources.sanitized(F.substring_index("path", "/", -1)).alias("name"))
+
+
+_ENTRIES = """entries AS (SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN 'classes.dex' WHEN 1 THEN concat('classes', p_partkey, '.dex') WHEN 2 THEN concat('lib/arm64-v8a/lib', p_partkey, '.so')
+ WHEN 3 THEN concat('lib/x86/lib', p_partkey, '.so') WHEN 4 THEN 'lib/x.so' WHEN 5 THEN concat('assets/a/', p_partkey) WHEN 6 THEN 'AndroidManifest.xml' ELSE 'META-INF/x' END AS entry FROM part)"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(_ENTRIES[_ENTRIES.index("CASE p_") : _ENTRIES.rindex(" AS entry")]).alias("entry"))
+
+
+@query(f"""WITH {_ENTRIES}, r AS (SELECT CASE WHEN entry LIKE '%.dex' THEN 'dex' WHEN regexp_matches(entry, '^lib/[^/]+/.+\\.so$') THEN 'native' WHEN entry LIKE 'assets/%' THEN 'assets'
+ WHEN entry = 'AndroidManifest.xml' OR entry = 'resources.arsc' OR entry LIKE 'res/%' THEN 'resources' END AS route FROM entries) SELECT route, count(*) AS n FROM r WHERE route IS NOT NULL GROUP BY route""")
+def zip_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir).select(zip_route("entry").alias("route")).filter("route IS NOT NULL").groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ENTRIES} SELECT string_split(entry, '/')[2] AS abi, count(*) AS n, min(entry) AS first FROM entries WHERE regexp_matches(entry, '^lib/[^/]+/.+\\.so$') GROUP BY 1")
+def native_libs_by_abi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    native = _entries(spark, sf_dir).filter(zip_route("entry") == "native")
+    return native.groupBy(F.split("entry", "/")[1].alias("abi")).agg(F.count("*").alias("n"), F.min("entry").alias("first"))
+
+
+@query(f"WITH {_ENTRIES} SELECT entry, CASE WHEN entry = 'classes.dex' THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(entry, '^classes([0-9]+)\\.dex$', 1) AS INTEGER), 2147483647) END AS ordinal FROM entries WHERE entry LIKE '%.dex'")
+def dex_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dex = _entries(spark, sf_dir).filter(F.col("entry").endswith(".dex"))
+    return dex.select("entry", resources.dex_ordinal(F.col("entry")).alias("ordinal")).orderBy("ordinal")
+
+
+_LOG = """log AS (SELECT p_partkey AS line_no, CASE p_partkey % 5 WHEN 0 THEN concat('src/F', p_partkey % 9, '.java:', p_partkey % 50, ': error: cannot find symbol') WHEN 1 THEN 'processing ...'
+ WHEN 2 THEN concat('INFO - loaded ', p_partkey, ' classes') WHEN 3 THEN 'ERROR - Method generation error in com.acme.Kit' ELSE 'WARN - Can''t process method com.acme.Box' END AS line FROM part)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expr = _LOG[_LOG.index("CASE p_") : _LOG.rindex(" AS line")].replace("Can''t", "Can\\'t")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), F.expr(expr).alias("line"))
+
+
+@query(rf"""WITH {_LOG} SELECT DISTINCT regexp_extract(line, '([^/\s]+\.java):(\d+): error: (.*)', 1) || ':' || regexp_extract(line, '([^/\s]+\.java):(\d+): error: (.*)', 2) || ' - ' || regexp_extract(line, '([^/\s]+\.java):(\d+): error: (.*)', 3) AS error
+ FROM log WHERE regexp_matches(line, '\.java:\d+: error: ')""")
+def compile_log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.compile_errors(_log(spark, sf_dir))
+
+
+@query(rf"""WITH {_LOG} SELECT count(*) FILTER (contains(line, 'processing')) AS processed, count(*) FILTER (contains(line, 'ERROR')) AS errors, count(*) FILTER (contains(line, 'WARN') AND contains(line, 'Can''t process')) AS skipped,
+ arg_max(TRY_CAST(regexp_extract(line, '(\d+) classes', 1) AS BIGINT), line_no) FILTER (regexp_matches(line, 'INFO.*\d+ classes')) AS classes FROM log""")
+def decompile_log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.log_counters(_log(spark, sf_dir))
+
+
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_DIM} SELECT ord, prefix, group_id, artifact_id, version FROM dim")
+def json_dim_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resources.json_dimension(spark, fixed.LIBRARIES)
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN concat('com.acme.A', c_custkey % 40) WHEN c_custkey % 4 = 1 THEN concat('com.acme.A', c_custkey % 40) WHEN c_custkey % 4 = 2 THEN 'https://x.y' ELSE 'plain' END AS name FROM customer),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k) AS n FROM c WHERE name <> '' AND NOT starts_with(name, 'http') AND contains(name, '.')) SELECT k, name, k % 2 = 0 AS exported FROM n WHERE n = 1""")
+def manifest_components_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.expr("CASE WHEN c_custkey % 4 < 2 THEN concat('com.acme.A', c_custkey % 40) WHEN c_custkey % 4 = 2 THEN 'https://x.y' ELSE 'plain' END")
+    xml = F.concat(F.lit('<activity name="'), name, F.lit('" exported="'), (F.col("c_custkey") % 2 == 0).cast("string"), F.lit('"/>'))
+    return resources.components(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), xml.alias("xml")))
+
+
+@query(f"""WITH {_ENTRIES}, need(name) AS (VALUES ('classes.dex'), ('AndroidManifest.xml'), ('lib/x.so'), ('settings.gradle'), ('build.gradle')),
+v AS (SELECT name, EXISTS (SELECT 1 FROM entries WHERE entry = name) AS passed FROM need)
+SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (passed) >= count(*) - 1 AS buildable FROM v""")
+def verification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    need = spark.sql("SELECT * FROM VALUES ('classes.dex'), ('AndroidManifest.xml'), ('lib/x.so'), ('settings.gradle'), ('build.gradle') AS t(name)")
+    return report.verification(need, _entries(spark, sf_dir).select(F.col("entry").alias("name")))
