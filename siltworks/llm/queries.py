@@ -51,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_toxicity, op4_linededup, op5_simhash, op6_pii, op7_decontamination, op8_licenses, op9_mixing, op10_sharding)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = "list_filter(regexp_split_to_array(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 #: DuckDB SQL for the same rows.
 ORACLE_SQL = {
