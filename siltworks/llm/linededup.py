@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import ASCII_LOWER, small_batches, text_or_empty
+from siltworks.llm.common import ASCII_LOWER, checkpointed, small_batches, text_or_empty
 
 MIN_LENGTH, MIN_DOCS = 20, 3
 #: Bits a line, bits of a filter at least and at most (32 MB), bits of a merged segment.
@@ -144,7 +144,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_le
 
     pair = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     flagged = pair.mapInArrow(flag, "line binary, doc_id long, row long")
-    repeated = flagged.groupBy("line", "doc_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
+    # Kept as a table, so that the join's sides are plain exchanges and a line of very many documents is split among tasks.
+    repeated = checkpointed(flagged.groupBy("line", "doc_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs))
     lost = flagged.join(repeated, "line").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
     whole = pair.mapInArrow(finish, "doc_id long, row long, n_lines long, kept_sha256 string, text string").alias("w")
     joined = whole.join(lost.alias("l"), F.col("w.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("w.row") == F.col("l.row")), "left")
