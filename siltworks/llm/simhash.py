@@ -290,11 +290,13 @@ def links(nodes: DataFrame, radius: int, limit: int, n_words: int) -> DataFrame:
                 hot = np.isin(keys, weighty) if len(weighty) else np.zeros(len(keys), bool)
                 if not hot.all():
                     yield batch_of(keys[~hot], np.zeros((~hot).sum()), rows[~hot])
-                for key, row in zip(keys[hot].tolist(), rows[hot].tolist(), strict=True):
-                    n = heavy[key]
-                    mine = _h64(int(ids[row]).to_bytes(8, "little", signed=True)) % n
-                    pairs = np.array([min(mine, j) * n + max(mine, j) for j in range(n)])
-                    yield batch_of(np.full(n, key), pairs, np.full(n, row))
+                if hot.any():
+                    n = np.array([heavy[k] for k in keys[hot].tolist()])
+                    mine = np.array([_h64(int(i).to_bytes(8, "little", signed=True)) for i in ids[rows[hot]]], np.uint64) % n.astype(np.uint64)
+                    at = np.repeat(np.arange(len(n)), n)  # a row for each block that its own one meets
+                    other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                    low, high = np.minimum(mine[at].astype(np.int64), other), np.maximum(mine[at].astype(np.int64), other)
+                    yield batch_of(keys[hot][at], low * n[at] + high, rows[hot][at])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
