@@ -74,3 +74,11 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import checkpointed, text_or_empty, words
+from siltworks.llm.common import checkpointed, free_name, text_or_empty, words
 
 WINDOW = 10
 #: The constants take about 20 bytes each in the plan.
@@ -112,6 +112,7 @@ def _gather(each: DataFrame, held: DataFrame, keep: tuple[str, ...]) -> DataFram
 
 def remove(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a window of an item; columns as they are."""
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_or_empty()))
-    bad = find(marked, items, n, keep=("_text_hash",)).filter("contaminated").select(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash")).distinct()
-    return marked.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select(*docs.columns)
+    mark, doc, row = (free_name(docs, n) for n in ("_text_hash", "_bad_doc", "_bad_hash"))
+    marked = docs.withColumn(mark, F.xxhash64(text_or_empty()))
+    bad = find(marked, items, n, keep=(mark,)).filter("contaminated").select(F.col("doc_id").alias(doc), F.col(mark).alias(row)).distinct()
+    return marked.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(row)), "left_anti").select(*docs.columns)

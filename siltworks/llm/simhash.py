@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import ASCII_LOWER, checkpointed, small_batches
+from siltworks.llm.common import ASCII_LOWER, checkpointed, free_name, small_batches
 from siltworks.llm.components import stars
 
 #: Fingerprints that may meet in one group of a key.
@@ -360,16 +360,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     made = checkpointed(fingerprints(docs, KEEP_SIZE, KEEP_WORDS))
     rows = made.select(F.struct("doc_id", "row").alias("id"), *[f"f{i}" for i in range(KEEP_WORDS)])
     grouped = link_rows(rows, KEEP_RADIUS, KEEP_LIMIT, KEEP_WORDS)
-    gone = grouped.filter(F.col("component") != F.col("id")).select(F.col("id.doc_id").alias("_doc"), F.col("id.row").alias("_row")).distinct()
+    doc, row, mark = (free_name(docs, n) for n in ("_gone_doc", "_gone_row", "_text_hash"))
+    gone = grouped.filter(F.col("component") != F.col("id")).select(F.col("id.doc_id").alias(doc), F.col("id.row").alias(row)).distinct()
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts], pa.int64())], names=[*batch.schema.names, "_text_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts], pa.int64())], names=[*batch.schema.names, mark])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    tagged = docs.mapInArrow(tag, f"{kinds}, _text_hash long")
-    left = tagged.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_row")), "left_anti")
+    tagged = docs.mapInArrow(tag, f"{kinds}, `{mark}` long")
+    left = tagged.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(row)), "left_anti")
     if made.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        left = left.dropDuplicates(["doc_id", "_text_hash"])
+        left = left.dropDuplicates(["doc_id", mark])
     return left.select(*columns)
