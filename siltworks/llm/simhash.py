@@ -17,6 +17,10 @@ Copies share one fingerprint and are joined back at the end; they are never expa
 BLOCK fingerprints is dealt to blocks of them and every two blocks meet in a group of their own, so no task gathers an
 unbounded group and no pair is lost.
 
+For filtering (keep_one) fingerprints of 256 bits are probed by two of their words, and pairs that meet are verified by
+the exact Jaccard similarity of their distinct shingles, unless so few bits differ that it is certain. Only where the
+open pairs of one key outnumber its fingerprints by more than OPEN to one, the 256 bits alone decide there.
+
 Edge cases: null text counts as empty; texts with fewer words than a shingle are one shingle; texts without words have
 fingerprint zero and link like any other; repeated rows give repeated results; null doc_ids are never a component's
 smallest doc_id unless there is no other (then it is null); an empty table gives an empty result; other columns are
@@ -33,14 +37,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import ASCII_LOWER, checkpointed, free_name, small_batches
+from siltworks.llm.common import ASCII_LOWER, checkpointed, free_name, small_batches, text_or_empty
 from siltworks.llm.components import stars
 
 #: Fingerprints that may meet in one group of a key.
 BLOCK = 20_000
+#: Open pairs for each node of a key's group; beyond it the group is settled by its fingerprints alone.
+OPEN = 4
 #: Bits of a partition's value that histograms keep; the rest is taken as independent.
 PREFIX = 12
 #: Cost of a row sent to a key, in comparisons of two fingerprints.
@@ -85,19 +91,22 @@ def fingerprint(text: str, size: int = 3, n_words: int = 1) -> list[int]:
     return out
 
 
+def text_hash() -> Column:
+    """Tells the texts of rows of one doc_id apart."""
+    return F.xxhash64(text_or_empty())
+
+
 def fingerprints(docs: DataFrame, size: int = 3, n_words: int = 1) -> DataFrame:
-    """doc_id, row (a hash of the text) and f0, f1, ... of every row."""
+    """doc_id, row (text_hash()) and f0, f1, ... of every row."""
     small_batches(docs.sparkSession)
     names = [f"f{i}" for i in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            made = np.array([fingerprint(t, size, n_words) for t in texts], np.int64).reshape(-1, n_words)
-            rows = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows, *(pa.array(made[:, i]) for i in range(n_words))], names=["doc_id", "row", *names])
+            made = np.array([fingerprint(t or "", size, n_words) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, n_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(made[:, i]) for i in range(n_words))], names=["doc_id", "row", *names])
 
-    part = docs.select("doc_id", "text")
+    part = docs.select("doc_id", "text", text_hash().alias("row"))
     return part.mapInArrow(run, f"doc_id {part.schema['doc_id'].dataType.simpleString()}, row long, " + ", ".join(f"{n} long" for n in names))
 
 
@@ -247,18 +256,9 @@ def _linked(f: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, limit: int
     return near
 
 
-def _group_links(nodes: np.ndarray, f: np.ndarray, radius: int, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (node, smallest node of its linked group) among the fingerprints that met at a key."""
-    nodes, first = np.unique(nodes, return_index=True)  # nodes are in order from here on
-    f, out, left = f[first], [], np.arange(len(nodes))
-    if len(nodes) <= 512:
-        a, b = np.triu_indices(len(nodes), 1)
-        near = _linked(f, a, b, radius, limit)
-        if not near.any():
-            return out
-        if near.sum() <= len(nodes):
-            return [(nodes[b[near]], nodes[a[near]])]
-        left = np.unique(np.concatenate([a[near], b[near]]))
+def _sweep(left: np.ndarray, f: np.ndarray, radius: int, limit: int) -> list[tuple[int, np.ndarray]]:
+    """(smallest, the others) of each linked group of two and more of the rows `left` of f, which are in order."""
+    out = []
     while len(left):
         root, queue, left, got = left[0], [left[0]], left[1:], []
         while queue and len(left):
@@ -269,12 +269,62 @@ def _group_links(nodes: np.ndarray, f: np.ndarray, radius: int, limit: int) -> l
             got.append(new)
         members = np.concatenate(got) if got else np.zeros(0, np.int64)
         if len(members):
-            out.append((nodes[members], np.full(len(members), nodes[root])))
+            out.append((root, members))
     return out
 
 
-def links(nodes: DataFrame, radius: int, limit: int, n_words: int) -> DataFrame:
-    """(a, b): links of nodes (node, f0, ...) that together connect all within radius bits of f0 and limit bits in all."""
+def _between(left: np.ndarray, label: np.ndarray, f: np.ndarray, radius: int, limit: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The linked pairs of rows with different labels; None if there are over `most`."""
+    a, b, n = [], [], 0
+    for at, row in enumerate(left[:-1]):
+        rest = left[at + 1 :]
+        rest = rest[label[rest] != label[row]]
+        hit = rest[_linked(f, np.full(len(rest), row), rest, radius, limit)]
+        n += len(hit)
+        if n > most:
+            return None
+        a.append(np.full(len(hit), row))
+        b.append(hit)
+    return (np.concatenate(a), np.concatenate(b)) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _group_links(nodes: np.ndarray, f: np.ndarray, radius: int, limits: tuple[int, int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links (node, node, open) among the fingerprints that met at a key; `limits` as in links()."""
+    sure, middle, most = limits
+    nodes, first = np.unique(nodes, return_index=True)  # nodes are in order from here on
+    f, left = f[first], np.arange(len(nodes))
+    room = len(nodes) if sure == most else OPEN * len(nodes)
+
+    def settled(limit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return [(nodes[members], np.full(len(members), nodes[root]), np.zeros(len(members), bool)) for root, members in _sweep(left, f, radius, limit)]
+
+    if len(nodes) <= 512:
+        a, b = np.triu_indices(len(nodes), 1)
+        near = _linked(f, a, b, radius, most)
+        if not near.any():
+            return []
+        a, b = a[near], b[near]
+        if len(a) <= room:
+            return [(nodes[b], nodes[a], np.bitwise_count(f[a] ^ f[b]).sum(axis=1) > sure)]
+        left = np.unique(np.concatenate([a, b]))
+    if sure == most:
+        return settled(sure)
+    label = np.arange(len(nodes))
+    for root, members in _sweep(left, f, radius, sure):
+        label[members] = root
+    found = _between(left, label, f, radius, most, room)
+    if found is None:
+        return settled(middle)
+    return [*settled(sure), (nodes[found[1]], nodes[found[0]], np.ones(len(found[0]), bool))]
+
+
+def links(nodes: DataFrame, radius: int, limits: tuple[int, int, int], n_words: int) -> DataFrame:
+    """(a, b, open): links of nodes (node, f0, ...) that together connect all within radius bits of f0 and limits[2] in all.
+
+    Pairs within limits[0] bits in all are certain, farther ones open, for the caller to verify. Where the open pairs of
+    a key are over OPEN a node, no open ones leave, and its pairs within limits[1] count as certain.
+    """
+    most = limits[2]
     used, heavy = plan(nodes, radius)
     names = [f"f{i}" for i in range(n_words)]
     weighty = np.array(sorted(heavy), np.int64)
@@ -299,7 +349,7 @@ def links(nodes: DataFrame, radius: int, limit: int, n_words: int) -> DataFrame:
                     yield batch_of(keys[hot][at], low * n[at] + high, rows[hot][at])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+        def flush(held: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
             key, pair, node, f = held
             change = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
             edges = np.concatenate([[0], change, [len(key)]])
@@ -308,10 +358,12 @@ def links(nodes: DataFrame, radius: int, limit: int, n_words: int) -> DataFrame:
             out = []
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if e - s == 2:
-                    if node[s] != node[s + 1] and int(f[s, 0] ^ f[s + 1, 0]).bit_count() <= radius and np.bitwise_count(f[s] ^ f[s + 1]).sum() <= limit:
-                        out.append((node[s : s + 1], node[s + 1 : e]))
+                    if node[s] != node[s + 1] and int(f[s, 0] ^ f[s + 1, 0]).bit_count() <= radius:
+                        bits = np.bitwise_count(f[s] ^ f[s + 1]).sum()
+                        if bits <= most:
+                            out.append((node[s : s + 1], node[s + 1 : e], np.array([bits > limits[0]])))
                 elif e - s > 2:
-                    out += _group_links(node[s:e], f[s:e], radius, limit)
+                    out += _group_links(node[s:e], f[s:e], radius, limits)
             return [x[edges[-1] :] for x in held], out
 
         held: list[np.ndarray] | None = None
@@ -321,25 +373,39 @@ def links(nodes: DataFrame, radius: int, limit: int, n_words: int) -> DataFrame:
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             held, out = flush(held, False)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1, 2)], names=["a", "b", "open"])
         if held is not None and len(held[0]):
             _, out = flush(held, True)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1, 2)], names=["a", "b", "open"])
 
     sent = nodes.select("node", *names).mapInArrow(send, "key long, pair int, node long, " + ", ".join(f"{n} long" for n in names))
-    return sent.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(meet, "a long, b long")
+    return sent.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(meet, "a long, b long, open boolean")
 
 
-def link_rows(rows: DataFrame, radius: int, limit: int, n_words: int = 1) -> DataFrame:
-    """rows (id, f0, ...) with component: the smallest id reachable over links, its own included."""
-    names = [f"f{i}" for i in range(n_words)]
-    node = F.col("f0") if n_words == 1 else F.xxhash64(*names)
-    nodes = checkpointed(rows.withColumn("node", node).groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.min("id").alias("first")))
-    joined = nodes.select("node", "first").join(stars(links(nodes, radius, limit, n_words)).toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def as_nodes(rows: DataFrame, n_words: int) -> DataFrame:
+    """rows (id, f0, ...) with node, a number for each fingerprint."""
+    return rows.withColumn("node", F.col("f0") if n_words == 1 else F.xxhash64(*[f"f{i}" for i in range(n_words)]))
+
+
+def distinct_nodes(rows: DataFrame, n_words: int) -> DataFrame:
+    """(node, f0, ..., first): the distinct fingerprints of as_nodes() with their smallest id."""
+    return checkpointed(rows.groupBy("node").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(n_words)], F.min("id").alias("first")))
+
+
+def members(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with component: the smallest id reachable over edges (a, b), its own included."""
+    joined = nodes.select("node", "first").join(stars(edges).toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
     member = joined.join(smallest, "root").select("node", "component")
-    return rows.withColumn("node", node).join(member, "node").drop("node")
+    return rows.join(member, "node").drop("node")
+
+
+def link_rows(rows: DataFrame, radius: int, limit: int, n_words: int = 1) -> DataFrame:
+    """rows (id, f0, ...) with component, over links within radius bits of f0 and limit bits in all."""
+    rows = as_nodes(rows, n_words)
+    nodes = distinct_nodes(rows, n_words)
+    return members(rows, nodes, links(nodes, radius, (limit, limit, limit), n_words).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
@@ -349,27 +415,51 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Near-duplicates for filtering: words in a shingle, 64-bit words of a fingerprint, bits that may differ in the first
-#: and in all of them. Of 256 bits 42 differ on average where the Jaccard similarity of the shingles is 0.78.
-KEEP_SIZE, KEEP_WORDS, KEEP_RADIUS, KEEP_LIMIT = 5, 4, 11, 42
+#: Near-duplicates for filtering: words in a shingle, least Jaccard similarity, 64-bit words of a fingerprint, words
+#: that are probed for candidates, bits that may differ in a probed word, and the limits of links() in bits of 256. On
+#: average 24, 39 and 54 bits differ where the similarity is 0.88, 0.80 and 0.71.
+KEEP_SIZE, KEEP_SHARE, KEEP_WORDS, KEEP_PROBES, KEEP_RADIUS, KEEP_LIMITS = 5, 0.8, 4, 2, 11, (24, 39, 54)
+#: Rows of (node, doc_id, hash) that may be broadcast, about 30 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: float) -> DataFrame:
+    """The edges (a, b) of nodes whose first documents have at least `share` of their distinct shingles in common."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = checkpointed(ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("doc_id", "text", text_hash().alias("hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("row")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = pa.array([np.unique(shingle_hashes(text or "", size)).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), found], names=["node", "shingles"])
+
+    sets = checkpointed(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>"))
+    both = edges.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    shared = F.size(F.array_intersect("left", "right"))
+    return both.filter(shared >= share * (F.size("left") + F.size("right") - shared)).select("a", "b")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but the document of the smallest doc_id of each group of near-duplicates; columns as they are."""
     columns = docs.columns
     made = checkpointed(fingerprints(docs, KEEP_SIZE, KEEP_WORDS))
-    rows = made.select(F.struct("doc_id", "row").alias("id"), *[f"f{i}" for i in range(KEEP_WORDS)])
-    grouped = link_rows(rows, KEEP_RADIUS, KEEP_LIMIT, KEEP_WORDS)
+    rows = as_nodes(made.select(F.struct("doc_id", "row").alias("id"), *[f"f{i}" for i in range(KEEP_WORDS)]), KEEP_WORDS)
+    nodes = distinct_nodes(rows, KEEP_WORDS)
+    found = None
+    for probe in range(KEEP_PROBES):  # the probed word goes first
+        turned = nodes.select("node", *[F.col(f"f{(i + probe) % KEEP_WORDS}").alias(f"f{i}") for i in range(KEEP_WORDS)])
+        met = links(turned, KEEP_RADIUS, KEEP_LIMITS, KEEP_WORDS)
+        found = met if found is None else found.unionByName(met)
+    pairs = checkpointed(found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("open").alias("open")))
+    edges = pairs.filter("not open").select("a", "b").unionByName(similar(pairs.filter("open").select("a", "b"), nodes, docs, KEEP_SIZE, KEEP_SHARE))
+    grouped = members(rows, nodes, edges)
     doc, row, mark = (free_name(docs, n) for n in ("_gone_doc", "_gone_row", "_text_hash"))
     gone = grouped.filter(F.col("component") != F.col("id")).select(F.col("id.doc_id").alias(doc), F.col("id.row").alias(row)).distinct()
-
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts], pa.int64())], names=[*batch.schema.names, mark])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    tagged = docs.mapInArrow(tag, f"{kinds}, `{mark}` long")
+    tagged = docs.withColumn(mark, text_hash())
     left = tagged.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(row)), "left_anti")
     if made.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         left = left.dropDuplicates(["doc_id", mark])

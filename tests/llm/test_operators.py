@@ -70,6 +70,40 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(1, 401)}, 1001: 1000}
 
 
+def test_keep_one_against_all_pairs(spark):
+    """Of texts with one to twelve changed words: nearly all similar ones go, and no other."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 220)]
+        texts.append(base)
+        for changes in (1, 3, 5, 8, 12):
+            texts.append([f"x{rng.integers(0, 10**6)}" if k in at else w for at in [set(rng.choice(220, changes, replace=False).tolist())] for k, w in enumerate(base)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):  # from small to large, so each root is the smallest of its component
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    must_go = {i for i, r in enumerate(root) if r != i}
+    left = simhash.keep_one(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    gone = set(range(len(texts))) - {r[0] for r in left.collect()}
+    assert gone <= must_go
+    assert len(gone) >= 0.95 * len(must_go)
+
+
+def test_dense_keys_are_settled_by_their_fingerprints():
+    """Over OPEN open pairs a fingerprint: links within the middle limit, none of them open; else stars and open pairs."""
+    nodes, f = np.arange(40), np.zeros((40, 4), np.uint64)
+    f[:, 1] = np.uint64((1 << 30) - 1) << (np.arange(40, dtype=np.uint64) % np.uint64(3) * np.uint64(10))
+    dense = simhash._group_links(nodes, f, 11, (5, 20, 54))
+    assert not any(mark.any() for _, _, mark in dense)
+    assert {int(x) for members, _, _ in dense for x in members} == set(range(1, 40))
+    sparse = simhash._group_links(nodes[:3], f[:3], 11, (5, 20, 54))
+    assert sorted((int(b), int(a), bool(m)) for bs, as_, ms in sparse for b, a, m in zip(bs, as_, ms, strict=True)) == [(1, 0, True), (2, 0, True), (2, 1, True)]
+
+
 def test_near_duplicates_keep_one(spark):
     base = " ".join(f"w{i * 7919 % 5003}" for i in range(400))
     near = base.replace("w7919 ", "other ").replace(" w2916 ", " changed ")
