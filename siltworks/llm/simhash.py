@@ -274,11 +274,17 @@ def _sweep(left: np.ndarray, f: np.ndarray, radius: int, limit: int) -> list[tup
 
 
 def _between(left: np.ndarray, label: np.ndarray, f: np.ndarray, radius: int, limit: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The linked pairs of rows with different labels; None if there are over `most`."""
+    """The linked pairs of rows with different labels; None if there are over `most`.
+
+    Rows of the most frequent label are only looked up by the others, so one large cluster costs little.
+    """
+    kinds, sizes = np.unique(label[left], return_counts=True)
+    bulk = label[left] == kinds[np.argmax(sizes)]
+    bulk, others = left[bulk], left[~bulk]
     a, b, n = [], [], 0
-    for at, row in enumerate(left[:-1]):
-        rest = left[at + 1 :]
-        rest = rest[label[rest] != label[row]]
+    for at, row in enumerate(others):
+        later = others[at + 1 :]
+        rest = np.concatenate([bulk, later[label[later] != label[row]]])
         hit = rest[_linked(f, np.full(len(rest), row), rest, radius, limit)]
         n += len(hit)
         if n > most:

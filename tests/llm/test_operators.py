@@ -104,6 +104,15 @@ def test_dense_keys_are_settled_by_their_fingerprints():
     assert sorted((int(b), int(a), bool(m)) for bs, as_, ms in sparse for b, a, m in zip(bs, as_, ms, strict=True)) == [(1, 0, True), (2, 0, True), (2, 1, True)]
 
 
+def test_a_large_cluster_keeps_its_open_pairs():
+    """Thirty equal fingerprints and two others at 20 and 40 bits: a star, and every open pair within the limit."""
+    nodes, f = np.arange(32), np.zeros((32, 4), np.uint64)
+    f[30, 1], f[31, 1] = (1 << 20) - 1, (1 << 40) - 1
+    found = [(int(b), int(a), bool(m)) for bs, as_, ms in simhash._group_links(nodes, f, 11, (5, 20, 30)) for b, a, m in zip(bs, as_, ms, strict=True)]
+    assert sorted((b, a) for b, a, m in found if not m) == [(k, 0) for k in range(1, 30)]
+    assert sorted((min(p), max(p)) for *p, m in found if m) == sorted([*((k, 30) for k in range(30)), (30, 31)])
+
+
 def test_near_duplicates_keep_one(spark):
     base = " ".join(f"w{i * 7919 % 5003}" for i in range(400))
     near = base.replace("w7919 ", "other ").replace(" w2916 ", " changed ")
