@@ -18,8 +18,10 @@ BLOCK fingerprints is dealt to blocks of them and every two blocks meet in a gro
 unbounded group and no pair is lost.
 
 For filtering (keep_one) fingerprints of 256 bits are probed by two of their words, and pairs that meet are verified by
-the exact Jaccard similarity of their distinct shingles, unless so few bits differ that it is certain. Only where the
-open pairs of one key outnumber its fingerprints by more than OPEN to one, the 256 bits alone decide there.
+the exact Jaccard similarity of their distinct shingles, unless so few bits differ that it is certain or the pair is
+connected already. Where the open pairs of one key outnumber its fingerprints by more than OPEN to one, they aren't sent
+out as rows: the shingles of the key's documents are brought together instead, in blocks of bounded size, and the task
+that holds two blocks verifies their pairs exactly and sends out a link for each two groups that it connects.
 
 Edge cases: null text counts as empty; texts with fewer words than a shingle are one shingle; texts without words have
 fingerprint zero and link like any other; repeated rows give repeated results; null doc_ids are never a component's
@@ -45,8 +47,13 @@ from siltworks.llm.components import stars
 
 #: Fingerprints that may meet in one group of a key.
 BLOCK = 20_000
-#: Open pairs for each node of a key's group; beyond it the group is settled by its fingerprints alone.
-OPEN = 4
+#: Open pairs for each node of a key's group that leave as rows; more are verified where their shingles meet. A pair sends
+#: two sets of shingles, a member of a crowded group one, so beyond this the second way is the cheaper.
+OPEN = 1
+#: Shingles in one block of a crowded group, 8 bytes each; a task holds two blocks at a time.
+BLOCK_SHINGLES = 4_000_000
+#: Kinds of rows of links(); the smallest of a pair counts.
+CERTAIN, TO_VERIFY, CROWDED = 0, 1, 2
 #: Bits of a partition's value that histograms keep; the rest is taken as independent.
 PREFIX = 12
 #: Cost of a row sent to a key, in comparisons of two fingerprints.
@@ -294,16 +301,12 @@ def _between(left: np.ndarray, label: np.ndarray, f: np.ndarray, radius: int, li
     return (np.concatenate(a), np.concatenate(b)) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _group_links(nodes: np.ndarray, f: np.ndarray, radius: int, limits: tuple[int, int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links (node, node, open) among the fingerprints that met at a key; `limits` as in links()."""
-    sure, middle, most = limits
+def _group_links(group: int, nodes: np.ndarray, f: np.ndarray, radius: int, limits: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (a, b, kind) of the fingerprints that met at a key, as links() returns them."""
+    sure, most = limits
     nodes, first = np.unique(nodes, return_index=True)  # nodes are in order from here on
-    f, left = f[first], np.arange(len(nodes))
+    f, left, label = f[first], np.arange(len(nodes)), np.arange(len(nodes))
     room = len(nodes) if sure == most else OPEN * len(nodes)
-
-    def settled(limit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        return [(nodes[members], np.full(len(members), nodes[root]), np.zeros(len(members), bool)) for root, members in _sweep(left, f, radius, limit)]
-
     if len(nodes) <= 512:
         a, b = np.triu_indices(len(nodes), 1)
         near = _linked(f, a, b, radius, most)
@@ -311,26 +314,28 @@ def _group_links(nodes: np.ndarray, f: np.ndarray, radius: int, limits: tuple[in
             return []
         a, b = a[near], b[near]
         if len(a) <= room:
-            return [(nodes[b], nodes[a], np.bitwise_count(f[a] ^ f[b]).sum(axis=1) > sure)]
+            return [(nodes[b], nodes[a], (np.bitwise_count(f[a] ^ f[b]).sum(axis=1) > sure).astype(np.int32))]
         left = np.unique(np.concatenate([a, b]))
-    if sure == most:
-        return settled(sure)
-    label = np.arange(len(nodes))
+    out = []
     for root, members in _sweep(left, f, radius, sure):
         label[members] = root
-    found = _between(left, label, f, radius, most, room)
-    if found is None:
-        return settled(middle)
-    return [*settled(sure), (nodes[found[1]], nodes[found[0]], np.ones(len(found[0]), bool))]
+        out.append((nodes[members], np.full(len(members), nodes[root]), np.full(len(members), CERTAIN, np.int32)))
+    if sure < most:
+        found = _between(left, label, f, radius, most, room)
+        if found is None:
+            out.append((nodes[left], np.full(len(left), group), np.full(len(left), CROWDED, np.int32)))
+        else:
+            out.append((nodes[found[1]], nodes[found[0]], np.full(len(found[0]), TO_VERIFY, np.int32)))
+    return out
 
 
-def links(nodes: DataFrame, radius: int, limits: tuple[int, int, int], n_words: int) -> DataFrame:
-    """(a, b, open): links of nodes (node, f0, ...) that together connect all within radius bits of f0 and limits[2] in all.
+def links(nodes: DataFrame, radius: int, limits: tuple[int, int], n_words: int) -> DataFrame:
+    """(a, b, kind): links of nodes (node, f0, ...) that together connect all within radius bits of f0 and limits[1] in all.
 
-    Pairs within limits[0] bits in all are certain, farther ones open, for the caller to verify. Where the open pairs of
-    a key are over OPEN a node, no open ones leave, and its pairs within limits[1] count as certain.
+    Pairs within limits[0] bits in all are CERTAIN, farther ones for the caller to verify. Where the latter are over
+    OPEN a node at a key, a row (node, number of the group, CROWDED) for each of its nodes leaves in their place.
     """
-    most = limits[2]
+    most = limits[1]
     used, heavy = plan(nodes, radius)
     names = [f"f{i}" for i in range(n_words)]
     weighty = np.array(sorted(heavy), np.int64)
@@ -367,26 +372,26 @@ def links(nodes: DataFrame, radius: int, limits: tuple[int, int, int], n_words:
                     if node[s] != node[s + 1] and int(f[s, 0] ^ f[s + 1, 0]).bit_count() <= radius:
                         bits = np.bitwise_count(f[s] ^ f[s + 1]).sum()
                         if bits <= most:
-                            out.append((node[s : s + 1], node[s + 1 : e], np.array([bits > limits[0]])))
+                            out.append((node[s : s + 1], node[s + 1 : e], np.array([TO_VERIFY if bits > limits[0] else CERTAIN], np.int32)))
                 elif e - s > 2:
-                    out += _group_links(node[s:e], f[s:e], radius, limits)
+                    out += _group_links(int(key[s]) + (int(pair[s]) << 44), node[s:e], f[s:e], radius, limits)
             return [x[edges[-1] :] for x in held], out
 
         held: list[np.ndarray] | None = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + n_words)]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             now = [*columns[:3], np.stack([np.ascontiguousarray(c).view(np.uint64) for c in columns[3:]], axis=1)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             held, out = flush(held, False)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1, 2)], names=["a", "b", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1, 2)], names=["a", "b", "kind"])
         if held is not None and len(held[0]):
             _, out = flush(held, True)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1, 2)], names=["a", "b", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1, 2)], names=["a", "b", "kind"])
 
     sent = nodes.select("node", *names).mapInArrow(send, "key long, pair int, node long, " + ", ".join(f"{n} long" for n in names))
-    return sent.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(meet, "a long, b long, open boolean")
+    return sent.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(meet, "a long, b long, kind int")
 
 
 def as_nodes(rows: DataFrame, n_words: int) -> DataFrame:
@@ -399,9 +404,9 @@ def distinct_nodes(rows: DataFrame, n_words: int) -> DataFrame:
     return checkpointed(rows.groupBy("node").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(n_words)], F.min("id").alias("first")))
 
 
-def members(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with component: the smallest id reachable over edges (a, b), its own included."""
-    joined = nodes.select("node", "first").join(stars(edges).toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def members(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with component: the smallest id of those connected to its own node; roots as stars() gives them."""
+    joined = nodes.select("node", "first").join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
     member = joined.join(smallest, "root").select("node", "component")
     return rows.join(member, "node").drop("node")
@@ -411,7 +416,7 @@ def link_rows(rows: DataFrame, radius: int, limit: int, n_words: int = 1) -> Dat
     """rows (id, f0, ...) with component, over links within radius bits of f0 and limit bits in all."""
     rows = as_nodes(rows, n_words)
     nodes = distinct_nodes(rows, n_words)
-    return members(rows, nodes, links(nodes, radius, (limit, limit, limit), n_words).select("a", "b"))
+    return members(rows, nodes, stars(links(nodes, radius, (limit, limit), n_words).select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
@@ -424,14 +429,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
 #: Near-duplicates for filtering: words in a shingle, least Jaccard similarity, 64-bit words of a fingerprint, words
 #: that are probed for candidates, bits that may differ in a probed word, and the limits of links() in bits of 256. On
 #: average 24, 39 and 54 bits differ where the similarity is 0.88, 0.80 and 0.71.
-KEEP_SIZE, KEEP_SHARE, KEEP_WORDS, KEEP_PROBES, KEEP_RADIUS, KEEP_LIMITS = 5, 0.8, 4, 2, 11, (24, 39, 54)
+KEEP_SIZE, KEEP_SHARE, KEEP_WORDS, KEEP_PROBES, KEEP_RADIUS, KEEP_LIMITS = 5, 0.8, 4, 2, 11, (24, 54)
 #: Rows of (node, doc_id, hash) that may be broadcast, about 30 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: float) -> DataFrame:
-    """The edges (a, b) of nodes whose first documents have at least `share` of their distinct shingles in common."""
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+def shingle_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the distinct shingles' hashes of the first document of each node in ends."""
     wanted = checkpointed(ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -443,26 +447,118 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, shar
                 found = pa.array([np.unique(shingle_hashes(text or "", size)).view(np.int64)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), found], names=["node", "shingles"])
 
-    sets = checkpointed(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>"))
+    return checkpointed(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>"))
+
+
+def similar(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The edges (a, b) of nodes with at least `share` of their distinct shingles in common."""
     both = edges.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     shared = F.size(F.array_intersect("left", "right"))
     return both.filter(shared >= share * (F.size("left") + F.size("right") - shared)).select("a", "b")
 
 
+def verify_group(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, radius: int, most: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect what exact similarity connects among nodes, as far as labels don't connect it already.
+
+    shingles: the distinct ones of each node, one node after the other. Pairs within radius bits of f0 and `most` in all
+    are compared; once two labels are linked they are one, so a group of similar texts is done in one pass.
+    """
+    kinds, label = np.unique(label, return_inverse=True)
+    words, flat = np.unique(shingles, return_inverse=True)
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(words), bool)
+    of_bulk = label == np.argmax(np.bincount(label, minlength=len(kinds)))
+    bulk, others = np.flatnonzero(of_bulk), np.flatnonzero(~of_bulk)
+    a, b = [], []
+    for at, row in enumerate(others):
+        rest = others[at + 1 :]
+        rest = rest[label[rest] != label[row]]
+        if label[bulk[0]] != label[row]:
+            rest = np.concatenate([bulk, rest])
+        rest = rest[np.minimum(sizes[rest], sizes[row]) >= share * np.maximum(sizes[rest], sizes[row])]
+        hit = rest[_linked(f, np.full(len(rest), row), rest, radius, most)]
+        if not len(hit):
+            continue
+        n = sizes[hit]
+        own = flat[starts[row] : starts[row] + sizes[row]]
+        mark[own] = True
+        met = mark[flat[np.repeat(starts[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+        mark[own] = False
+        shared = np.bincount(np.repeat(np.arange(len(hit)), n)[met], minlength=len(hit))
+        hit = hit[shared >= share * (sizes[row] + n - shared)]
+        for kind, first in zip(*np.unique(label[hit], return_index=True), strict=True):
+            a.append(nodes[row])
+            b.append(nodes[hit[first]])
+            label[label == kind] = label[row]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def settle(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links among the nodes of each crowded group (node, group) by verify_group(), in pairs of blocks."""
+    names = [f"f{i}" for i in range(KEEP_WORDS)]
+    weighed = crowded.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    blocks = weighed.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    mine, other = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)).alias("other")
+    dealt = crowded.join(blocks, "group").select("node", "group", mine.alias("mine"), other)
+    dealt = dealt.select("node", "group", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    held = nodes.join(sets, "node").join(roots.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("label"), *names, "shingles")
+    kinds = dealt.join(held.select("node", "label"), "node").groupBy("group", "low", "high").agg(F.min("label").alias("one"), F.max("label").alias("two"))
+    useful = kinds.filter("one <> two").select("group", "low", "high")
+    met = dealt.join(useful, ["group", "low", "high"]).join(held, "node").select("group", "low", "high", "node", "label", *names, "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            f = np.array([r[2:-1] for r in rows], np.int64).view(np.uint64)
+            sizes = np.array([len(r[-1]) for r in rows], np.int64)
+            a, b = verify_group(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), f, np.concatenate([r[-1] for r in rows]), sizes, KEEP_RADIUS, KEEP_LIMITS[1], KEEP_SHARE)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        group, rows = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            lists = batch.columns[-1]
+            for i, (*key, node, label) in enumerate(zip(*columns[:5], strict=True)):
+                if key != group and rows:
+                    yield done(rows)
+                    rows = []
+                group = key
+                rows.append((node, label, *(c[i] for c in columns[5:]), lists[i].values.to_numpy()))
+        if rows:
+            yield done(rows)
+
+    return met.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(run, "a long, b long")
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that roots, as stars() gives them, don't connect."""
+    both = pairs.join(roots.toDF("a", "of_a"), "a", "left").join(roots.toDF("b", "of_b"), "b", "left")
+    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of all nodes connected over near-duplicate pairs, as stars() gives them."""
+    found = None
+    for probe in range(KEEP_PROBES):  # the probed word goes first
+        turned = nodes.select("node", *[F.col(f"f{(i + probe) % KEEP_WORDS}").alias(f"f{i}") for i in range(KEEP_WORDS)])
+        met = links(turned, KEEP_RADIUS, KEEP_LIMITS, KEEP_WORDS).select("a", F.when(F.col("kind") == CROWDED, F.xxhash64("b", F.lit(probe))).otherwise(F.col("b")).alias("b"), "kind")
+        found = met if found is None else found.unionByName(met)
+    pair = F.col("kind") < CROWDED
+    low, high = F.when(pair, F.least("a", "b")).otherwise(F.col("b")), F.when(pair, F.greatest("a", "b")).otherwise(F.col("a"))
+    found = checkpointed(found.groupBy(high.alias("a"), low.alias("b"), pair.alias("pair")).agg(F.min("kind").alias("kind")))
+    roots = stars(found.filter(F.col("kind") == CERTAIN).select("a", "b"))
+    unsure = checkpointed(across(found.filter(F.col("kind") == TO_VERIFY).select("a", "b"), roots))
+    crowded = found.filter(F.col("kind") == CROWDED).select(F.col("a").alias("node"), F.col("b").alias("group"))
+    ends = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
+    sets = shingle_sets(ends, nodes, docs, KEEP_SIZE)
+    return stars(roots.unionByName(similar(unsure, sets, KEEP_SHARE)).unionByName(settle(crowded, nodes, sets, roots)))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but the document of the smallest doc_id of each group of near-duplicates; columns as they are."""
     columns = docs.columns
     made = checkpointed(fingerprints(docs, KEEP_SIZE, KEEP_WORDS))
     rows = as_nodes(made.select(F.struct("doc_id", "row").alias("id"), *[f"f{i}" for i in range(KEEP_WORDS)]), KEEP_WORDS)
     nodes = distinct_nodes(rows, KEEP_WORDS)
-    found = None
-    for probe in range(KEEP_PROBES):  # the probed word goes first
-        turned = nodes.select("node", *[F.col(f"f{(i + probe) % KEEP_WORDS}").alias(f"f{i}") for i in range(KEEP_WORDS)])
-        met = links(turned, KEEP_RADIUS, KEEP_LIMITS, KEEP_WORDS)
-        found = met if found is None else found.unionByName(met)
-    pairs = checkpointed(found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("open").alias("open")))
-    edges = pairs.filter("not open").select("a", "b").unionByName(similar(pairs.filter("open").select("a", "b"), nodes, docs, KEEP_SIZE, KEEP_SHARE))
-    grouped = members(rows, nodes, edges)
+    grouped = members(rows, nodes, connect(nodes, docs))
     doc, row, mark = (free_name(docs, n) for n in ("_gone_doc", "_gone_row", "_text_hash"))
     gone = grouped.filter(F.col("component") != F.col("id")).select(F.col("id.doc_id").alias(doc), F.col("id.row").alias(row)).distinct()
     tagged = docs.withColumn(mark, text_hash())

@@ -93,22 +93,48 @@ def test_keep_one_against_all_pairs(spark):
     assert len(gone) >= 0.95 * len(must_go)
 
 
-def test_dense_keys_are_settled_by_their_fingerprints():
-    """Over OPEN open pairs a fingerprint: links within the middle limit, none of them open; else stars and open pairs."""
+def test_crowded_keys_are_marked():
+    """Over OPEN open pairs a fingerprint: a mark on each node in place of the pairs."""
     nodes, f = np.arange(40), np.zeros((40, 4), np.uint64)
-    f[:, 1] = np.uint64((1 << 30) - 1) << (np.arange(40, dtype=np.uint64) % np.uint64(3) * np.uint64(10))
-    dense = simhash._group_links(nodes, f, 11, (5, 20, 54))
-    assert not any(mark.any() for _, _, mark in dense)
-    assert {int(x) for members, _, _ in dense for x in members} == set(range(1, 40))
-    sparse = simhash._group_links(nodes[:3], f[:3], 11, (5, 20, 54))
-    assert sorted((int(b), int(a), bool(m)) for bs, as_, ms in sparse for b, a, m in zip(bs, as_, ms, strict=True)) == [(1, 0, True), (2, 0, True), (2, 1, True)]
+    for i in range(40):
+        f[i, 1 + i // 20] = np.uint64(0b11111111) << np.uint64(i % 20)
+    ((a, b, kind),) = simhash._group_links(77, nodes, f, 11, (0, 54))
+    assert a.tolist() == list(range(40)) and set(b) == {77} and set(kind) == {simhash.CROWDED}
+
+
+@pytest.mark.parametrize("most", [simhash.BLOCK_SHINGLES, 5000])
+def test_near_duplicates_of_a_dense_family_are_exact(spark, monkeypatch, most):
+    """A family of 70 variants around 0.8: what stays is what all pairs of exact similarities leave, in however many blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", most)
+    settled = []
+    verify = simhash.settle
+    monkeypatch.setattr(simhash, "settle", lambda crowded, *rest: settled.append(crowded.count()) or verify(crowded, *rest))
+    rng = np.random.default_rng(3)
+    base = [f"w{i * 7919 % 5003}" for i in range(400)]
+    texts = []
+    for i in range(70):
+        own = list(base)
+        for at in rng.choice(400, int(rng.integers(2, 11)), replace=False):
+            own[at] = f"x{i}_{at}"
+        texts.append((i, " ".join(own)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in texts)]
+    bits = np.array([simhash.fingerprint(t, 5, 4) for _, t in texts], np.int64).view(np.uint64)
+    root = list(range(70))
+    for i in range(70):
+        for j in range(i):
+            apart = np.bitwise_count(bits[i] ^ bits[j])
+            if apart.sum() <= simhash.KEEP_LIMITS[1] and apart[: simhash.KEEP_PROBES].min() <= simhash.KEEP_RADIUS:
+                if apart.sum() <= simhash.KEEP_LIMITS[0] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    left = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r[0] for r in left.collect()) == sorted(set(root)) and settled[0] > 0
 
 
 def test_a_large_cluster_keeps_its_open_pairs():
     """Thirty equal fingerprints and two others at 20 and 40 bits: a star, and every open pair within the limit."""
     nodes, f = np.arange(32), np.zeros((32, 4), np.uint64)
     f[30, 1], f[31, 1] = (1 << 20) - 1, (1 << 40) - 1
-    found = [(int(b), int(a), bool(m)) for bs, as_, ms in simhash._group_links(nodes, f, 11, (5, 20, 30)) for b, a, m in zip(bs, as_, ms, strict=True)]
+    found = [(int(b), int(a), bool(m)) for bs, as_, ms in simhash._group_links(0, nodes, f, 11, (5, 30)) for b, a, m in zip(bs, as_, ms, strict=True)]
     assert sorted((b, a) for b, a, m in found if not m) == [(k, 0) for k in range(1, 30)]
     assert sorted((min(p), max(p)) for *p, m in found if m) == sorted([*((k, 30) for k in range(30)), (30, 31)])
 
