@@ -460,8 +460,8 @@ def similar(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
 def verify_group(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, radius: int, most: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that connect what exact similarity connects among nodes, as far as labels don't connect it already.
 
-    shingles: the distinct ones of each node, one node after the other. Pairs within radius bits of f0 and `most` in all
-    are compared; once two labels are linked they are one, so a group of similar texts is done in one pass.
+    shingles: the distinct ones of each node, one node after the other. Pairs within radius bits of a probed word and
+    `most` in all are compared; once two labels are linked they are one, so a group of similar texts is done in one pass.
     """
     kinds, label = np.unique(label, return_inverse=True)
     words, flat = np.unique(shingles, return_inverse=True)
@@ -475,7 +475,8 @@ def verify_group(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, shingles:
         if label[bulk[0]] != label[row]:
             rest = np.concatenate([bulk, rest])
         rest = rest[np.minimum(sizes[rest], sizes[row]) >= share * np.maximum(sizes[rest], sizes[row])]
-        hit = rest[_linked(f, np.full(len(rest), row), rest, radius, most)]
+        apart = np.bitwise_count(f[rest] ^ f[row])
+        hit = rest[(apart[:, :KEEP_PROBES].min(axis=1) <= radius) & (apart.sum(axis=1) <= most)]
         if not len(hit):
             continue
         n = sizes[hit]
