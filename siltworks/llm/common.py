@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 import tempfile
@@ -44,6 +45,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that are checkpointed and out of use.
+
+    Spark does so once the driver's JVM has collected them, which otherwise may take until long after the job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a table in the shared folder."""
     return os.path.join(use_checkpoint_dir(spark), f"{name}-{os.urandom(8).hex()}")

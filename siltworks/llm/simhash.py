@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import ASCII_LOWER, checkpointed, free_name, small_batches, text_or_empty
+from siltworks.llm.common import ASCII_LOWER, checkpointed, free_name, release_shuffles, small_batches, text_or_empty
 from siltworks.llm.components import stars
 
 #: Fingerprints that may meet in one group of a key.
@@ -535,22 +535,33 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def _met(nodes: DataFrame, probe: int) -> DataFrame:
+    """links() of one probe, each pair once, with numbers of groups that no other probe has; a checkpoint."""
+    turned = nodes.select("node", *[F.col(f"f{(i + probe) % KEEP_WORDS}").alias(f"f{i}") for i in range(KEEP_WORDS)])
+    pair = F.col("kind") < CROWDED
+    low, high = F.when(pair, F.least("a", "b")).otherwise(F.xxhash64("b", F.lit(probe))), F.when(pair, F.greatest("a", "b")).otherwise(F.col("a"))
+    found = links(turned, KEEP_RADIUS, KEEP_LIMITS, KEEP_WORDS).select(high.alias("a"), low.alias("b"), "kind")
+    return checkpointed(found.groupBy("a", "b", pair.alias("pair")).agg(F.min("kind").alias("kind")))
+
+
 def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of all nodes connected over near-duplicate pairs, as stars() gives them."""
     found = None
     for probe in range(KEEP_PROBES):  # the probed word goes first
-        turned = nodes.select("node", *[F.col(f"f{(i + probe) % KEEP_WORDS}").alias(f"f{i}") for i in range(KEEP_WORDS)])
-        met = links(turned, KEEP_RADIUS, KEEP_LIMITS, KEEP_WORDS).select("a", F.when(F.col("kind") == CROWDED, F.xxhash64("b", F.lit(probe))).otherwise(F.col("b")).alias("b"), "kind")
+        met = _met(nodes, probe)
         found = met if found is None else found.unionByName(met)
-    pair = F.col("kind") < CROWDED
-    low, high = F.when(pair, F.least("a", "b")).otherwise(F.col("b")), F.when(pair, F.greatest("a", "b")).otherwise(F.col("a"))
-    found = checkpointed(found.groupBy(high.alias("a"), low.alias("b"), pair.alias("pair")).agg(F.min("kind").alias("kind")))
+        release_shuffles(nodes.sparkSession)
     roots = stars(found.filter(F.col("kind") == CERTAIN).select("a", "b"))
-    unsure = checkpointed(across(found.filter(F.col("kind") == TO_VERIFY).select("a", "b"), roots))
+    unsure = checkpointed(across(found.filter(F.col("kind") == TO_VERIFY).select("a", "b").distinct(), roots))
     crowded = found.filter(F.col("kind") == CROWDED).select(F.col("a").alias("node"), F.col("b").alias("group"))
     ends = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
     sets = shingle_sets(ends, nodes, docs, KEEP_SIZE)
-    return stars(roots.unionByName(similar(unsure, sets, KEEP_SHARE)).unionByName(settle(crowded, nodes, sets, roots)))
+    release_shuffles(nodes.sparkSession)
+    verified = checkpointed(similar(unsure, sets, KEEP_SHARE))
+    release_shuffles(nodes.sparkSession)
+    settled = checkpointed(settle(crowded, nodes, sets, roots))
+    release_shuffles(nodes.sparkSession)
+    return stars(roots.unionByName(verified).unionByName(settled))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
