@@ -500,7 +500,7 @@ def settle(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFra
     blocks = weighed.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     mine, other = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)).alias("other")
     dealt = crowded.join(blocks, "group").select("node", "group", mine.alias("mine"), other)
-    dealt = dealt.select("node", "group", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    dealt = checkpointed(dealt.select("node", "group", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")))
     held = nodes.join(sets, "node").join(roots.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("label"), *names, "shingles")
     kinds = dealt.join(held.select("node", "label"), "node").groupBy("group", "low", "high").agg(F.min("label").alias("one"), F.max("label").alias("two"))
     useful = kinds.filter("one <> two").select("group", "low", "high")
