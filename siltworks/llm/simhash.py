@@ -17,10 +17,11 @@ Copies share one fingerprint and are joined back at the end; they are never expa
 BLOCK fingerprints is dealt to blocks of them and every two blocks meet in a group of their own, so no task gathers an
 unbounded group and no pair is lost.
 
-For filtering (keep_one) fingerprints of 256 bits are probed by two of their words, and pairs that meet are verified by
-the exact Jaccard similarity of their distinct shingles, unless so few bits differ that it is certain or the pair is
-connected already. Where the open pairs of one key outnumber its fingerprints by more than OPEN to one, they aren't sent
-out as rows: the shingles of the key's documents are brought together instead, in blocks of bounded size, and the task
+For filtering (keep_one) a node is a set of distinct shingles, so texts of one node have similarity 1, and bands of
+MinHash values over the distinct shingles take the place of fingerprint bits: two sets share a value with a chance of
+exactly their Jaccard similarity, whatever their sizes. Every link is verified by the exact similarity. Nodes that meet
+in a band are compared with the smallest and largest node there, which costs one row a node. The pairs left in groups
+that this doesn't connect are compared where the shingles of their documents meet, in blocks of bounded size; the task
 that holds two blocks verifies their pairs exactly and sends out a link for each two groups that it connects.
 
 Edge cases: null text counts as empty; texts with fewer words than a shingle are one shingle; texts without words have
@@ -426,14 +427,48 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Near-duplicates for filtering: words in a shingle, least Jaccard similarity, 64-bit words of a fingerprint, words
-#: that are probed for candidates, bits that may differ in a probed word, and the limits of links() in bits of 256. On
-#: average 24, 39 and 54 bits differ where the similarity is 0.88, 0.80 and 0.71.
-KEEP_SIZE, KEEP_SHARE, KEEP_WORDS, KEEP_PROBES, KEEP_RADIUS, KEEP_LIMITS = 5, 0.8, 4, 2, 11, (24, 54)
+#: Near-duplicates for filtering: words in a shingle and least Jaccard similarity.
+KEEP_SIZE, KEEP_SHARE = 5, 0.8
+#: Bands and MinHash values in each. Sets of similarity 0.8 share no band with a chance of (1 - 0.8^5)^40 = 1.3e-7.
+BANDS, BAND_ROWS = 40, 5
+_MIX = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32)
+_MIX[0] |= np.uint32(1)
+#: Limits of links() for fingerprints of 256 bits: words that are probed, bits that may differ in one, and bits in all.
+KEEP_PROBES, KEEP_RADIUS, KEEP_LIMITS = 2, 11, (24, 54)
 #: Rows of (node, doc_id, hash) that may be broadcast, about 30 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
+def node_and_bands(text: str) -> tuple[int, np.ndarray]:
+    """(a number for the set of distinct shingles, a key for each band of its MinHash values); no keys without shingles."""
+    h = np.unique(shingle_hashes(text, KEEP_SIZE))
+    if not len(h):
+        return 0, np.zeros(0, np.int64)
+    node = np.array([_h64(h.tobytes())], np.uint64).view(np.int64)
+    x = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 256):
+        np.minimum(least, (x[at : at + 256, None] * _MIX[0] + _MIX[1]).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = _remix(keys * np.uint64(0x9E3779B97F4A7C15) + column, 1)
+    return int(node[0]), keys.view(np.int64)
+
+
+def banded(docs: DataFrame) -> DataFrame:
+    """doc_id, row (text_hash()), node and bands of every row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [node_and_bands(t or "") for t in batch.column(1).to_pylist()]
+            bands = pa.array([b for _, b in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for n, _ in made], pa.int64()), bands], names=["doc_id", "row", "node", "bands"])
+
+    part = docs.select("doc_id", "text", text_hash().alias("row"))
+    return part.mapInArrow(run, f"doc_id {part.schema['doc_id'].dataType.simpleString()}, row long, node long, bands array<long>")
+
+
 def shingle_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, shingles): the distinct shingles' hashes of the first document of each node in ends."""
     wanted = checkpointed(ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")))
@@ -457,11 +492,11 @@ def similar(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return both.filter(shared >= share * (F.size("left") + F.size("right") - shared)).select("a", "b")
 
 
-def verify_group(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, radius: int, most: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+def verify_group(nodes: np.ndarray, label: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that connect what exact similarity connects among nodes, as far as labels don't connect it already.
 
-    shingles: the distinct ones of each node, one node after the other. Pairs within radius bits of a probed word and
-    `most` in all are compared; once two labels are linked they are one, so a group of similar texts is done in one pass.
+    shingles: the distinct ones of each node, one node after the other. Once two labels are linked they are one, so a
+    group of similar texts is done in one pass.
     """
     kinds, label = np.unique(label, return_inverse=True)
     words, flat = np.unique(shingles, return_inverse=True)
@@ -474,9 +509,7 @@ def verify_group(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, shingles:
         rest = rest[label[rest] != label[row]]
         if label[bulk[0]] != label[row]:
             rest = np.concatenate([bulk, rest])
-        rest = rest[np.minimum(sizes[rest], sizes[row]) >= share * np.maximum(sizes[rest], sizes[row])]
-        apart = np.bitwise_count(f[rest] ^ f[row])
-        hit = rest[(apart[:, :KEEP_PROBES].min(axis=1) <= radius) & (apart.sum(axis=1) <= most)]
+        hit = rest[np.minimum(sizes[rest], sizes[row]) >= share * np.maximum(sizes[rest], sizes[row])]
         if not len(hit):
             continue
         n = sizes[hit]
@@ -493,36 +526,34 @@ def verify_group(nodes: np.ndarray, label: np.ndarray, f: np.ndarray, shingles:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def settle(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def settle(crowded: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): links among the nodes of each crowded group (node, group) by verify_group(), in pairs of blocks."""
-    names = [f"f{i}" for i in range(KEEP_WORDS)]
-    weighed = crowded.join(sets.select("node", F.size("shingles").alias("n")), "node")
-    blocks = weighed.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    mine, other = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)).alias("other")
-    dealt = crowded.join(blocks, "group").select("node", "group", mine.alias("mine"), other)
-    dealt = checkpointed(dealt.select("node", "group", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")))
-    held = nodes.join(sets, "node").join(roots.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("label"), *names, "shingles")
-    kinds = dealt.join(held.select("node", "label"), "node").groupBy("group", "low", "high").agg(F.min("label").alias("one"), F.max("label").alias("two"))
-    useful = kinds.filter("one <> two").select("group", "low", "high")
-    met = dealt.join(useful, ["group", "low", "high"]).join(held, "node").select("group", "low", "high", "node", "label", *names, "shingles")
+    held = sets.join(roots.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "shingles")
+    known = crowded.join(held.select("node", "label", F.size("shingles").alias("n")), "node")
+    blocks = known.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("label").alias("one"), F.max("label").alias("two"))
+    blocks = blocks.filter("one <> two").select("group", F.greatest("blocks", F.lit(1)).alias("blocks"))
+    mine, other = F.pmod(F.xxhash64("node"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = known.join(blocks, "group").select("node", "label", "group", mine.alias("mine"), other)
+    dealt = checkpointed(dealt.select("node", "label", "group", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")))
+    useful = dealt.groupBy("group", "low", "high").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one <> two").select("group", "low", "high")
+    met = dealt.join(useful, ["group", "low", "high"]).join(sets, "node").select("group", "low", "high", "node", "label", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            f = np.array([r[2:-1] for r in rows], np.int64).view(np.uint64)
             sizes = np.array([len(r[-1]) for r in rows], np.int64)
-            a, b = verify_group(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), f, np.concatenate([r[-1] for r in rows]), sizes, KEEP_RADIUS, KEEP_LIMITS[1], KEEP_SHARE)
+            a, b = verify_group(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.concatenate([r[-1] for r in rows]), sizes, KEEP_SHARE)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         group, rows = None, []
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[:-1]]
             lists = batch.columns[-1]
-            for i, (*key, node, label) in enumerate(zip(*columns[:5], strict=True)):
+            for i, (*key, node, label) in enumerate(zip(*columns, strict=True)):
                 if key != group and rows:
                     yield done(rows)
                     rows = []
                 group = key
-                rows.append((node, label, *(c[i] for c in columns[5:]), lists[i].values.to_numpy()))
+                rows.append((node, label, lists[i].values.to_numpy()))
         if rows:
             yield done(rows)
 
@@ -535,42 +566,32 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _met(nodes: DataFrame, probe: int) -> DataFrame:
-    """links() of one probe, each pair once, with numbers of groups that no other probe has; a checkpoint."""
-    turned = nodes.select("node", *[F.col(f"f{(i + probe) % KEEP_WORDS}").alias(f"f{i}") for i in range(KEEP_WORDS)])
-    pair = F.col("kind") < CROWDED
-    low, high = F.when(pair, F.least("a", "b")).otherwise(F.xxhash64("b", F.lit(probe))), F.when(pair, F.greatest("a", "b")).otherwise(F.col("a"))
-    found = links(turned, KEEP_RADIUS, KEEP_LIMITS, KEEP_WORDS).select(high.alias("a"), low.alias("b"), "kind")
-    return checkpointed(found.groupBy("a", "b", pair.alias("pair")).agg(F.min("kind").alias("kind")))
-
-
 def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of all nodes connected over near-duplicate pairs, as stars() gives them."""
-    found = None
-    for probe in range(KEEP_PROBES):  # the probed word goes first
-        met = _met(nodes, probe)
-        found = met if found is None else found.unionByName(met)
-        release_shuffles(nodes.sparkSession)
-    roots = stars(found.filter(F.col("kind") == CERTAIN).select("a", "b"))
-    unsure = checkpointed(across(found.filter(F.col("kind") == TO_VERIFY).select("a", "b").distinct(), roots))
-    crowded = found.filter(F.col("kind") == CROWDED).select(F.col("a").alias("node"), F.col("b").alias("group"))
-    ends = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
-    sets = shingle_sets(ends, nodes, docs, KEEP_SIZE)
-    release_shuffles(nodes.sparkSession)
-    verified = checkpointed(similar(unsure, sets, KEEP_SHARE))
-    release_shuffles(nodes.sparkSession)
-    settled = checkpointed(settle(crowded, nodes, sets, roots))
-    release_shuffles(nodes.sparkSession)
-    return stars(roots.unionByName(verified).unionByName(settled))
+    """(node, root) of all nodes (node, first, bands) connected over near-duplicate pairs, as stars() gives them."""
+    spark = nodes.sparkSession
+    bands = nodes.select("node", F.explode("bands").alias("group"))
+    ends = bands.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("n > 1")
+    met = checkpointed(bands.join(ends, "group"))
+    sets = shingle_sets(met.select("node").distinct(), nodes, docs, KEEP_SIZE)
+    release_shuffles(spark)
+    first = met.groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b")).filter("a <> b")
+    roots = stars(similar(first, sets, KEEP_SHARE))
+    release_shuffles(spark)
+    star = met.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    roots = stars(roots.unionByName(similar(checkpointed(across(star.distinct(), roots)), sets, KEEP_SHARE)))
+    release_shuffles(spark)
+    settled = checkpointed(settle(met.filter("n > 2").select("node", "group"), sets, roots))
+    release_shuffles(spark)
+    return stars(roots.unionByName(settled))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but the document of the smallest doc_id of each group of near-duplicates; columns as they are."""
     columns = docs.columns
-    made = checkpointed(fingerprints(docs, KEEP_SIZE, KEEP_WORDS))
-    rows = as_nodes(made.select(F.struct("doc_id", "row").alias("id"), *[f"f{i}" for i in range(KEEP_WORDS)]), KEEP_WORDS)
-    nodes = distinct_nodes(rows, KEEP_WORDS)
-    grouped = members(rows, nodes, connect(nodes, docs))
+    made = checkpointed(banded(docs))
+    rows = made.select(F.struct("doc_id", "row").alias("id"), "node", "bands")
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("bands").alias("bands")))
+    grouped = members(rows.select("id", "node"), nodes, connect(nodes, docs))
     doc, row, mark = (free_name(docs, n) for n in ("_gone_doc", "_gone_row", "_text_hash"))
     gone = grouped.filter(F.col("component") != F.col("id")).select(F.col("id.doc_id").alias(doc), F.col("id.row").alias(row)).distinct()
     tagged = docs.withColumn(mark, text_hash())
