@@ -1,8 +1,8 @@
 """License detection by ordered signature rules.
 
 A text is reduced to its words, space-joined, and rules (regexes over that form) run in order of priority: precise
-statements and identifiers first, bare family names last. A rule is tried only where the text holds its keyword, and
-no rule is tried where the text holds none of the gate words. A detection inside the interval of one of higher
+statements and identifiers first, bare family names last. A rule is tried only where the joined words hold its keyword,
+and no rule is looked at where they hold none of the rules' keywords. A detection inside the interval of one of higher
 priority is suppressed. The four base phrases are always counted, apart from the rules.
 
 All of it is column expressions: the rules are one constant array in the plan, and detections stay in the row as
@@ -14,7 +14,9 @@ scanned alike; overlapping places of a phrase all count; other columns are not r
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,10 +107,11 @@ SINGLE = (
     ("apache", "apache", "spdx license identifier apache 2 0", 1.0),
     ("proprietary", "all rights reserved", "all rights reserved", 0.4),
     ("proprietary", "proprietary", "proprietary and confidential", 0.5),
-    ("unknown-license", "licensed under", "licen[sc]ed under(?: the)?(?: terms of)?", 0.2),
+    ("unknown-license", "licen", "licen[sc]ed under(?: the)?(?: terms of)?", 0.2),
 )
-#: A text without any of these has no rule to try: each rule's matches hold one of them.
-GATE = ("licen", "cc", "creative commons", "public domain", "spdx", "bsd", "gpl", "rights reserved", "proprietary", "unlicense", "redistribution", "permission", "attribution")
+
+#: Keywords that only start a word of the rules, and those that may stand anywhere in one. All others are whole words.
+STARTS, WITHIN = ("licen", "gplv", "lgplv", "beer"), ("bsd",)
 
 
 def rules() -> list[dict]:
@@ -116,7 +119,7 @@ def rules() -> list[dict]:
     later, exact, bare = [], [], []
     for label, names, versions in VERSIONED:
         for name in names:
-            word = name.split()[-1] if "licen" not in name else next((w for w in name.split() if w.isalnum() and w not in ("gnu", "general", "public", "software", "free", "open")), "licen")
+            word = name if "licen" not in name else next((w for w in name.split() if w.isalnum() and w not in ("gnu", "general", "public", "software", "free", "open")), "licen")
             for v in versions:
                 form = f"{name}(?: version| v)? {v}" + "(?! [0-9])"
                 tag = f"{label}-{v.replace(' 0', '').replace(' ', '.')}"
@@ -126,12 +129,24 @@ def rules() -> list[dict]:
                 bare.append({"label": label, "key": word, "regex": name, "score": 0.8})
     for label, code, name in CREATIVE:
         for v in VERSIONS_CC:
-            exact.append({"label": f"{label}-{v.replace(' ', '.')}", "key": "cc", "regex": f"cc {code} {v}", "score": 1.0})
+            exact.append({"label": f"{label}-{v.replace(' ', '.')}", "key": "cc by", "regex": f"cc {code} {v}", "score": 1.0})
             exact.append({"label": f"{label}-{v.replace(' ', '.')}", "key": "creative commons", "regex": f"creative commons {name}(?: international)? {v}", "score": 1.0})
-        bare.append({"label": label, "key": "cc", "regex": f"cc {code}(?! (?:sa|nc|nd))", "score": 0.85})
+        bare.append({"label": label, "key": "cc by", "regex": f"cc {code}(?! (?:sa|nc|nd))", "score": 0.85})
         bare.append({"label": label, "key": "creative commons", "regex": f"creative commons {name}", "score": 0.85})
     single = [{"label": label, "key": key, "regex": regex, "score": score} for label, key, regex, score in SINGLE]
-    return [r | {"priority": i} for i, r in enumerate([*later, *exact, *single, *bare])]
+    return [r | {"priority": i, "key": probe(r["key"])} for i, r in enumerate([*later, *exact, *single, *bare])]
+
+
+def probe(key: str) -> str:
+    """What the joined words of each match hold: the key as whole words, or as far as the rules keep to words' starts."""
+    return key if key in WITHIN else f" {key}" if key in STARTS else f" {key} "
+
+
+def gate(joined: Column) -> Column:
+    """Whether the joined words hold the keyword of any rule."""
+    keys = sorted({r["key"] for r in rules()}, key=len)
+    least = [k for i, k in enumerate(keys) if not any(x in k for x in keys[:i])]
+    return functools.reduce(operator.or_, [joined.contains(k) for k in least])
 
 
 def _places(joined: Column, pattern: Column) -> Column:
@@ -155,8 +170,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts and places of the base phrases, detections of the rules, labels and a score."""
     table = F.from_json(F.lit(json.dumps(rules())), "array<struct<priority:int,label:string,key:string,regex:string,score:double>>")
     lower = ascii_lower(text_or_empty(text))
-    parts = docs.select(F.col(key).alias("doc_id"), lower.alias("_lower")).select("doc_id", F.array_remove(F.split("_lower", WORD_SEPARATOR), "").alias("_words"), _gate(F.col("_lower")).alias("_gate"))
-    joined = parts.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.when(F.col("_gate"), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))).alias("_joined"))
+    parts = docs.select(F.col(key).alias("doc_id"), F.array_remove(F.split(lower, WORD_SEPARATOR), "").alias("_words"))
+    parts = parts.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_text"))
+    joined = parts.select("doc_id", "n_words", F.when(gate(F.col("_text")), F.col("_text")).alias("_joined"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     base = {label: F.when(F.col("_joined").contains(f" {phrase} "), _places(F.col("_joined"), F.lit(phrase))).otherwise(empty) for phrase, label in BASE}
     tried = F.filter(table, lambda r: F.col("_joined").contains(r["key"]))
@@ -181,10 +197,3 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         best.alias("score"),
         "detections",
     )
-
-
-def _gate(lower: Column) -> Column:
-    out = F.lit(False)
-    for word in GATE:
-        out = out | lower.contains(word)
-    return out
