@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import string
 import tempfile
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 WORD_SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 ASCII_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-#: Documents in one Arrow batch; bounds a Python worker's memory where documents are long.
-BATCH_ROWS = 1000
+#: Documents and bytes in one Arrow batch; both bound a Python worker's memory where documents are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Rows of a narrow table (ids and hashes) that may be broadcast, at most some 30 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,18 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows for the Python stages of this package."""
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES for the Python stages of this package.
+
+    The settings count when a query runs, not when it is made, so they stay with the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltworks-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -45,6 +54,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a checkpointed table of narrow rows, to be broadcast if a count shows no more than `rows` of them."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def respread(df: DataFrame, key: str) -> DataFrame:
+    """df, an aggregate by the long column `key`, with the key written so that a join on it shuffles df again.
+
+    A join with the aggregate as it is would keep the aggregate's own partitions, and Spark then can't split the
+    other side's rows of a hot key among tasks. Of the aggregate there is one row a key.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of tables that are checkpointed and out of use.
 

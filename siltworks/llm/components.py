@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import checkpointed
+from siltworks.llm.common import checkpointed, respread
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,16 +16,16 @@ def stars(edges: DataFrame) -> DataFrame:
     """(a, b): b is the smallest node of a's component, for every node a that isn't the smallest itself.
 
     edges: pairs (a, b) of longs in any order, repeats and loops allowed. Minima are aggregated before the shuffle and
-    joined back, so that a node with very many neighbours is split among tasks. Each sweep ends in a checkpoint.
+    joined back as tables of their own, so that Spark can split a node with very many neighbours among tasks. Each sweep ends in a checkpoint.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(respread(least, "a"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = large.join(respread(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         now = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         new = _mark(now)
         if new == mark:

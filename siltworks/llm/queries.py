@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from siltworks.llm import decontam, licenses, linededup, media, mixing, pii, quality, sharding, simhash, toxicity
 from siltworks.llm.common import table
 
+#: Target token shares of op9; values that aren't named share the rest.
+TARGETS = {"lang": {"en": 0.57, "de": 0.16, "fr": 0.15, "es": 0.12}, "topic": {"prose": 0.85}}
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -41,7 +44,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("text", "n_chars")
+    return mixing.mix(table(spark, sf_dir, "documents"), TARGETS).drop("text", "n_chars")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

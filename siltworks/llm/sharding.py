@@ -3,27 +3,28 @@
 A document's shard follows from its doc_id and the number of shards alone: no ring table is kept, and going from n
 to n + 1 shards moves only the share 1/(n + 1) of the keys, all of them into the new shard.
 
-Slots number the rows of a shard without gaps. A shard is unbounded, so its rows are never sorted in one task: rows
-are dealt to sub-buckets of about SLOT_ROWS rows, a small table of counts gives each bucket its offset, and only rows
-within a bucket are numbered by a window.
-
-Edge cases: a null doc_id is a key of its own (0) for its shard and is spread over buckets by its text; null text has
-size 1 and the CRC of no bytes; repeated rows get slots of their own; an empty table gives an empty result; other
-columns are dropped by name, so clashing names do no harm.
+Slots number the rows of a shard without gaps. A shard is unbounded, so its rows are never brought together: each
+partition numbers its own rows by shard while it hashes their keys, and a table with a count for each partition and
+shard gives the partition's first slot there. Rows are neither shuffled nor sorted, and equal rows need no salt. The
+numbered rows are checkpointed before the counts are taken, so a task that runs again can't number them anew.
+
+Edge cases: a null doc_id is the key 0; null text has size 1 and the CRC of no bytes; repeated rows get slots of their
+own; an empty table gives an empty result; columns to keep stay as they are, and a column that the operator makes has
+a name with underscores at its end where a kept one has its name.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import text_or_empty
+from siltworks.llm.common import checkpointed, few, free_name, small_batches, text_or_empty
 
-SLOT_ROWS = 20_000
+MADE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def jump_hash(keys: np.ndarray, n_shards: int) -> np.ndarray:
@@ -39,36 +40,68 @@ def jump_hash(keys: np.ndarray, n_shards: int) -> np.ndarray:
     return at.astype(np.int32)
 
 
+def _key(column):
+    return F.coalesce(column, F.lit(0)).cast("long")
+
+
 def jump_column(key, n_shards: int):
     @F.pandas_udf("int")
     def shard(keys: pd.Series) -> pd.Series:
         return pd.Series(jump_hash(keys.to_numpy(np.int64), n_shards))
 
-    return shard(F.coalesce(key, F.lit(0)).cast("long"))
+    return shard(_key(key))
+
+
+def numbered(key, n_shards: int):
+    """(shard, shard if one were added, number among the partition's rows of the shard) of a key."""
+
+    @F.pandas_udf("shard int, grown int, nth long")
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        before = np.zeros(n_shards, np.int64)
+        for keys in batches:
+            values = keys.to_numpy(np.int64)
+            shard = jump_hash(values, n_shards)
+            nth = np.zeros(len(shard), np.int64)
+            for s in range(n_shards):
+                own = np.flatnonzero(shard == s)
+                nth[own] = before[s] + np.arange(len(own))
+                before[s] += len(own)
+            yield pd.DataFrame({"shard": shard, "grown": jump_hash(values, n_shards + 1), "nth": nth})
+
+    return number.asNondeterministic()(_key(key))
 
 
 def shard_rows(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to keep, size, text_crc32, law, shard, slot and grown_shard (the shard if one were added)."""
-    buckets = max(1, math.ceil(docs.count() / (n_shards * SLOT_ROWS)))
+    small_batches(docs.sparkSession)
+    kept = docs.select("doc_id" if key == "doc_id" else F.col(key).alias("doc_id"), *keep)
+    size, crc, law, shard, slot, grown = (free_name(kept, n) for n in MADE)
+    at, part = free_name(kept, "_at"), free_name(kept, "_part")
     body = text_or_empty(text)
-    rows = docs.select(
-        F.col(key).alias("doc_id"),
-        *keep,
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        jump_column(F.col(key), n_shards).alias("shard"),
-        jump_column(F.col(key), n_shards + 1).alias("grown_shard"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("rank", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, ["shard", "bucket"]).select(
-        "doc_id", *keep, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("rank")).cast("long").alias("slot"), "grown_shard"
+    rows = checkpointed(
+        docs.select(
+            F.col(key).alias("doc_id"),
+            *keep,
+            (F.octet_length(body) + 1).cast("long").alias(size),
+            F.crc32(body.cast("binary")).alias(crc),
+            numbered(F.col(key), n_shards).alias(at),
+            F.spark_partition_id().alias(part),
+        )
+    )
+    counts = rows.groupBy(part, F.col(f"{at}.shard").alias("_shard")).agg((F.max(f"{at}.nth") + 1).alias("_n"))
+    before = Window.partitionBy("_shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = few(checkpointed(counts.select(F.col(part).alias("_of"), "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))))
+    o, r = offsets.alias("o"), rows.alias("r")
+    joined = r.join(o, (F.col(f"r.{part}") == F.col("o._of")) & (F.col(f"r.{at}.shard") == F.col("o._shard")))
+    return joined.select(
+        *[F.col(f"r.`{c}`") for c in ("doc_id", *keep, size, crc)],
+        F.lit("key").alias(law),
+        F.col(f"r.{at}.shard").alias(shard),
+        (F.col("o._first") + F.col(f"r.{at}.nth")).cast("long").alias(slot),
+        F.col(f"r.{at}.grown").alias(grown),
     )
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, key: str = "doc_id") -> None:
-    """docs as Parquet with one folder a shard; a shard may have many files."""
+    """docs as Parquet with one folder a shard; a shard may have many files. A column named shard is replaced."""
     docs.withColumn("shard", jump_column(F.col(key), n_shards)).write.partitionBy("shard").parquet(path)

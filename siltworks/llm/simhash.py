@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import ASCII_LOWER, checkpointed, free_name, release_shuffles, small_batches, text_or_empty
+from siltworks.llm.common import ASCII_LOWER, checkpointed, few, free_name, release_shuffles, respread, small_batches, text_or_empty
 from siltworks.llm.components import stars
 
 #: Fingerprints that may meet in one group of a key.
@@ -409,8 +409,8 @@ def members(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """rows with component: the smallest id of those connected to its own node; roots as stars() gives them."""
     joined = nodes.select("node", "first").join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
-    member = joined.join(smallest, "root").select("node", "component")
-    return rows.join(member, "node").drop("node")
+    member = joined.join(respread(smallest, "root"), "root").select("node", "component")
+    return rows.join(respread(member, "node"), "node").drop("node")
 
 
 def link_rows(rows: DataFrame, radius: int, limit: int, n_words: int = 1) -> DataFrame:
@@ -435,8 +435,6 @@ _MIX = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np
 _MIX[0] |= np.uint32(1)
 #: Limits of links() for fingerprints of 256 bits: words that are probed, bits that may differ in one, and bits in all.
 KEEP_PROBES, KEEP_RADIUS, KEEP_LIMITS = 2, 11, (24, 54)
-#: Rows of (node, doc_id, hash) that may be broadcast, about 30 bytes each; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def node_and_bands(text: str) -> tuple[int, np.ndarray]:
@@ -472,9 +470,7 @@ def banded(docs: DataFrame) -> DataFrame:
 def shingle_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, shingles): the distinct shingles' hashes of the first document of each node in ends."""
     wanted = checkpointed(ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text", text_hash().alias("hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("row")))
+    texts = docs.select("doc_id", "text", text_hash().alias("hash")).join(few(wanted), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
