@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import WORD_SEPARATOR, ascii_lower, text_or_empty
+from siltworks.llm.spans import let, meets, places, tree
 
 #: Phrase and label. Fixed values.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -110,18 +111,103 @@ SINGLE = (
     ("unknown-license", "licen", "licen[sc]ed under(?: the)?(?: terms of)?", 0.2),
 )
 
+#: Sentences of licence texts, file headers and notices: label, keyword, regex over the words, score. Fixed values.
+STATEMENTS = (
+    ("gpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation", 0.95),
+    ("lgpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation", 0.95),
+    ("agpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e as published by the free software foundation", 0.95),
+    ("gpl", "received a copy", "you should have received a copy of the gnu general public licen[sc]e", 0.9),
+    ("lgpl", "received a copy", "you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 0.9),
+    ("agpl", "received a copy", "you should have received a copy of the gnu affero general public licen[sc]e", 0.9),
+    ("gpl", "verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document", 0.7),
+    ("gpl", "in the hope that", "distributed in the hope that it will be useful but without any warranty", 0.6),
+    ("gpl-exception", "exception", "(?:classpath|linking|gcc runtime library|font) exception", 0.7),
+    ("gpl-exception", "special exception", "as a special exception the copyright holders? (?:of this library )?give you permission to link", 0.9),
+    ("apache-2", "apache", "licen[sc]ed under the apache licen[sc]e version 2 0 the licen[sc]e", 1.0),
+    ("apache-2", "applicable law", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", 0.95),
+    ("apache-2", "apache", "www apache org licen[sc]es licen[sc]e 2 0", 0.95),
+    ("apache", "asf", "licen[sc]ed to the apache software foundation asf under one or more contributor licen[sc]e agreements", 0.95),
+    ("bsd-3", "endorse or promote", "neither the name (?:of )?(?:[a-z0-9]+ ){1,12}may be used to endorse or promote products", 0.95),
+    ("bsd-4", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.95),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice", 0.9),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice", 0.9),
+    ("bsd", "as is", "this software is provided by the (?:copyright holders|regents|authors?)(?: and contributors)? as is", 0.8),
+    ("bsd-2-patent", "patent", "bsd 2 clause plus patent", 0.9),
+    ("mit", "substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.95),
+    ("mit", "as is", "the software is provided as is without warranty of any kind express or implied", 0.7),
+    ("mit-0", "attribution", "mit no attribution", 0.9),
+    ("isc", "permission to use copy modify", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 0.95),
+    ("zlib", "held liable", "in no event will the authors? be held liable for any damages arising from the use of this software", 0.9),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 0.95),
+    ("zlib", "plainly marked", "altered source versions must be plainly marked as such", 0.95),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", 1.0),
+    ("mpl", "mozilla", "the contents of this file are subject to the mozilla public licen[sc]e", 0.95),
+    ("epl", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 0.95),
+    ("cddl", "common development", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 0.95),
+    ("bsl", "person or organization", "free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 0.95),
+    ("unlicense", "anyone is free", "anyone is free to copy modify publish use compile sell or distribute this software", 0.95),
+    ("cc0", "waived all copyright", "waived all copyright and related or neighbou?ring rights", 0.95),
+    ("cc", "creative commons", "this work is licen[sc]ed under a creative commons", 0.6),
+    ("perl", "perl", "(?:under )?the same terms as perl itself", 0.85),
+    ("python", "psf", "psf hereby grants licen[sc]ee a nonexclusive royalty free world wide licen[sc]e", 0.95),
+    ("ofl", "font software", "this font software is licen[sc]ed under the sil open font licen[sc]e", 1.0),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 0.9),
+    ("json", "not evil", "the software shall be used for good not evil", 0.95),
+    ("wtfpl", "want to public", "do what the [a-z]+ you want to public licen[sc]e", 0.95),
+    ("ijg", "jpeg", "(?:based in part on the work of the )?independent jpeg group", 0.7),
+    ("public-domain", "public domain", "this (?:work|file|software|code|page|text) is in the public domain", 0.8),
+    ("public-domain", "no copyright", "no copyright is claimed", 0.6),
+    ("public-domain", "no rights reserved", "no rights reserved", 0.6),
+    ("proprietary", "strictly prohibited", "unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: [a-z]+){0,8} is strictly prohibited", 0.7),
+    ("proprietary", "proprietary information", "confidential and proprietary information of", 0.7),
+    ("proprietary", "may be reproduced", "no part of this (?:publication|document|book|work) may be reproduced", 0.6),
+    ("proprietary", "trade secret", "(?:contains )?trade secret", 0.4),
+    ("proprietary", "internal use only", "for internal use only", 0.4),
+    ("proprietary", "permission of", "without the (?:prior )?(?:express )?written permission of", 0.5),
+    ("commons-clause", "commons clause", "commons clause(?: licen[sc]e condition)?", 0.85),
+    ("elastic", "elastic", "elastic licen[sc]e(?: version)?(?: 2 0)?", 0.85),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|strict|perimeter|internal use)(?: licen[sc]e)?", 0.85),
+    ("blue-oak", "blue oak", "blue oak model licen[sc]e", 0.85),
+    ("mulan", "mulan", "mulan (?:permissive software licen[sc]e|public licen[sc]e|psl)", 0.85),
+    ("unicode", "unicode", "unicode (?:inc )?licen[sc]e(?: agreement)?", 0.8),
+    ("icu", "icu", "icu licen[sc]e", 0.8),
+    ("curl", "curl", "curl licen[sc]e", 0.8),
+    ("tcl", "tcl", "tcl(?: tk)? licen[sc]e", 0.8),
+    ("imagemagick", "imagemagick", "imagemagick licen[sc]e", 0.85),
+    ("freetype", "freetype", "freetype(?: project)? licen[sc]e", 0.85),
+    ("info-zip", "info zip", "info zip licen[sc]e", 0.85),
+    ("libtiff", "libtiff", "libtiff licen[sc]e", 0.85),
+    ("nasa", "nasa", "nasa open source agreement", 0.85),
+    ("apsl", "apple", "apple public source licen[sc]e(?: 2 0)?", 0.85),
+    ("sissl", "sun industry", "sun industry standards source licen[sc]e", 0.85),
+    ("rpl", "reciprocal", "reciprocal public licen[sc]e", 0.8),
+    ("ogl", "open government", "open government licen[sc]e(?: v(?:ersion)?)?(?: [123] 0)?", 0.85),
+    ("etalab", "licence ouverte", "licence ouverte(?: open licence)?", 0.85),
+    ("pddl", "public domain", "public domain dedication and licen[sc]e", 0.85),
+    ("cdla", "community data", "community data licen[sc]e agreement(?: (?:permissive|sharing))?", 0.85),
+    ("openrail", "openrail", "(?:creativeml |bigcode )?openrail(?: m)?", 0.85),
+    ("rail", "responsible ai", "responsible ai licen[sc]e", 0.8),
+    ("llama", "llama", "llama(?: [0-9]){0,2} community licen[sc]e", 0.85),
+    ("gemma", "gemma", "gemma terms of use", 0.85),
+    ("gfdl", "copy distribute and or modify", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 0.95),
+    ("spdx", "spdx", "spdx licen[sc]e identifier [a-z0-9]+", 0.5),
+)
+
 #: Keywords that only start a word of the rules, and those that may stand anywhere in one. All others are whole words.
 STARTS, WITHIN = ("licen", "gplv", "lgplv", "beer"), ("bsd",)
 
 
 def rules() -> list[dict]:
-    """All rules by falling priority: exact versions with "or later", exact versions, single statements, bare names."""
+    """All rules by falling priority: exact versions with "or later", exact versions, names and statements, bare names.
+
+    Of VERSIONED and CREATIVE each name is a rule for each version; SINGLE and STATEMENTS are written one by one.
+    """
     later, exact, bare = [], [], []
     for label, names, versions in VERSIONED:
         for name in names:
             word = name if "licen" not in name else next((w for w in name.split() if w.isalnum() and w not in ("gnu", "general", "public", "software", "free", "open")), "licen")
             for v in versions:
-                form = f"{name}(?: version| v)? {v}" + "(?! [0-9])"
+                form = f"{name}(?: version| v)? v?{v}" + "(?! [0-9])"
                 tag = f"{label}-{v.replace(' 0', '').replace(' ', '.')}"
                 later.append({"label": f"{tag}+", "key": word, "regex": f"{form} or (?:any )?later(?: version)?", "score": 1.0})
                 exact.append({"label": tag, "key": word, "regex": form, "score": 0.95})
@@ -133,7 +219,7 @@ def rules() -> list[dict]:
             exact.append({"label": f"{label}-{v.replace(' ', '.')}", "key": "creative commons", "regex": f"creative commons {name}(?: international)? {v}", "score": 1.0})
         bare.append({"label": label, "key": "cc by", "regex": f"cc {code}(?! (?:sa|nc|nd))", "score": 0.85})
         bare.append({"label": label, "key": "creative commons", "regex": f"creative commons {name}", "score": 0.85})
-    single = [{"label": label, "key": key, "regex": regex, "score": score} for label, key, regex, score in SINGLE]
+    single = [{"label": label, "key": key, "regex": regex, "score": score} for label, key, regex, score in (*SINGLE, *STATEMENTS)]
     return [r | {"priority": i, "key": probe(r["key"])} for i, r in enumerate([*later, *exact, *single, *bare])]
 
 
@@ -149,41 +235,30 @@ def gate(joined: Column) -> Column:
     return functools.reduce(operator.or_, [joined.contains(k) for k in least])
 
 
-def _places(joined: Column, pattern: Column) -> Column:
-    """(start, end) word numbers of the matches of ' ' + pattern in ' w1 w2 ... ', end exclusive."""
-    anchored = F.concat(F.lit(" "), pattern, F.lit("(?= )"))
-    found = F.regexp_extract_all(joined, anchored, F.lit(0))
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    gaps = F.split(joined, anchored, -1)
-    return F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(spaces(g).alias("skip"), spaces(m).alias("size"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["skip"] + x["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["skip"]).alias("start"), (acc["at"] + x["skip"] + x["size"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+DETECTION = "array<struct<priority:int,s:int,e:int,label:string,score:double>>"
+
+
+def _places(pattern: str) -> str:
+    """SQL for the word numbers of the matches of ' ' + pattern in ' w1 w2 ... '; ends exclusive."""
+    return places("_joined", f"concat(' ', {pattern}, '(?= )')", "(length({0}) - length(replace({0}, ' ', '')))")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts and places of the base phrases, detections of the rules, labels and a score."""
-    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<priority:int,label:string,key:string,regex:string,score:double>>")
+    table = "from_json('" + json.dumps(rules()).replace("\\", "\\\\").replace("'", "\\'") + "', 'array<struct<priority:int,label:string,key:string,regex:string,score:double>>')"
     lower = ascii_lower(text_or_empty(text))
     parts = docs.select(F.col(key).alias("doc_id"), F.array_remove(F.split(lower, WORD_SEPARATOR), "").alias("_words"))
     parts = parts.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_text"))
     joined = parts.select("doc_id", "n_words", F.when(gate(F.col("_text")), F.col("_text")).alias("_joined"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    base = {label: F.when(F.col("_joined").contains(f" {phrase} "), _places(F.col("_joined"), F.lit(phrase))).otherwise(empty) for phrase, label in BASE}
-    tried = F.filter(table, lambda r: F.col("_joined").contains(r["key"]))
-    detected = F.flatten(
-        F.transform(tried, lambda r: F.transform(_places(F.col("_joined"), r["regex"]), lambda p: F.struct(r["priority"].alias("priority"), p["start"].alias("start"), p["end"].alias("end"), r["label"].alias("label"), r["score"].alias("score"))))
-    )
-    found = joined.select("doc_id", "n_words", *[places.alias(f"_{label}") for label, places in base.items()], F.when(F.col("_joined").isNotNull(), detected).alias("_all"))
-    kept = F.filter("_all", lambda d: ~F.exists("_all", lambda e: (e["priority"] < d["priority"]) & (e["start"] <= d["start"]) & (e["end"] >= d["end"])))
-    starts = F.transform(F.concat(*[F.col(f"_{label}") for _, label in BASE]), lambda p: p["start"])
+    base = [F.expr(f"if(contains(_joined, ' {phrase} '), transform({_places(f"'{phrase}'")}, p -> p.s), CAST(array() AS array<int>))").alias(f"_{label}") for phrase, label in BASE]
+    each = f"transform({_places('r.regex')}, p -> struct(r.priority AS priority, p.s AS s, p.e AS e, r.label AS label, r.score AS score))"
+    every = f"flatten(transform(filter({table}, r -> contains(_joined, r.key)), r -> {each}))"
+    inside = "x.priority < d.priority AND x.s <= d.s AND x.e >= d.e"
+    kept = let("every_", every, let("rivals_", tree("every_"), f"filter(every_, d -> NOT {meets('rivals_', 'd', inside)})"))
+    found = joined.select("doc_id", "n_words", *base, F.expr(f"if(_joined IS NULL, CAST(array() AS {DETECTION}), {kept})").alias("detections"))
+    starts = F.concat(*[F.coalesce(f"_{label}", F.array().cast("array<int>")) for _, label in BASE])
     here = F.filter(F.array(*[F.when(F.size(f"_{label}") > 0, F.lit(label)) for _, label in BASE]), lambda x: x.isNotNull())
-    out = found.select("doc_id", "n_words", starts.alias("_starts"), here.alias("_base"), F.coalesce(kept, F.array().cast("array<struct<priority:int,start:int,end:int,label:string,score:double>>")).alias("detections"))
+    out = found.select("doc_id", "n_words", starts.alias("_starts"), here.alias("_base"), "detections")
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.transform("detections", lambda d: d["label"]))))
     best = F.aggregate(F.transform("detections", lambda d: d["score"]), F.when(F.size("_base") > 0, 0.8).otherwise(0.0), lambda a, x: F.greatest(a, x))
     return out.select(

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from siltworks.llm import boosting
 from siltworks.llm.common import text_or_empty
+from siltworks.llm.spans import let, meets, places, tree
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -54,8 +55,8 @@ GENERATORS = (
     ("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"),
 )
 CONTEXT = r"(?i)mail|contact|tel|phone|call|fax|mobile|card|visa|account|ip|host|addr|token|secret|passw|key|login"
-#: Characters before a candidate that count as its context.
-BEFORE = 24
+#: Characters before a candidate that count as its context, and in a piece of a text in which it is looked up.
+BEFORE, PIECE = 24, 1024
 FEATURES = ("len", "digits", "alpha", "upper", "hex", "sep", "dots", "luhn", "context", "prev", "next", "kind")
 PRECISION, TREES, EXAMPLES = 0.97, 24, 4000
 
@@ -142,17 +143,9 @@ def model(seed: int = 6) -> tuple[tuple, dict[str, float]]:
     return tuple(trees), thresholds
 
 
-SPAN = "array<struct<s:int,e:int,v:string>>"
-
-
 def _places(pattern: str) -> str:
     """SQL for the places and texts of a pattern's matches in the column t."""
-    found = f"regexp_extract_all(t, r'{pattern}', 0)"
-    return (
-        f"aggregate(zip_with(slice(split(t, r'{pattern}', -1), 1, size({found})), {found}, (g, m) -> struct(length(g) AS skip, m AS v)), "
-        f"struct(0 AS at, CAST(array() AS {SPAN}) AS found), "
-        f"(acc, x) -> struct(acc.at + x.skip + length(x.v) AS at, concat(acc.found, array(struct(acc.at + x.skip AS s, acc.at + x.skip + length(x.v) AS e, x.v AS v))) AS found), acc -> acc.found)"
-    )
+    return places("t", f"r'{pattern}'")
 
 
 def _luhn(value: str) -> str:
@@ -170,15 +163,17 @@ PASS = {
 
 
 def _candidates() -> str:
-    """SQL for all candidates with their features and logits."""
+    """SQL for all candidates with their features and logits; pieces_: the text in pieces of PIECE, as substring() takes time by the place in a text."""
     trees, _ = model()
     each = []
     for kind, pattern in GENERATORS:
         count = lambda p: f"regexp_count(x.v, r'{p}')"
-        before = f"substring(t, greatest(x.s - {BEFORE}, 0) + 1, least({BEFORE}, x.s))"
+        first = f"greatest(x.s - {BEFORE}, 0)"
+        before = f"substring(concat(get(pieces_, {first} div {PIECE}), coalesce(get(pieces_, {first} div {PIECE} + 1), '')), int({first} % {PIECE}) + 1, least({BEFORE}, x.s))"
+        after = f"coalesce(substring(get(pieces_, x.e div {PIECE}), int(x.e % {PIECE}) + 1, 1), '')"
         values = [
             "length(x.v)", count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[0-9a-f]"), count("[ ()/:-]"), count("[.]"), f"int({_luhn('x.v')})",
-            f"int({before} RLIKE r'{CONTEXT}')", f"int({before} RLIKE '[A-Za-z0-9_]$')", "int(substring(t, x.e + 1, 1) RLIKE '[A-Za-z0-9_]')", str(KINDS.index(kind)),
+            f"int({before} RLIKE r'{CONTEXT}')", f"int({before} RLIKE '[A-Za-z0-9_]$')", f"int({after} RLIKE '[A-Za-z0-9_]')", str(KINDS.index(kind)),
         ]
         named = ", ".join(f"double({v}) AS {f}" for v, f in zip(values, FEATURES, strict=True))
         each.append(f"transform({_places(pattern)}, x -> struct('{kind}' AS kind, x.s AS s, x.e AS e, struct({named}) AS f))")
@@ -192,14 +187,21 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     body = text_or_empty(text)
     out = docs.select(F.col(key).alias("doc_id"), F.when(body.rlike(GATE), body).otherwise("").alias("t"))
     out = out.select("doc_id", "t", *[F.expr(f"filter({_places(PATTERNS[k])}, x -> {PASS[k]})").alias(k) for k in BASE])
-    out = out.withColumn("all_base", F.expr("concat(" + ", ".join(BASE) + ")"))
     keeps = " ".join(f"WHEN '{k}' THEN {f'{v:.6f}D' if np.isfinite(v) else '1e300D'}" for k, v in thresholds.items())
-    good = f"filter({_candidates()}, c -> c.score >= CASE c.kind {keeps} END AND NOT exists(all_base, b -> b.s < c.e AND c.s < b.e))"
-    out = out.withColumn("good", F.expr(f"if(t = '', CAST(array() AS array<struct<kind:string,s:int,e:int,score:double>>), {good})"))
-    out = out.withColumn("extra", F.expr("filter(good, c -> NOT exists(good, d -> d.s < c.e AND c.s < d.e AND (d.score > c.score OR (d.score = c.score AND (d.s < c.s OR (d.s = c.s AND (d.e > c.e OR (d.e = c.e AND d.kind < c.kind))))))))"))
+    # What overlaps a base span goes, then what overlaps a better candidate; ties go to the first, then the longest.
+    pieces = f"regexp_extract_all(t, r'(?s).{{1,{PIECE}}}', 0)"
+    free = let("based_", tree(f"concat({', '.join(BASE)})"), f"filter({_candidates()}, c -> c.score >= CASE c.kind {keeps} END AND NOT {meets('based_', 'c', 'true')})")
+    better = "(x.score > c.score OR (x.score = c.score AND (x.s < c.s OR (x.s = c.s AND (x.e > c.e OR (x.e = c.e AND x.kind < c.kind))))))"
+    best = let("good_", let("pieces_", pieces, free), let("rivals_", tree("good_"), f"filter(good_, c -> NOT {meets('rivals_', 'c', better)})"))
+    out = out.withColumn("extra", F.expr(f"if(t = '', CAST(array() AS array<struct<kind:string,s:int,e:int,score:double>>), {best})"))
     mark = lambda k, spans: f"transform({spans}, x -> struct('{k}' AS kind, x.s AS s, x.e AS e))"
     base = "concat(" + ", ".join(mark(k, k) for k in BASE) + ")"
-    every = "concat(" + ", ".join(f"array_sort(array_distinct(concat({mark(k, k) if k in BASE else 'CAST(array() AS array<struct<kind:string,s:int,e:int>>)'}, " + mark(k, f"filter(extra, c -> c.kind = '{k}')") + ")))" for k in KINDS) + ")"
+
+    def all_of(k: str) -> str:
+        own = f"concat({mark(k, k)}, {mark(k, f"filter(extra, c -> c.kind = '{k}')")})" if k in BASE else mark(k, f"filter(extra, c -> c.kind = '{k}')")
+        return let("sorted_", f"array_sort({own})", "filter(sorted_, (x, i) -> i = 0 OR x <> get(sorted_, i - 1))")
+
+    every = "concat(" + ", ".join(map(all_of, KINDS)) + ")"
     text_of = lambda spans: f"array_join(transform({spans}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
     out = out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.expr(base).alias("base"), F.expr(every).alias("found"))
     return out.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(F.expr(text_of("base")), 256).alias("base_sha256"), F.expr(text_of("found")).alias("spans"), "found")

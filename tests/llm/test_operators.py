@@ -274,3 +274,48 @@ def test_empty_tables(spark, empty):
         pii.find(empty), decontam.find(empty, items), licenses.scan(empty), mixing.mix(empty), sharding.shard_rows(empty),
     ]
     assert [x.count() for x in made] == [0] * len(made)
+
+
+def test_many_spans_in_one_text(spark):
+    """Thousands of spans and candidates: all base spans, and of what overlaps only one stays."""
+    text = " ".join(f'u{i}@site{i}.org token = "{i:040x}" call 555-123-{i:04d} now' for i in range(1500))
+    row = pii.find(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()[0]
+    base = brute.base_spans(text)
+    assert row.n_email == 1500 and row.base_sha256 == brute.sha(",".join(f"{k}:{s}:{e}" for k, s, e in base))
+    spans = sorted((x.s, x.e) for x in row.found)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(x.kind == "secret" for x in row.found) > 1000
+
+
+def test_columns_to_keep_may_have_any_name(spark):
+    names = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "_at", "_part", "n_words", "n_hit", "spans", "contaminated", "_text", "_doc"]
+    docs = spark.createDataFrame([(i, f"text {i % 3}", *[f"{n}{i}" for n in names]) for i in range(20)] * 2, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = sharding.shard_rows(docs, keep=("text", *names))
+    assert out.select("doc_id", "text", *names).exceptAll(docs).count() == 0 and out.count() == 40
+    assert sorted(r[0] for r in out.select("slot_").distinct().collect()) == list(range(out.groupBy("shard_").count().agg({"count": "max"}).first()[0]))
+    found = decontam.find(docs, spark.createDataFrame([(1, "text 1")], "item_id long, text string"), keep=tuple(names))
+    assert found.select("doc_id", *names).exceptAll(docs.drop("text")).count() == 0 and found.filter("contaminated_").count() == 14
+    assert decontam.remove(docs, spark.createDataFrame([(1, "text 1")], "item_id long, text string")).columns == docs.columns
+
+
+def test_samples_count_repeated_and_missing_documents_once(spark):
+    from siltworks.llm import sampling
+
+    docs = spark.createDataFrame([(1, "b text"), (1, "a text")] * 2000 + [(i, f"text {i}") for i in range(2, 40)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1, None), (1, 1), (1, 0)], "doc_id long, quality int")
+    rows = sampling.labelled_features(docs, labels, "quality", (4, 2), 12, lambda t: t.encode())
+    wanted = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(rows) == sum(min(12, sum((i % 2 if i != 1 else 0) == c for i in wanted)) for c in (0, 1))
+    assert sum(b in (b"a text", b"b text") for _, b in rows) <= 1
+    assert len(sampling.labelled_features(docs, labels, "quality", (4, 2), 12, lambda t: t.encode(), 80)) < len(rows)
+
+
+def test_stated_targets(spark):
+    """Named values get their shares, the others share the rest; the driver's and the tables' way agree."""
+    targets = {"lang": {"en": 0.5, "xx": 0.2}, "source": {"s1": 0.4}}
+    docs = spark.createDataFrame([(i, "w " * (5 + i % 11) + ("a | b" if i % 4 == 0 else ""), ["en", "de", "fr"][i % 3], f"s{i % 5}") for i in range(600)], "doc_id long, text string, lang string, source string")
+    for most in (mixing.MAX_CELLS, 0):
+        rows = mixing.mix(docs, targets, fraction=0.5, max_cells=most).select("lang", "source", "tokens", "probability").collect()
+        total = sum(r.tokens * r.probability for r in rows)
+        share = lambda k, v: sum(r.tokens * r.probability for r in rows if r[k] == v) / total  # noqa: B023, E731
+        assert share("lang", "en") == pytest.approx(0.5, rel=1e-3) and share("source", "s1") == pytest.approx(0.4, rel=1e-3)
+        assert share("lang", "de") + share("lang", "fr") == pytest.approx(0.5, rel=1e-3)
