@@ -14,17 +14,23 @@ def trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^\s+|\s+$", "")
 
 
+def is_kotlin() -> Column:
+    return F.col("path").endswith(".kt")
+
+
 def packages(lines: DataFrame) -> DataFrame:
-    """(path, line_no, package) of package declarations."""
+    """(path, line_no, package) of package declarations; only Java's lose a semicolon."""
     t = trimmed(F.col("line"))
-    return lines.filter(t.startswith("package ")).select("path", "line_no", trimmed(F.regexp_replace(F.substring(t, 9, 1 << 30), ";$", "")).alias("package"))
+    name = F.substring(t, 9, 1 << 30)
+    return lines.filter(t.startswith("package ")).select("path", "line_no", trimmed(F.when(is_kotlin(), name).otherwise(F.regexp_replace(name, ";$", ""))).alias("package"))
 
 
 def imports(lines: DataFrame) -> DataFrame:
-    """(path, line_no, import) of import lines: without `static`, `;` and a trailing `.*`."""
+    """(path, line_no, import) of import lines without a trailing `.*`: Java's without `static` and `;`, Kotlin's up to ` as `."""
     t = trimmed(F.col("line"))
-    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(t, 8, 1 << 30), "^static ", ""), ";$", ""), r"\.\*$", "")
-    return lines.filter(t.startswith("import ")).select("path", "line_no", trimmed(name).alias("import"))
+    name = F.substring(t, 8, 1 << 30)
+    java, kotlin = trimmed(F.regexp_replace(F.regexp_replace(name, "^static ", ""), ";$", "")), trimmed(F.substring_index(name, " as ", 1))
+    return lines.filter(t.startswith("import ")).select("path", "line_no", F.regexp_replace(F.when(is_kotlin(), kotlin).otherwise(java), r"\.\*$", "").alias("import"))
 
 
 def package_of(name: Column) -> Column:
@@ -33,8 +39,9 @@ def package_of(name: Column) -> Column:
 
 
 def classes(lines: DataFrame) -> DataFrame:
-    """(path, line_no, class): the first declaration of each line."""
-    return lines.select("path", "line_no", F.regexp_extract("line", fixed.CLASS, 1).alias("class")).filter("class <> ''")
+    """(path, line_no, class): the first declaration of each line, of a type in Java, of a class, object or interface in Kotlin."""
+    name = F.when(is_kotlin(), F.regexp_extract("line", fixed.KOTLIN_CLASS, 2)).otherwise(F.regexp_extract("line", fixed.CLASS, 1))
+    return lines.select("path", "line_no", name.alias("class")).filter("class <> ''")
 
 
 def methods(lines: DataFrame) -> DataFrame:
@@ -74,3 +81,65 @@ def under_prefixes(df: DataFrame, column: str, prefixes: DataFrame, keep: bool)
     """Rows whose package is one of `prefixes` (prefix) or below one (keep), or the others; duplicates in df stay."""
     found = df.select(column).distinct().select(column, F.explode(ancestors(F.col(column))).alias("prefix")).join(prefixes, "prefix", "left_semi").select(column).distinct()
     return df.join(found, column, "left_semi" if keep else "left_anti")
+
+
+def library_package(package: Column) -> Column:
+    """Whether a renamed or one-letter package is a library's; the known prefixes are under_prefixes()'."""
+    rest = F.regexp_replace(F.regexp_replace(package, "^p", ""), "^[0-9]+", "")
+    known = reduce(lambda a, b: a | b, [F.lower(rest).contains(w) for w in fixed.LIBRARY_WORDS])
+    return (package.rlike(r"^p\d+") & (rest.startswith("j$") | (rest == "j") | known)) | package.rlike(r"^[a-z]\z")
+
+
+def first_package(content: Column, path: Column) -> Column:
+    """The package that a file's first line of code declares, else the folders below `sources`, else empty."""
+    code = F.filter(F.transform(F.split(content, "\r\n|\n|\r"), trimmed), lambda t: (t != "") & ~t.startswith("//") & ~t.startswith("/*") & ~t.startswith("*"))
+    first = F.coalesce(F.get(code, F.lit(0)), F.lit(""))
+    folder = F.regexp_replace(path, "/[^/]*$", "")
+    below = F.regexp_replace(F.regexp_extract(folder, "^.*?sources/(.*)$", 1), "/", ".")
+    return F.when(first.startswith("package "), trimmed(F.regexp_replace(F.substring(first, 9, 1 << 30), ";$", ""))).otherwise(below)
+
+
+def package_prefix(package: Column) -> Column:
+    """The part of a package that names its owner: two or three words."""
+    words = F.split(package, r"\.")
+    n = F.when(words[0].isin("androidx", "org", "io"), 2).otherwise(3)
+    return F.array_join(F.slice(words, 1, n), ".")
+
+
+def encrypted_strings(content: Column) -> Column:
+    """Signs of encrypted strings."""
+    return reduce(lambda a, b: a | b, [content.rlike(p) for p in fixed.STRING_ENCRYPTION])
+
+
+def class_counts(files: DataFrame) -> DataFrame:
+    """Files, files with an obfuscated name, obfuscated methods, and names of two letters at most, of (path, content)."""
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    bad = F.size(F.filter(F.regexp_extract_all("content", F.lit(fixed.METHOD), F.lit(1)), obfuscated))
+    return files.agg(F.count("*").alias("n_classes"), F.count_if(obfuscated(name)).alias("n_obfuscated"), F.sum(bad).cast("long").alias("n_methods"), F.count_if(F.length(name) <= 2).alias("n_short"))
+
+
+def languages(files: DataFrame) -> DataFrame:
+    """has_java and has_kotlin of (path, ...)."""
+    has = lambda ext: F.coalesce(F.bool_or(F.col("path").endswith(ext)), F.lit(False))
+    return files.agg(has(".java").alias("has_java"), has(".kt").alias("has_kotlin"))
+
+
+def undeclared_names(lines: DataFrame) -> DataFrame:
+    """(path, name, line_no): arrays of a file that are assigned to and nowhere declared, with their first use."""
+    kinds = "(?:int|long|short|byte|float|double|char|boolean|String|Object)"
+    declared = lines.select("path", F.explode(F.regexp_extract_all("line", F.lit(rf"{kinds}(?:\s*\[\s*\]\s*|\s+)(\w+)\s*="), F.lit(1))).alias("name"))
+    used = lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(\w+)\s*\[\s*\w+\s*\]\s*="), F.lit(1))).alias("name"))
+    return used.join(declared, ["path", "name"], "left_anti").groupBy("path", "name").agg(F.min("line_no").alias("line_no"))
+
+
+def lost_methods(files: DataFrame) -> DataFrame:
+    """(name, n_args): the distinct calls of methods that a decompiler has lost, ten arguments at most.
+
+    Calls of the second kind count one argument more than they have, as calls of the first kind do for their number.
+    """
+    short, named = fixed.LOST_CALLS
+    several = lambda pattern, *groups: F.explode(F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])).alias("x")
+    calls = files.select(several(short, 1, 3)).select(F.col("x.g1").alias("name"), F.col("x.g3").alias("args"))
+    calls = calls.unionByName(files.select(several(named, 1, 2)).select(F.col("x.g1").alias("name"), F.col("x.g2").alias("args")))
+    blank, n = trimmed(F.col("args")) == "", F.size(F.split("args", ",", -1)) + 1
+    return calls.select("name", F.when(blank, 0).otherwise(F.least(n, F.lit(10))).alias("n_args")).distinct()

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.functions import fixed
+
 
-def put_if_absent(rows: DataFrame, word: str, coordinate: str, version: str) -> DataFrame:
-    """rows (coordinate, version) and one more if some coordinate holds `word` and none is `coordinate`."""
+def put_if_absent(rows: DataFrame, word: str, coordinate: str, version: str, androidx: DataFrame | None = None) -> DataFrame:
+    """rows (coordinate, version) and one more if some coordinate holds `word` and none is `coordinate`.
+
+    androidx: packages; if given, nothing is added unless one of them is below androidx.
+    """
     seen = rows.agg(F.bool_or(F.col("coordinate").contains(word)).alias("wanted"), F.bool_or(F.col("coordinate") == coordinate).alias("there"))
-    return rows.unionByName(seen.filter("wanted AND NOT there").select(F.lit(coordinate).alias("coordinate"), F.lit(version).alias("version")))
+    added = seen.filter("wanted AND NOT there").select(F.lit(coordinate).alias("coordinate"), F.lit(version).alias("version"))
+    if androidx is not None:
+        added = added.join(androidx.filter(F.col("package").startswith("androidx.")).agg(F.lit("androidx").alias("_seen"), F.count("*").alias("_n")).filter("_n > 0"), F.col("_seen") == F.lit("androidx"), "left_semi")
+    return rows.unionByName(added)
 
 
 def depth_histogram(rows: DataFrame) -> DataFrame:
@@ -21,27 +31,61 @@ def depth_histogram(rows: DataFrame) -> DataFrame:
 
 
 def error_marker(content: Column) -> Column:
-    return content.contains("JADX ERROR") | content.contains("Method not decompiled")
+    """Whether a decompiler has left one of its markers; unreadable contents (null) count."""
+    return F.coalesce(reduce(lambda a, b: a | b, [content.contains(m) for m in fixed.ERROR_MARKERS]), F.lit(True))
 
 
 def compile_errors(log: DataFrame) -> DataFrame:
-    pattern = r"([^/\s]+\.java):(\d+): error: (.*)"
+    """The distinct `File.java:line - message` of a compiler's log, files without their folders."""
+    pattern = r"(.+\.java):(\d+): error: (.+)"
     part = lambda i: F.regexp_extract("line", pattern, i)
-    return log.filter(F.col("line").rlike(r"\.java:\d+: error: ")).select(F.concat(part(1), F.lit(":"), part(2), F.lit(" - "), part(3)).alias("error")).distinct()
+    return log.filter(F.col("line").rlike(pattern)).select(F.concat(F.substring_index(part(1), "/", -1), F.lit(":"), part(2), F.lit(" - "), part(3)).alias("error")).distinct()
+
+
+def log_kind(line: Column) -> Column:
+    """What a line of a decompiler's log tells; the first that applies."""
+    return (
+        F.when(line.contains("processing"), "progress").when(line.contains("INFO") & line.contains("classes"), "classes")
+        .when(line.contains("ERROR"), "error").when(line.contains("WARN") & line.contains("Can't process"), "skipped")
+    )
+
+
+def log_class(line: Column) -> Column:
+    """The class that a log line names, else Unknown."""
+    return F.coalesce(*[F.when(line.rlike(p), F.regexp_extract(line, p, 1)) for p in fixed.LOG_CLASS], F.lit("Unknown"))
+
+
+def log_errors(log: DataFrame) -> DataFrame:
+    """(line_no, class, message) of a log's errors."""
+    return log.filter(log_kind(F.col("line")) == "error").select("line_no", log_class(F.col("line")).alias("class"), F.col("line").alias("message"))
 
 
 def log_counters(log: DataFrame) -> DataFrame:
-    """Counters of a decompiler's log; the number of classes is the last one reported."""
+    """Counters of a decompiler's log: errors, failed (errors and skipped methods), and classes, the last number reported."""
     line = F.col("line")
-    classes = F.when(line.rlike(r"INFO.*\d+ classes"), F.regexp_extract(line, r"(\d+) classes", 1).try_cast("long"))
+    kind, number = log_kind(line), F.regexp_extract(line, r"(\d+)\s+classes", 1).try_cast("int")
+    classes = F.when(kind == "classes", number)
     return log.agg(
-        F.count_if(line.contains("processing")).alias("processed"),
-        F.count_if(line.contains("ERROR")).alias("errors"),
-        F.count_if(line.contains("WARN") & line.contains("Can't process")).alias("skipped"),
+        F.count_if(kind == "error").alias("errors"),
+        F.count_if(kind.isin("error", "skipped")).alias("failed"),
         F.max_by(classes, F.when(classes.isNotNull(), F.col("line_no"))).alias("classes"),
     )
 
 
+def outcome(counters: DataFrame, successful: int) -> DataFrame:
+    """counters with the outcome of a run that decompiled so many classes, and the methods that these hold by estimate."""
+    state = F.when(F.lit(successful) == 0, "failure").when(F.col("errors") == 0, "success").otherwise("partial")
+    return counters.withColumns({"outcome": state, "total_classes": F.greatest(F.coalesce("classes", F.lit(0)), F.lit(successful)), "total_methods": F.lit(successful * 10)})
+
+
+def advice(output: Column) -> Column:
+    """What to do about a failed sync: by the first known cause, else the defaults."""
+    found = None
+    for words, text in fixed.SYNC_ADVICE:
+        found = (found or F).when(output.contains(words), F.array(F.lit(text)))
+    return found.otherwise(F.array(*map(F.lit, fixed.SYNC_DEFAULTS)))
+
+
 def verification(need: DataFrame, there: DataFrame) -> DataFrame:
     """Total, passed and buildable (all but one passed at least) of the needed names."""
     found = need.join(there.distinct().withColumn("ok", F.lit(True)), "name", "left")

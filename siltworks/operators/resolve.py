@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed
+from siltworks.operators.extract import category
 
 
 def dimension(spark: SparkSession, rows: tuple[tuple[str, str, str, str], ...]) -> DataFrame:
@@ -28,30 +31,82 @@ def first_match(names: DataFrame, column: str, dim: DataFrame, exact_first: bool
 def upsert(stages: list[DataFrame]) -> DataFrame:
     """(coordinate, version, confidence, first_stage) of (group_id, artifact_id, version, confidence) rows: later stages win."""
     rows = [s.select(F.concat_ws(":", "group_id", "artifact_id").alias("coordinate"), "version", F.col("confidence").cast("float").alias("confidence"), F.lit(i).alias("stage")) for i, s in enumerate(stages)]
-    every = rows[0]
-    for r in rows[1:]:
-        every = every.unionByName(r)
+    every = reduce(DataFrame.unionByName, rows)
     return every.groupBy("coordinate").agg(F.max_by(F.struct("version", "confidence"), F.struct("stage", "version")).alias("last"), F.min("stage").alias("first_stage")).select("coordinate", "last.version", "last.confidence", "first_stage")
 
 
-def resolve(spark: SparkSession, imports: DataFrame, packages: DataFrame) -> DataFrame:
-    """Dependencies of a corpus: AndroidX packages at 0.95, then libraries by import at 0.85, later stages winning."""
-    androidx = first_match(packages, "package", dimension(spark, fixed.ANDROIDX)).withColumn("confidence", F.lit(0.95))
-    library = first_match(imports, "import", dimension(spark, fixed.LIBRARIES), exact_first=True).withColumn("confidence", F.lit(0.85))
-    return upsert([androidx, library])
-
+def known_stages(spark: SparkSession, imports: DataFrame, packages: DataFrame) -> list[DataFrame]:
+    """The stages that need no lookup: AndroidX, Google services, libraries of third-party packages, libraries of all imports.
 
-def unknown_imports(spark: SparkSession, imports: DataFrame) -> DataFrame:
-    """Distinct simple names of imports below no known group or platform prefix."""
-    known = dimension(spark, fixed.LIBRARIES).select(F.col("group_id").alias("known")).distinct()
+    AndroidX and Google rows come from the packages of these categories alone, and the library pass over packages from
+    the third-party ones; imports take that pass whatever their category.
+    """
+    of = lambda kind: packages.filter(category(F.col("package")) == kind)
+    google = dimension(spark, tuple(r[:4] for r in fixed.GOOGLE))
+    sure = F.create_map(*[x for r in fixed.GOOGLE for x in (F.lit(r[0]), F.lit(r[4]))])
+    return [
+        first_match(of("androidx"), "package", dimension(spark, fixed.ANDROIDX)).withColumn("confidence", F.lit(0.95)),
+        first_match(of("google"), "package", google).withColumn("confidence", sure[F.col("prefix")]),
+        first_match(of("third_party"), "package", dimension(spark, fixed.LIBRARIES), exact_first=True).withColumn("confidence", F.lit(0.85)),
+        first_match(imports, "import", dimension(spark, fixed.LIBRARIES), exact_first=True).withColumn("confidence", F.lit(0.85)),
+    ]
+
+
+def resolve(spark: SparkSession, imports: DataFrame, packages: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """Dependencies of a corpus; later stages win, the lookup of unknown names (confidence 0.75) is the last."""
+    stages = known_stages(spark, imports, packages)
+    if lookup is not None:
+        names = first_unknown(spark, imports, upsert(stages))
+        stages.append(look_up(names, lookup).withColumn("confidence", F.lit(0.75)))
+    return upsert(stages)
+
+
+def unknown_imports(spark: SparkSession, imports: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, path, line_no): simple names of imports below no platform prefix and no group of a dependency found, with their first place."""
+    known = found.select(F.substring_index("coordinate", ":", 1).alias("known")).distinct()
     known = known.unionByName(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{p}')" for p in fixed.PLATFORM) + " AS t(known)"))
     left = imports.join(F.broadcast(known), F.col("import").startswith(F.col("known")), "left_anti")
-    return left.select(F.substring_index("import", ".", -1).alias("name")).distinct()
+    first = left.groupBy(F.substring_index("import", ".", -1).alias("name")).agg(F.min(F.struct("path", "line_no")).alias("at"))
+    return first.select("name", "at.path", "at.line_no")
+
+
+def first_unknown(spark: SparkSession, imports: DataFrame, found: DataFrame, n: int = 15) -> DataFrame:
+    """The first n names of unknown_imports(), by the place of their first import."""
+    return unknown_imports(spark, imports, found).orderBy("path", "line_no", "name").limit(n)
+
+
+def fits_platform(group: Column) -> Column:
+    """Not of the groups ruled out, and of the groups allowed or without a word that rules others out."""
+    any_of = lambda values, test: reduce(lambda a, b: a | b, [test(v) for v in values])
+    return ~any_of(fixed.GROUP_BLACKLIST, group.startswith) & (any_of(fixed.GROUP_WHITELIST, group.startswith) | ~any_of(fixed.GROUP_WORDS, group.contains))
+
+
+def look_up(names: DataFrame, lookup: DataFrame) -> DataFrame:
+    """The first fitting row (by ord) of lookup (name, ord, group_id, artifact_id, version) for each name; names without one go."""
+    fit = lookup.filter(fits_platform(F.col("group_id"))).join(names.select("name").distinct(), "name")
+    return fit.groupBy("name").agg(F.min_by(F.struct("group_id", "artifact_id", "version"), "ord").alias("hit")).select("name", "hit.*")
+
+
+def by_signature(classes: DataFrame, library: DataFrame) -> DataFrame:
+    """(class, group_id, artifact_id): the first library (by ord) of which a signature starts the class name.
+
+    library: (ord, group_id, artifact_id, classSignatures), as sources.files.library_dimension() reads it.
+    """
+    signatures = library.select("ord", "group_id", "artifact_id", F.explode("classSignatures").alias("signature"))
+    met = classes.select("class").distinct().join(F.broadcast(signatures), F.col("class").startswith(F.col("signature")))
+    return met.groupBy("class").agg(F.min_by(F.struct("group_id", "artifact_id"), "ord").alias("hit")).select("class", "hit.*")
+
+
+def parse_coordinate(text: Column) -> Column:
+    """(group_id, artifact_id, version) of g:a:v, or of g:a with the latest release; null for anything else."""
+    parts = F.split(text, ":", -1)
+    version = F.when(F.size(parts) == 3, F.get(parts, F.lit(2))).when(F.size(parts) == 2, "latest.release")
+    return F.when(version.isNotNull(), F.struct(F.get(parts, F.lit(0)).alias("group_id"), F.get(parts, F.lit(1)).alias("artifact_id"), version.alias("version")))
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+def statistics(resolved: DataFrame) -> DataFrame:
+    """Libraries found, and how many of them with a confidence of 0.8 at least."""
+    return resolved.agg(F.count("*").alias("n_libraries"), F.count_if(F.col("confidence") >= F.lit(0.8).cast("float")).alias("n_sure"))
 
 
 def tier(confidence: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed, resources
-from siltworks.operators import extract, report, resolve, rewrite
+from siltworks.operators import extract, organize, report, resolve, rewrite
 from siltworks.plans import corpus
 from siltworks.session import table
 from siltworks.sources.files import lines_of, zip_route
@@ -43,27 +43,52 @@ def _values(rows: list[tuple]) -> str:
 _SRC = "WITH " + corpus.SQL
 _DIM = f"dim(ord, prefix, group_id, artifact_id, version) AS (VALUES {_values([(i, *r) for i, r in enumerate(fixed.LIBRARIES)])})"
 _AX = f"ax(ord, prefix, group_id, artifact_id, version) AS (VALUES {_values([(i, *r) for i, r in enumerate(fixed.ANDROIDX)])})"
-_IMPORTS = r"""imports AS (SELECT path, line_no, trim(regexp_replace(regexp_replace(regexp_replace(trim(line)[8:], '^static ', ''), ';$', ''), '\.\*$', '')) AS import FROM lines WHERE trim(line) LIKE 'import %')"""
-_PACKAGES = """packages AS (SELECT path, line_no, trim(regexp_replace(trim(line)[9:], ';$', '')) AS package FROM lines WHERE trim(line) LIKE 'package %')"""
-_ALL_PACKAGES = r"all_packages AS (SELECT package FROM packages UNION SELECT regexp_extract(import, '^(.*)\.', 1) FROM imports)"
+_IMPORTS = r"""imports AS (SELECT path, line_no, regexp_replace(CASE WHEN path LIKE '%.kt' THEN trim(split_part(trim(line)[8:], ' as ', 1))
+ ELSE trim(regexp_replace(regexp_replace(trim(line)[8:], '^static ', ''), ';$', '')) END, '\.\*$', '') AS import FROM lines WHERE trim(line) LIKE 'import %')"""
+_PACKAGES = """packages AS (SELECT path, line_no, CASE WHEN path LIKE '%.kt' THEN trim(trim(line)[9:]) ELSE trim(regexp_replace(trim(line)[9:], ';$', '')) END AS package FROM lines WHERE trim(line) LIKE 'package %')"""
+_ALL_PACKAGES = r"all_packages AS (SELECT package FROM packages UNION SELECT regexp_extract(import, '^(.*)\.', 1) FROM imports WHERE contains(import, '.'))"
 _CATEGORY = f"""CASE WHEN package LIKE 'android.%' OR package LIKE 'java.%' OR package LIKE 'javax.%' THEN 'platform' WHEN package LIKE 'androidx.%' THEN 'androidx'
  WHEN package LIKE 'com.google.android.gms%' OR package LIKE 'com.google.firebase%' THEN 'google'
  WHEN {' OR '.join(f"starts_with(package, '{p}')" for p in fixed.THIRD_PARTY)} THEN 'third_party' ELSE 'app' END"""
 _LIBRARY_HITS = """library_hits AS (SELECT * FROM (SELECT i.import, d.*, row_number() OVER (PARTITION BY i.import ORDER BY i.import <> d.prefix, d.ord) AS n
  FROM (SELECT DISTINCT import FROM imports) i JOIN dim d ON starts_with(i.import, d.prefix)) WHERE n = 1)"""
-_AX_HITS = """ax_hits AS (SELECT * FROM (SELECT p.package, d.*, row_number() OVER (PARTITION BY p.package ORDER BY d.ord) AS n
- FROM all_packages p JOIN ax d ON starts_with(p.package, d.prefix)) WHERE n = 1)"""
-_RESOLVED = f"""{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES}, {_DIM}, {_AX}, {_LIBRARY_HITS}, {_AX_HITS},
+_AX_HITS = f"""ax_hits AS (SELECT * FROM (SELECT p.package, d.*, row_number() OVER (PARTITION BY p.package ORDER BY d.ord) AS n
+ FROM all_packages p JOIN ax d ON starts_with(p.package, d.prefix) WHERE {_CATEGORY} = 'androidx') WHERE n = 1)"""
+_GOOGLE = f"google(ord, prefix, group_id, artifact_id, version, confidence) AS (VALUES {_values([(i, *r) for i, r in enumerate(fixed.GOOGLE)])})"
+_STAGED = f"""{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES}, {_DIM}, {_AX}, {_GOOGLE}, {_LIBRARY_HITS}, {_AX_HITS},
+google_hits AS (SELECT * FROM (SELECT p.package, d.*, row_number() OVER (PARTITION BY p.package ORDER BY d.ord) AS n FROM all_packages p JOIN google d ON starts_with(p.package, d.prefix) WHERE {_CATEGORY} = 'google') WHERE n = 1),
+third_hits AS (SELECT * FROM (SELECT p.package, d.*, row_number() OVER (PARTITION BY p.package ORDER BY p.package <> d.prefix, d.ord) AS n FROM all_packages p JOIN dim d ON starts_with(p.package, d.prefix) WHERE {_CATEGORY} = 'third_party') WHERE n = 1),
 staged AS (SELECT DISTINCT group_id || ':' || artifact_id AS coordinate, version, CAST(0.95 AS FLOAT) AS confidence, 0 AS stage FROM ax_hits
- UNION SELECT DISTINCT group_id || ':' || artifact_id, version, CAST(0.85 AS FLOAT), 1 FROM library_hits),
-resolved AS (SELECT coordinate, arg_max(version, (stage, version)) AS version, arg_max(confidence, (stage, version)) AS confidence, min(stage) AS first_stage FROM staged GROUP BY coordinate)"""
+ UNION SELECT DISTINCT group_id || ':' || artifact_id, version, CAST(confidence AS FLOAT), 1 FROM google_hits
+ UNION SELECT DISTINCT group_id || ':' || artifact_id, version, CAST(0.85 AS FLOAT), 2 FROM third_hits
+ UNION SELECT DISTINCT group_id || ':' || artifact_id, version, CAST(0.85 AS FLOAT), 3 FROM library_hits)"""
+_UNKNOWN = f"""{_STAGED}, known AS (SELECT DISTINCT split_part(coordinate, ':', 1) AS known FROM staged UNION SELECT unnest({list(fixed.PLATFORM)})),
+unknown AS (SELECT regexp_extract(import, '([^.]*)$', 1) AS name, min(struct_pack(path := path, line_no := line_no)) AS place FROM imports i WHERE NOT EXISTS (SELECT 1 FROM known k WHERE starts_with(i.import, k.known)) GROUP BY 1),
+top AS (SELECT name FROM unknown ORDER BY place, name LIMIT 15)"""
+_FITS = f"""NOT ({' OR '.join(f"starts_with(group_id, '{g}')" for g in fixed.GROUP_BLACKLIST)}) AND ({' OR '.join(f"starts_with(group_id, '{g}')" for g in fixed.GROUP_WHITELIST)} OR NOT ({' OR '.join(f"contains(group_id, '{w}')" for w in fixed.GROUP_WORDS)}))"""
+_FOUND = f"""{_UNKNOWN}, lookup(name, ord, group_id, artifact_id, version) AS (VALUES {_values(list(corpus.LOOKUP))}),
+looked AS (SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY l.name ORDER BY l.ord) AS n FROM lookup l JOIN top USING (name) WHERE {_FITS}) WHERE n = 1)"""
+_RESOLVED = f"""{_FOUND},
+every_stage AS (SELECT * FROM staged UNION ALL SELECT group_id || ':' || artifact_id, version, CAST(0.75 AS FLOAT), 4 FROM looked),
+resolved AS (SELECT coordinate, arg_max(version, (stage, version)) AS version, arg_max(confidence, (stage, version)) AS confidence, min(stage) AS first_stage FROM every_stage GROUP BY coordinate)"""
+
+
+def _all_packages(lines: DataFrame) -> DataFrame:
+    """Declared packages and those of imports."""
+    of_imports = extract.imports(lines).select(extract.package_of(F.col("import")).alias("package")).filter("package <> ''")
+    return extract.packages(lines).select("package").union(of_imports).distinct()
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return resolve.resolve(spark, extract.imports(lines), _all_packages(lines), corpus.lookup(spark))
+
+
+def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(imports, dependencies found without a lookup)."""
     lines = _lines(spark, sf_dir)
     found = extract.imports(lines)
-    every = extract.packages(lines).select("package").union(found.select(extract.package_of(F.col("import")))).distinct()
-    return resolve.resolve(spark, found, every)
+    return found, resolve.upsert(resolve.known_stages(spark, found, _all_packages(lines)))
 
 
 @query(_RESOLVED + " SELECT coordinate, version, confidence, first_stage FROM resolved")
@@ -71,6 +96,16 @@ def dependency_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).orderBy(F.desc("confidence"), "first_stage", "coordinate")
 
 
+@query(_RESOLVED + " SELECT count(*) AS n_libraries, count(*) FILTER (confidence >= CAST(0.8 AS FLOAT)) AS n_sure FROM resolved")
+def dependency_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.statistics(_resolved(spark, sf_dir))
+
+
+@query(_FOUND + " SELECT name, group_id, artifact_id, version FROM looked")
+def static_lookup_first_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.look_up(resolve.first_unknown(spark, *_known(spark, sf_dir)), corpus.lookup(spark))
+
+
 @query(_RESOLVED + " SELECT CASE WHEN confidence >= CAST(0.8 AS FLOAT) THEN 'high' WHEN confidence >= CAST(0.6 AS FLOAT) THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM resolved GROUP BY 1")
 def confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).groupBy(resolve.tier(F.col("confidence")).alias("tier")).agg(F.count("*").alias("n"))
@@ -82,9 +117,11 @@ def build_dependency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_RESOLVED + """ SELECT coordinate, version FROM resolved UNION ALL SELECT 'com.google.android.material:material', '1.11.0'
- WHERE EXISTS (SELECT 1 FROM resolved WHERE coordinate LIKE '%appcompat%') AND NOT EXISTS (SELECT 1 FROM resolved WHERE coordinate = 'com.google.android.material:material')""")
+ WHERE EXISTS (SELECT 1 FROM resolved WHERE coordinate LIKE '%appcompat%') AND NOT EXISTS (SELECT 1 FROM resolved WHERE coordinate = 'com.google.android.material:material')
+ AND EXISTS (SELECT 1 FROM all_packages WHERE package LIKE 'androidx.%')""")
 def conditional_put_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.put_if_absent(_resolved(spark, sf_dir).select("coordinate", "version"), "appcompat", "com.google.android.material:material", "1.11.0")
+    every = _all_packages(_lines(spark, sf_dir))
+    return report.put_if_absent(_resolved(spark, sf_dir).select("coordinate", "version"), "appcompat", "com.google.android.material:material", "1.11.0", every)
 
 
 @query(f"{_SRC}, {_IMPORTS} SELECT DISTINCT import FROM imports")
@@ -97,7 +134,10 @@ def package_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.packages(_lines(spark, sf_dir))
 
 
-@query(rf"{_SRC} SELECT path, line_no, regexp_extract(line, '{fixed.CLASS}', 1) AS class FROM lines WHERE regexp_extract(line, '{fixed.CLASS}', 1) <> ''")
+_CLASS = f"CASE WHEN path LIKE '%.kt' THEN regexp_extract(line, '{fixed.KOTLIN_CLASS}', 2) ELSE regexp_extract(line, '{fixed.CLASS}', 1) END"
+
+
+@query(rf"{_SRC} SELECT path, line_no, {_CLASS} AS class FROM lines WHERE {_CLASS} <> ''")
 def class_decl_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.classes(_lines(spark, sf_dir))
 
@@ -109,8 +149,7 @@ def method_name_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES} SELECT {_CATEGORY} AS category, count(*) AS n FROM all_packages GROUP BY 1")
 def package_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    every = extract.packages(lines).select("package").union(extract.imports(lines).select(extract.package_of(F.col("import")))).distinct()
+    every = _all_packages(_lines(spark, sf_dir))
     return every.groupBy(extract.category(F.col("package")).alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -121,38 +160,37 @@ def prefix_join_exact_then_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES}, {_AX}, {_AX_HITS} SELECT package, prefix, artifact_id FROM ax_hits")
 def prefix_join_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    every = extract.packages(lines).select("package").union(extract.imports(lines).select(extract.package_of(F.col("import")))).distinct()
+    every = _all_packages(_lines(spark, sf_dir)).filter(extract.category(F.col("package")) == "androidx")
     return resolve.first_match(every, "package", resolve.dimension(spark, fixed.ANDROIDX)).select("package", "prefix", "artifact_id")
 
 
-_UNKNOWN = f"""{_SRC}, {_IMPORTS}, {_DIM}, known AS (SELECT DISTINCT group_id AS known FROM dim UNION SELECT unnest({list(fixed.PLATFORM)})),
-unknown AS (SELECT DISTINCT regexp_extract(import, '([^.]*)$', 1) AS name FROM imports i WHERE NOT EXISTS (SELECT 1 FROM known k WHERE starts_with(i.import, k.known)))"""
-
-
-@query(_UNKNOWN + " SELECT name FROM unknown")
+@query(_UNKNOWN + " SELECT name, place.path AS path, place.line_no AS line_no FROM unknown")
 def unknown_imports_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.unknown_imports(spark, extract.imports(_lines(spark, sf_dir)))
+    return resolve.unknown_imports(spark, *_known(spark, sf_dir))
 
 
-@query(_UNKNOWN + " SELECT name FROM unknown ORDER BY name LIMIT 15")
+@query(_UNKNOWN + " SELECT name FROM top")
 def unknown_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.unknown_imports(spark, extract.imports(_lines(spark, sf_dir))).orderBy("name").limit(15)
+    return resolve.first_unknown(spark, *_known(spark, sf_dir)).select("name")
 
 
-_SDK = ("com.skt", "com.nice", "com.visa")
+def _below(column: str, prefixes: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"({column} = '{p}' OR starts_with({column}, '{p}.'))" for p in prefixes) + ")"
 
 
-@query(f"{_SRC}, {_IMPORTS} SELECT path, import FROM imports WHERE " + " OR ".join(f"(import = '{p}' OR starts_with(import, '{p}.'))" for p in _SDK))
+@query(f"{_SRC}, {_IMPORTS} SELECT path, import FROM imports WHERE {_below('import', fixed.SDK_PACKAGES)}")
 def sdk_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefixes = spark.sql(f"SELECT * FROM VALUES {_values([(p,) for p in _SDK])} AS t(prefix)")
-    return extract.under_prefixes(extract.imports(_lines(spark, sf_dir)).select("path", "import"), "import", prefixes, True)
+    return extract.under_prefixes(extract.imports(_lines(spark, sf_dir)).select("path", "import"), "import", organize.prefix_table(spark, fixed.SDK_PACKAGES), True)
 
 
-@query(f"{_SRC}, {_PACKAGES} SELECT path, package FROM packages WHERE NOT (package = 'com.acme.m3' OR starts_with(package, 'com.acme.m3.'))")
+_LIBRARY = rf"""({_below('package', fixed.LIBRARY_PACKAGES)} OR regexp_matches(package, '^[a-z]$') OR (regexp_matches(package, '^p\d+') AND
+ (regexp_matches(regexp_replace(package, '^p\d+', ''), '^(j\$|j$)') OR {' OR '.join(f"contains(lower(regexp_replace(package, '^p[0-9]+', '')), '{w}')" for w in fixed.LIBRARY_WORDS)})))"""
+
+
+@query(f"{_SRC}, {_PACKAGES} SELECT path, package FROM packages WHERE NOT {_LIBRARY}")
 def library_exclusion_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefixes = spark.sql("SELECT 'com.acme.m3' AS prefix")
-    return extract.under_prefixes(extract.packages(_lines(spark, sf_dir)).select("path", "package"), "package", prefixes, False)
+    named = extract.packages(_lines(spark, sf_dir)).select("path", "package")
+    return extract.under_prefixes(named, "package", organize.prefix_table(spark, fixed.LIBRARY_PACKAGES), False).filter(~extract.library_package(F.col("package")))
 
 
 _TOKENS = r"tokens AS (SELECT source, unnest(regexp_extract_all(text, '\pL[\pL0-9_]*')) AS token FROM documents)"
@@ -182,19 +220,25 @@ def depth_histogram_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.depth_histogram(table(spark, sf_dir, "pages").select(depth.alias("depth")))
 
 
-@query("WITH s AS (SELECT text FROM documents ORDER BY doc_id LIMIT 20) SELECT count(*) AS n, count(*) FILTER (NOT contains(text, '. ')) AS absent, count(*) FILTER (NOT contains(text, '. ')) > count(*) * 0.8 AS flagged FROM s")
+_BARE = "NOT contains(content, '// ') AND NOT contains(content, '/* ')"
+
+
+@query(f"{_SRC}, s AS (SELECT content FROM corpus WHERE path LIKE '%.java' ORDER BY path LIMIT 20) SELECT count(*) AS n, count(*) FILTER ({_BARE}) AS absent, count(*) FILTER ({_BARE}) > count(*) * 0.8 AS flagged FROM s")
 def sampled_comment_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = table(spark, sf_dir, "documents").orderBy("doc_id").limit(20)
-    absent = F.count_if(~F.col("text").contains(". "))
+    sample = corpus.corpus(spark, sf_dir).filter(F.col("path").endswith(".java")).orderBy("path").limit(20)
+    absent = F.count_if(~F.col("content").contains("// ") & ~F.col("content").contains("/* "))
     return sample.agg(F.count("*").alias("n"), absent.alias("absent"), (absent > F.count("*") * F.lit(0.8)).alias("flagged"))
 
 
-@query(rf"{_SRC}, c AS (SELECT path, regexp_extract(line, '{fixed.CLASS}', 1) AS class FROM lines) SELECT path, class, regexp_matches(class, '^I[A-Z]|(Listener|Callback|Handler|Observer)$') AS is_interface FROM c WHERE class <> ''")
+@query(rf"{_SRC}, c AS (SELECT path, {_CLASS} AS class FROM lines) SELECT path, class, regexp_matches(class, '^I[A-Z]|(Listener|Callback|Handler|Observer)$') AS is_interface FROM c WHERE class <> ''")
 def interface_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.classes(_lines(spark, sf_dir)).select("path", "class", F.col("class").rlike("^I[A-Z]|(?:Listener|Callback|Handler|Observer)$").alias("is_interface"))
 
 
-@query(f"{_SRC} SELECT path, contains(content, 'JADX ERROR') OR contains(content, 'Method not decompiled') AS failed FROM corpus")
+_MARKED = "(" + " OR ".join(f"contains(content, '{m}')" for m in fixed.ERROR_MARKERS) + ")"
+
+
+@query(f"{_SRC} SELECT path, {_MARKED} AS failed FROM corpus")
 def error_marker_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.corpus(spark, sf_dir).select("path", report.error_marker(F.col("content")).alias("failed"))
 
@@ -213,7 +257,7 @@ _UNKNOWN_TYPES = f"regexp_replace({_r(_r('content', r'\?\?\s+(\w+)\s*;', r'Objec
 _CALLS = _r(_r(_r("content", r"\(\s*,\s*\)", "()"), r"\(\s*,", "(null,"), r",\s*\)", ")")
 _BOOL = "content"
 for _op, _word, _new in (("==", "true", "!= 0"), ("==", "false", "== 0"), ("!=", "true", "== 0"), ("!=", "false", "!= 0")):
-    _BOOL = _r(_BOOL, rf"(\w+)\s*{_op}\s*{_word}\b", rf"\1 {_new}")
+    _BOOL = _r(_BOOL, rf"(\w+)\s*{_op}\s*{_word}", rf"\1 {_new}")
 _CODE = r"""regexp_replace(content, '(?s)"(\\.|[^"\\])*("|\\?\z)|''(\\.|[^''\\])*(''|\\?\z)|//[^\n]*|/\*.*?(\*/|\z)', '', 'g')"""
 _BALANCE = f"(len(regexp_replace({_CODE}, '[^{{]', '', 'g')) - len(regexp_replace({_CODE}, '[^}}]', '', 'g')))"
 _register("rewrite_unknown_type", rewrite.unknown_types, _UNKNOWN_TYPES)
@@ -234,7 +278,7 @@ def missing_imports_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.corpus(spark, sf_dir).select("path", F.explode(rewrite.missing_imports(F.col("content"))).alias("added"))
 
 
-_INVALID = " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in fixed.INVALID)
+_INVALID = " + ".join([*(f"len(regexp_extract_all(content, '{p}'))" for p in fixed.INVALID), *(f"len(regexp_extract_all(content, '{w}'))" for w in fixed.INVALID_COUNTED)])
 
 
 @query(f"{_SRC} SELECT path, CAST({_INVALID} AS BIGINT) AS n FROM corpus")
@@ -242,9 +286,9 @@ def invalid_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.corpus(spark, sf_dir).select("path", rewrite.invalid_patterns(F.col("content")).cast("long").alias("n"))
 
 
-@query(f"{_SRC} SELECT path FROM corpus WHERE {_INVALID} < 2")
+@query(f"{_SRC} SELECT path FROM corpus WHERE {_INVALID} < {fixed.INVALID_FILE}")
 def drop_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.corpus(spark, sf_dir).filter(rewrite.invalid_patterns(F.col("content")) < 2).select("path")
+    return corpus.corpus(spark, sf_dir).filter(rewrite.invalid_patterns(F.col("content")) < fixed.INVALID_FILE).select("path")
 
 
 @query(f"""{_SRC}, e AS (SELECT *, trim(line) AS t, CASE WHEN regexp_matches(trim(line), '^(return |return;|throw )') AND trim(line) LIKE '%;' THEN 'end'
@@ -255,13 +299,15 @@ def unreachable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.unreachable(_lines(spark, sf_dir)).filter("dead").select("path", "line_no", "line")
 
 
-_LINE_BALANCE = _BALANCE.replace("content", "line")
+_LINE_CODE = r"""regexp_replace(line, '"(\\.|[^"\\])*("|\\?$)|''(\\.|[^''\\])*(''|\\?$)', '', 'g')"""
+_LINE_BALANCE = f"(len(regexp_replace({_LINE_CODE}, '[^{{]', '', 'g')) - len(regexp_replace({_LINE_CODE}, '[^}}]', '', 'g')))"
+_METHOD = f"""(regexp_matches(a.t, '{fixed.METHOD_DECLARATION}') AND NOT ({' OR '.join(f"starts_with(a.t, '{w}') OR contains(a.t, ' {w}')" for w in fixed.TYPE_WORDS)}))"""
 
 
 @query(rf"""{_SRC}, d AS (SELECT *, trim(line) AS t, {_LINE_BALANCE} AS d FROM lines),
 s AS (SELECT *, sum(d) OVER (PARTITION BY path ORDER BY line_no) AS run FROM d)
-SELECT a.path, a.line_no, min(b.line_no) AS end_no FROM s a JOIN s b ON a.path = b.path AND b.line_no > a.line_no AND b.line_no <= a.line_no + 501 AND b.run <= a.run - a.d
-WHERE regexp_matches(a.t, '^(public|private|protected|static)\s.*\(.*\{{$') GROUP BY a.path, a.line_no""")
+SELECT a.path, a.line_no, min(b.line_no) AS end_no FROM s a JOIN s b ON a.path = b.path AND b.line_no >= a.line_no AND b.line_no <= a.line_no + 501 AND b.run = a.run - a.d
+WHERE {_METHOD} GROUP BY a.path, a.line_no""")
 def method_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.method_spans(_lines(spark, sf_dir))
 
@@ -290,7 +336,7 @@ def resource_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {_PATHS}, f AS (SELECT k, regexp_extract(path, '[^/]*$') AS name FROM paths), s AS (SELECT k, name,
  regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(name, '\.[^.]*$', '')), '[^a-z0-9_]', '_', 'g'), '^[_0-9]+', ''), '_+', '_', 'g') AS base FROM f)
-SELECT k, CASE WHEN base = '' THEN 'res_' ELSE base END || '.' || regexp_extract(name, '([^.]*)$', 1) AS name FROM s""")
+SELECT k, CASE WHEN base = '' THEN 'res_' ELSE base END || regexp_extract(name, '\.[^.]+$') AS name FROM s""")
 def sanitize_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("k", resources.sanitized(F.substring_index("path", "/", -1)).alias("name"))
 
@@ -303,13 +349,13 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(_ENTRIES[_ENTRIES.index("CASE p_") : _ENTRIES.rindex(" AS entry")]).alias("entry"))
 
 
-@query(f"""WITH {_ENTRIES}, r AS (SELECT CASE WHEN entry LIKE '%.dex' THEN 'dex' WHEN regexp_matches(entry, '^lib/[^/]+/.+\\.so$') THEN 'native' WHEN entry LIKE 'assets/%' THEN 'assets'
+@query(f"""WITH {_ENTRIES}, r AS (SELECT CASE WHEN entry LIKE '%.dex' THEN 'dex' WHEN regexp_matches(entry, '^lib/[^/]*/.*\\.so$') THEN 'native' WHEN entry LIKE 'assets/%' THEN 'assets'
  WHEN entry = 'AndroidManifest.xml' OR entry = 'resources.arsc' OR entry LIKE 'res/%' THEN 'resources' END AS route FROM entries) SELECT route, count(*) AS n FROM r WHERE route IS NOT NULL GROUP BY route""")
 def zip_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select(zip_route("entry").alias("route")).filter("route IS NOT NULL").groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_ENTRIES} SELECT string_split(entry, '/')[2] AS abi, count(*) AS n, min(entry) AS first FROM entries WHERE regexp_matches(entry, '^lib/[^/]+/.+\\.so$') GROUP BY 1")
+@query(f"WITH {_ENTRIES} SELECT string_split(entry, '/')[2] AS abi, count(*) AS n, min(entry) AS first FROM entries WHERE regexp_matches(entry, '^lib/[^/]*/.*\\.so$') GROUP BY 1")
 def native_libs_by_abi(spark: SparkSession, sf_dir: str) -> DataFrame:
     native = _entries(spark, sf_dir).filter(zip_route("entry") == "native")
     return native.groupBy(F.split("entry", "/")[1].alias("abi")).agg(F.count("*").alias("n"), F.min("entry").alias("first"))
@@ -321,8 +367,8 @@ def dex_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dex.select("entry", resources.dex_ordinal(F.col("entry")).alias("ordinal")).orderBy("ordinal")
 
 
-_LOG = """log AS (SELECT p_partkey AS line_no, CASE p_partkey % 5 WHEN 0 THEN concat('src/F', p_partkey % 9, '.java:', p_partkey % 50, ': error: cannot find symbol') WHEN 1 THEN 'processing ...'
- WHEN 2 THEN concat('INFO - loaded ', p_partkey, ' classes') WHEN 3 THEN 'ERROR - Method generation error in com.acme.Kit' ELSE 'WARN - Can''t process method com.acme.Box' END AS line FROM part)"""
+_LOG = """log AS (SELECT p_partkey AS line_no, CASE p_partkey % 5 WHEN 0 THEN concat('src/a b/F', p_partkey % 9, '.java:', p_partkey % 50, ': error: cannot find symbol') WHEN 1 THEN 'processing ERROR ...'
+ WHEN 2 THEN concat('INFO - loaded ', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '  classes' ELSE ' classes' END) WHEN 3 THEN CASE p_partkey % 4 WHEN 0 THEN 'ERROR - Method generation error in com.acme.Kit' WHEN 1 THEN 'ERROR - in class: com.acme.Box' WHEN 2 THEN 'ERROR in a/B.class here' ELSE 'ERROR' END ELSE 'WARN - Can''t process method com.acme.Box' END AS line FROM part)"""
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,18 +376,31 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), F.expr(expr).alias("line"))
 
 
-@query(rf"""WITH {_LOG} SELECT DISTINCT regexp_extract(line, '([^/\s]+\.java):(\d+): error: (.*)', 1) || ':' || regexp_extract(line, '([^/\s]+\.java):(\d+): error: (.*)', 2) || ' - ' || regexp_extract(line, '([^/\s]+\.java):(\d+): error: (.*)', 3) AS error
- FROM log WHERE regexp_matches(line, '\.java:\d+: error: ')""")
+_ERROR = r"(.+\.java):(\d+): error: (.+)"
+
+
+@query(rf"""WITH {_LOG} SELECT DISTINCT regexp_extract(regexp_extract(line, '{_ERROR}', 1), '[^/]*$') || ':' || regexp_extract(line, '{_ERROR}', 2) || ' - ' || regexp_extract(line, '{_ERROR}', 3) AS error
+ FROM log WHERE regexp_matches(line, '{_ERROR}')""")
 def compile_log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.compile_errors(_log(spark, sf_dir))
 
 
-@query(rf"""WITH {_LOG} SELECT count(*) FILTER (contains(line, 'processing')) AS processed, count(*) FILTER (contains(line, 'ERROR')) AS errors, count(*) FILTER (contains(line, 'WARN') AND contains(line, 'Can''t process')) AS skipped,
- arg_max(TRY_CAST(regexp_extract(line, '(\d+) classes', 1) AS BIGINT), line_no) FILTER (regexp_matches(line, 'INFO.*\d+ classes')) AS classes FROM log""")
+_KINDS = """kinds AS (SELECT *, CASE WHEN contains(line, 'processing') THEN 'progress' WHEN contains(line, 'INFO') AND contains(line, 'classes') THEN 'classes'
+ WHEN contains(line, 'ERROR') THEN 'error' WHEN contains(line, 'WARN') AND contains(line, 'Can''t process') THEN 'skipped' END AS kind FROM log)"""
+
+
+@query(rf"""WITH {_LOG}, {_KINDS} SELECT count(*) FILTER (kind = 'error') AS errors, count(*) FILTER (kind IN ('error', 'skipped')) AS failed,
+ arg_max(TRY_CAST(regexp_extract(line, '(\d+)\s+classes', 1) AS INTEGER), line_no) FILTER (kind = 'classes' AND regexp_matches(line, '\d+\s+classes')) AS classes FROM kinds""")
 def decompile_log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.log_counters(_log(spark, sf_dir))
 
 
+@query(rf"""WITH {_LOG}, {_KINDS} SELECT line_no, CASE WHEN regexp_matches(line, 'class:\s*\S+') THEN regexp_extract(line, 'class:\s*(\S+)', 1) WHEN regexp_matches(line, 'Method\s+\S+') THEN regexp_extract(line, 'Method\s+(\S+)', 1)
+ WHEN regexp_matches(line, '\S+\.class') THEN regexp_extract(line, '(\S+\.class)', 1) ELSE 'Unknown' END AS class, line AS message FROM kinds WHERE kind = 'error'""")
+def decompile_log_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.log_errors(_log(spark, sf_dir))
+
+
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))

@@ -7,9 +7,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.functions import fixed
+
 
 def source_files(spark: SparkSession, root: str, extensions: str = "{java,kt}") -> DataFrame:
     """(path, ext, content) of the files below root whose extension matches, case included."""
@@ -44,11 +47,37 @@ def zip_route(entry_name: Column | str) -> Column:
     """Where an archive's entry goes: dex, native, assets or resources; null drops it."""
     name = F.col(entry_name) if isinstance(entry_name, str) else entry_name
     return (
-        F.when(name.endswith(".dex"), "dex").when(name.rlike(r"^lib/[^/]+/.+\.so$"), "native").when(name.startswith("assets/"), "assets")
+        F.when(name.endswith(".dex"), "dex").when(name.rlike(r"^lib/[^/]*/.*\.so$"), "native").when(name.startswith("assets/") & ~name.endswith("/"), "assets")
         .when((name == "AndroidManifest.xml") | (name == "resources.arsc") | name.startswith("res/"), "resources")
     )
 
 
 def library_dimension(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, library fields) of a JSON document with a `libraries` array."""
-    return spark.read.json(path, multiLine=True).select(F.posexplode("libraries").alias("ord", "library")).select("ord", "library.*")
+    """(ord, library fields) of a JSON document with a `libraries` array; the built-in rows where there is none to read.
+
+    The document is small and its reading is tried at once, so that a broken one is known here.
+    """
+    fields = "name string, groupId string, artifactId string, packagePrefix string, classSignatures array<string>, latestVersion string"
+    try:
+        found = spark.read.schema(f"libraries array<struct<{fields}>>").json(path, multiLine=True).select(F.posexplode("libraries").alias("ord", "library")).select("ord", "library.*")
+        if found.limit(1).count():
+            return found
+    except (AnalysisException, SparkRuntimeException):
+        pass
+    rows = [(i, n, g, a, p, [], v) for i, (n, g, a, p, v) in enumerate(fixed.BUILT_IN)]
+    return spark.createDataFrame(rows, f"ord int, {fields}")
+
+
+def named_files(spark: SparkSession, root: str, extension: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(path, length) of the files below root whose extension (in any case) or whose whole name (a regex) matches."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    if extension is not None:
+        rows = rows.filter(F.lower(F.regexp_extract("path", r"[.]([^./]*)$", 1)) == extension.lower())
+    if pattern is not None:
+        rows = rows.filter(F.substring_index("path", "/", -1).rlike(rf"^(?:{pattern})\z"))
+    return rows
+
+
+def zip_resources(entries: DataFrame) -> DataFrame:
+    """The resource files of zip_entries(), where no other tool has extracted them."""
+    return entries.filter(F.col("entry_name").startswith("res/") & ~F.col("entry_name").endswith("/"))
