@@ -13,7 +13,7 @@ _NAMES = "array<struct<`_android:name`:string>>"
 _FILTER = f"struct<action:{_NAMES},category:{_NAMES},data:array<struct<`_android:scheme`:string,`_android:host`:string,`_android:path`:string,`_android:mimeType`:string>>>"
 _COMPONENT = f"array<struct<`_android:name`:string,`_android:exported`:string,`_android:launchMode`:string,`_android:authorities`:string,`intent-filter`:array<{_FILTER}>>>"
 SCHEMA = (
-    "`_package` string, `_android:versionCode` string, `_android:versionName` string, `uses-sdk` struct<`_android:minSdkVersion`:string,`_android:targetSdkVersion`:string>, "
+    "_corrupt_record string, `_package` string, `_android:versionCode` string, `_android:versionName` string, `uses-sdk` struct<`_android:minSdkVersion`:string,`_android:targetSdkVersion`:string>, "
     f"`uses-permission` {_NAMES}, `uses-feature` {_NAMES}, "
     f"application struct<`_android:name`:string,activity:{_COMPONENT},service:{_COMPONENT},receiver:{_COMPONENT},provider:{_COMPONENT}>"
 )
@@ -41,11 +41,14 @@ def _component(x: Column) -> Column:
 
 
 def parse(rows: DataFrame) -> DataFrame:
-    """rows (..., xml) with the manifest's fields; what isn't there has its default, lists are empty."""
+    """rows (..., xml) with the manifest's fields; what isn't there has its default, lists are empty.
+
+    Rows whose text is null or no XML are left out.
+    """
     m = F.col("_m")
     number = lambda c, d: F.coalesce(c.try_cast("int"), F.lit(DEFAULTS[d]))
     sdk, app = m["uses-sdk"], m["application"]
-    parsed = rows.withColumn("_m", F.from_xml("xml", SCHEMA, {"attributePrefix": "_"}))
+    parsed = rows.withColumn("_m", F.from_xml("xml", SCHEMA, {"attributePrefix": "_"})).filter("_m IS NOT NULL AND _m._corrupt_record IS NULL")
     fields = {
         "package": F.coalesce(m["_package"], F.lit(DEFAULTS["package"])),
         "version_code": number(m["_android:versionCode"], "version_code"),

@@ -82,7 +82,7 @@ def advice(output: Column) -> Column:
     """What to do about a failed sync: by the first known cause, else the defaults."""
     found = None
     for words, text in fixed.SYNC_ADVICE:
-        found = (found or F).when(output.contains(words), F.array(F.lit(text)))
+        found = (F if found is None else found).when(output.contains(words), F.array(F.lit(text)))
     return found.otherwise(F.array(*map(F.lit, fixed.SYNC_DEFAULTS)))
 
 

