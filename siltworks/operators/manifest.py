@@ -13,9 +13,9 @@ _NAMES = "array<struct<`_android:name`:string>>"
 _FILTER = f"struct<action:{_NAMES},category:{_NAMES},data:array<struct<`_android:scheme`:string,`_android:host`:string,`_android:path`:string,`_android:mimeType`:string>>>"
 _COMPONENT = f"array<struct<`_android:name`:string,`_android:exported`:string,`_android:launchMode`:string,`_android:authorities`:string,`intent-filter`:array<{_FILTER}>>>"
 SCHEMA = (
-    "_corrupt_record string, `_package` string, `_android:versionCode` string, `_android:versionName` string, `uses-sdk` struct<`_android:minSdkVersion`:string,`_android:targetSdkVersion`:string>, "
+    "`_package` string, `_android:versionCode` string, `_android:versionName` string, `uses-sdk` struct<`_android:minSdkVersion`:string,`_android:targetSdkVersion`:string>, "
     f"`uses-permission` {_NAMES}, `uses-feature` {_NAMES}, "
-    f"application struct<`_android:name`:string,activity:{_COMPONENT},service:{_COMPONENT},receiver:{_COMPONENT},provider:{_COMPONENT}>"
+    f"application struct<`_android:name`:string,activity:{_COMPONENT},service:{_COMPONENT},receiver:{_COMPONENT},provider:{_COMPONENT}>, _corrupt_record string"
 )
 #: Values of attributes that are missing or no numbers. Fixed values.
 DEFAULTS = {"package": "unknown", "version_code": 1, "version_name": "1.0", "min_sdk": 21, "target_sdk": 34}
