@@ -8,6 +8,7 @@ import re
 import string
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +61,13 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def respread(df: DataFrame, key: str) -> DataFrame:
-    """df, an aggregate by the long column `key`, with the key written so that a join on it shuffles df again.
+    """df, an aggregate by the column `key` (long or binary), with the key written so that a join on it shuffles df again.
 
     A join with the aggregate as it is would keep the aggregate's own partitions, and Spark then can't split the
     other side's rows of a hot key among tasks. Of the aggregate there is one row a key.
     """
-    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+    same = F.concat(F.col(key), F.lit(b"")) if dict(df.dtypes)[key] == "binary" else F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+    return df.withColumn(key, same)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -115,3 +117,19 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def set_bits(bits: np.ndarray, at: np.ndarray) -> None:
+    """Sets bits by their numbers in an array of bytes, the highest bit of a byte first."""
+    np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+
+
+def get_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits of these numbers are set."""
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, whichever store that is."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)

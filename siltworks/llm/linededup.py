@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import ASCII_LOWER, checkpointed, small_batches, text_or_empty
+from siltworks.llm.common import ASCII_LOWER, checkpointed, get_bits, set_bits, small_batches, text_or_empty
 
 MIN_LENGTH, MIN_DOCS = 20, 3
 #: Bits a line, bits of a filter at least and at most (32 MB), bits of a merged segment.
@@ -61,19 +61,20 @@ def repeat_filter(docs: DataFrame, text: str = "text", min_length: int = MIN_LEN
     n_bits = min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(BITS_A_LINE * max(n_lines, 1)))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(n_bits, bool), np.zeros(n_bits, bool)
+        once, again = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 keys = _distinct_keys(value, min_length)
                 if keys:
                     a, b = _bits(keys, n_bits)
-                    seen = once[a] & once[b]
-                    again[a[seen]] = again[b[seen]] = True
-                    once[a] = once[b] = True
+                    seen = get_bits(once, a) & get_bits(once, b)
+                    for at in (a, b):
+                        set_bits(again, at[seen])
+                        set_bits(once, at)
         for s in range(n_bits // SEGMENT):
-            part = slice(s * SEGMENT, (s + 1) * SEGMENT)
+            part = slice(s * SEGMENT // 8, (s + 1) * SEGMENT // 8)
             if once[part].any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": [zlib.compress(np.packbits(once[part]).tobytes(), 1)], "again": [zlib.compress(np.packbits(again[part]).tobytes(), 1)]})
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": [zlib.compress(once[part].tobytes(), 1)], "again": [zlib.compress(again[part].tobytes(), 1)]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -108,7 +109,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_le
         if not keys:
             return []
         a, b = _bits(keys, n_bits)
-        hit = (bits[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (bits[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
+        hit = get_bits(bits, a) & get_bits(bits, b)
         return [hashlib.blake2b(keys[i], digest_size=16).digest() for i in np.flatnonzero(hit)]
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import checkpointed, shared_path, small_batches
+from siltworks.llm.common import checkpointed, get_bits, respread, set_bits, shared_path, small_batches
 
 WIDTH = 576
 #: Chunk sizes in bytes; CUT_BITS top bits of the gear hash are zero at a cut.
@@ -110,14 +110,14 @@ def shared_filter(shared: DataFrame) -> tuple[np.ndarray, int]:
     n_bits = min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(BITS_A_CHUNK * max(n, 1)))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_bits, bool)
+        bits = np.zeros(n_bits // 8, np.uint8)
         for batch in batches:
             if batch.num_rows:
                 for at in _bits(batch.column(0).to_pylist(), n_bits):
-                    bits[at] = True
+                    set_bits(bits, at)
         for s in range(n_bits // SEGMENT):
-            if (part := bits[s * SEGMENT : (s + 1) * SEGMENT]).any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": [zlib.compress(np.packbits(part).tobytes(), 1)]})
+            if (part := bits[s * SEGMENT // 8 : (s + 1) * SEGMENT // 8]).any():
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": [zlib.compress(part.tobytes(), 1)]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -165,7 +165,7 @@ def write_store(docs: DataFrame, path: str) -> None:
                 pieces = chunks(image)
                 names = [digest(c) for c in pieces]
                 a, b = _bits(names, n_bits)
-                hit = ((bits[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (bits[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).tolist()
+                hit = (get_bits(bits, a) & get_bits(bits, b)).tolist()
                 parts = [{"digest": d, "data": None} if h else {"digest": None, "data": c} for c, d, h in zip(pieces, names, hit, strict=True)]
                 rows.append((0, doc_id, n_bytes, len(image), hashlib.sha256(image).hexdigest(), len(pieces), sum(hit), None, None, parts))
                 for c, d, h in zip(pieces, names, hit, strict=True):
@@ -221,7 +221,7 @@ def read_store(spark, path: str) -> DataFrame:
     wanted = mixed.unionByName(pure)
     asked = wanted.select("media_sha256", F.posexplode("parts").alias("pos", "part")).filter("part.data IS NULL").select("media_sha256", "pos", F.col("part.digest").alias("digest"))
     held = store.filter("kind = 1").groupBy("digest").agg(F.first("data").alias("data"))
-    got = asked.join(held, "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("pos", "data")).alias("got"))
+    got = asked.join(respread(held, "digest"), "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("pos", "data")).alias("got"))
     built = wanted.join(got, "media_sha256").select(*columns, "got").mapInArrow(assemble, READ).drop("doc_id", "n_bytes")
     copies = lists.filter("n_shared > 0").select("doc_id", "n_bytes", "media_sha256").join(built, "media_sha256")
     return plain.unionByName(copies.select(plain.columns))

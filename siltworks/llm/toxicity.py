@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the presence of words, of words cut to STEMS bytes (a crude stemmer, for inflected forms that the sample
+Features are the presence of words, of words cut to the characters in STEMS bytes (a crude stemmer, for inflected forms that the sample
 lacks), of neighbouring pairs and of pairs with one or two words between them, hashed into 2**BITS buckets. Training is online (McMahan et al., 2013): a learning rate for each coordinate, L1 that keeps most
 weights at exactly zero, and a feature takes part once MIN_DOCS documents of the sample have it. Only the non-zero
 weights are broadcast.
@@ -52,7 +52,7 @@ class _Hashes(dict):
             self.crc = np.concatenate([self.crc, np.zeros_like(self.crc)], axis=1)
         self.crc[0, at] = crc32(word)
         for i, n in enumerate(STEMS, 1):
-            self.crc[i, at] = crc32(word[:n]) if len(word) > n else 0
+            self.crc[i, at] = crc32(word[:n].decode("utf-8", "ignore").encode()) if len(word) > n else 0
         return at
 
 

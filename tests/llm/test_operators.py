@@ -319,3 +319,25 @@ def test_stated_targets(spark):
         share = lambda k, v: sum(r.tokens * r.probability for r in rows if r[k] == v) / total  # noqa: B023, E731
         assert share("lang", "en") == pytest.approx(0.5, rel=1e-3) and share("source", "s1") == pytest.approx(0.4, rel=1e-3)
         assert share("lang", "de") + share("lang", "fr") == pytest.approx(0.5, rel=1e-3)
+
+
+def test_hot_keys_of_aggregates_can_be_split(spark):
+    """A join with respread() has an exchange of its own on the aggregate's side, without which Spark can't split the other."""
+    from siltworks.llm.common import respread
+
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id AS v")
+    for key in ("k", "cast(cast(k AS string) AS binary)"):
+        keyed = rows.selectExpr(f"{key} AS k", "v")
+        least = keyed.groupBy("k").agg({"v": "min"})
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        plain, spread = keyed.hint("merge").join(least, "k"), keyed.hint("merge").join(respread(least, "k"), "k")
+        assert plan(spread).count("ENSURE_REQUIREMENTS") == plan(plain).count("ENSURE_REQUIREMENTS") + 1
+        assert spread.count() == plain.count() == 1000
+
+
+def test_bits(spark):
+    from siltworks.llm.common import get_bits, set_bits
+
+    bits, at = np.zeros(16, np.uint8), np.array([0, 3, 3, 127, 64])
+    set_bits(bits, at)
+    assert np.flatnonzero(np.unpackbits(bits)).tolist() == [0, 3, 64, 127] and np.flatnonzero(get_bits(bits, np.arange(128))).tolist() == [0, 3, 64, 127]
