@@ -48,13 +48,8 @@ from siltworks.llm.components import stars
 
 #: Fingerprints that may meet in one group of a key.
 BLOCK = 20_000
-#: Open pairs for each node of a key's group that leave as rows; more are verified where their shingles meet. A pair sends
-#: two sets of shingles, a member of a crowded group one, so beyond this the second way is the cheaper.
-OPEN = 1
 #: Shingles in one block of a crowded group, 8 bytes each; a task holds two blocks at a time.
 BLOCK_SHINGLES = 4_000_000
-#: Kinds of rows of links(); the smallest of a pair counts.
-CERTAIN, TO_VERIFY, CROWDED = 0, 1, 2
 #: Bits of a partition's value that histograms keep; the rest is taken as independent.
 PREFIX = 12
 #: Cost of a row sent to a key, in comparisons of two fingerprints.
@@ -77,26 +72,20 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
 
 
 def _remix(h: np.ndarray, word: int) -> np.ndarray:
-    """Another 64 bits of each hash; word 0 is the hash itself."""
-    if not word:
-        return h
+    """Another 64 bits of each hash."""
     x = h + np.uint64((word * 0x9E3779B97F4A7C15) % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str, size: int = 3, n_words: int = 1) -> list[int]:
-    """n_words signed 64-bit numbers; bit b is set if it is set in over half of the shingles' hashes."""
+def fingerprint(text: str, size: int = 3) -> int:
+    """A signed 64-bit number; bit b is set if it is set in over half of the shingles' hashes."""
     h = shingle_hashes(text, size)
-    out = []
-    for word in range(n_words):
-        votes = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            part = np.ascontiguousarray(_remix(h[at : at + (1 << 16)], word))
-            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.int64)[0]) if len(h) else 0)
-    return out
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        votes += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
 def text_hash() -> Column:
@@ -104,18 +93,17 @@ def text_hash() -> Column:
     return F.xxhash64(text_or_empty())
 
 
-def fingerprints(docs: DataFrame, size: int = 3, n_words: int = 1) -> DataFrame:
-    """doc_id, row (text_hash()) and f0, f1, ... of every row."""
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id and f0 of every row."""
     small_batches(docs.sparkSession)
-    names = [f"f{i}" for i in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t or "", size, n_words) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, n_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(made[:, i]) for i in range(n_words))], names=["doc_id", "row", *names])
+            made = pa.array([fingerprint(t or "", size) for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["doc_id", "f0"])
 
-    part = docs.select("doc_id", "text", text_hash().alias("row"))
-    return part.mapInArrow(run, f"doc_id {part.schema['doc_id'].dataType.simpleString()}, row long, " + ", ".join(f"{n} long" for n in names))
+    part = docs.select("doc_id", "text")
+    return part.mapInArrow(run, f"doc_id {part.schema['doc_id'].dataType.simpleString()}, f0 long")
 
 
 def _bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -255,100 +243,52 @@ def _heavy_keys(nodes: DataFrame, used: list[tuple[list[int], int]]) -> dict[int
     return {r[0]: math.ceil(r[1] / BLOCK) for r in found}
 
 
-def _linked(f: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, limit: int) -> np.ndarray:
-    """Whether the fingerprints a and b (row numbers of f) are within radius bits in f0 and limit bits in all."""
-    near = np.bitwise_count(f[a, 0] ^ f[b, 0]) <= radius
-    if f.shape[1] > 1 and near.any():
-        at = np.flatnonzero(near)
-        near[at] = np.bitwise_count(f[a[at]] ^ f[b[at]]).sum(axis=1) <= limit
-    return near
+def _linked(f: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether the fingerprints a and b (row numbers of f) are within radius bits."""
+    return np.bitwise_count(f[a] ^ f[b]) <= radius
 
 
-def _sweep(left: np.ndarray, f: np.ndarray, radius: int, limit: int) -> list[tuple[int, np.ndarray]]:
-    """(smallest, the others) of each linked group of two and more of the rows `left` of f, which are in order."""
-    out = []
+def _sweep(f: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(smallest, the others) of each linked group of two and more of the rows of f, which are in order."""
+    left = np.arange(len(f))
     while len(left):
         root, queue, left, got = left[0], [left[0]], left[1:], []
         while queue and len(left):
-            hit = _linked(f, np.full(len(left), queue.pop()), left, radius, limit)
+            hit = _linked(f, np.full(len(left), queue.pop()), left, radius)
             new = left[hit]
             left = left[~hit]
             queue += new.tolist()
             got.append(new)
         members = np.concatenate(got) if got else np.zeros(0, np.int64)
         if len(members):
-            out.append((root, members))
-    return out
-
+            yield root, members
 
-def _between(left: np.ndarray, label: np.ndarray, f: np.ndarray, radius: int, limit: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The linked pairs of rows with different labels; None if there are over `most`.
 
-    Rows of the most frequent label are only looked up by the others, so one large cluster costs little.
-    """
-    kinds, sizes = np.unique(label[left], return_counts=True)
-    bulk = label[left] == kinds[np.argmax(sizes)]
-    bulk, others = left[bulk], left[~bulk]
-    a, b, n = [], [], 0
-    for at, row in enumerate(others):
-        later = others[at + 1 :]
-        rest = np.concatenate([bulk, later[label[later] != label[row]]])
-        hit = rest[_linked(f, np.full(len(rest), row), rest, radius, limit)]
-        n += len(hit)
-        if n > most:
-            return None
-        a.append(np.full(len(hit), row))
-        b.append(hit)
-    return (np.concatenate(a), np.concatenate(b)) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _group_links(group: int, nodes: np.ndarray, f: np.ndarray, radius: int, limits: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (a, b, kind) of the fingerprints that met at a key, as links() returns them."""
-    sure, most = limits
+def _group_links(nodes: np.ndarray, f: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that connect the fingerprints that met at a key, as far as they are within radius bits."""
     nodes, first = np.unique(nodes, return_index=True)  # nodes are in order from here on
-    f, left, label = f[first], np.arange(len(nodes)), np.arange(len(nodes))
-    room = len(nodes) if sure == most else OPEN * len(nodes)
+    f = f[first]
     if len(nodes) <= 512:
         a, b = np.triu_indices(len(nodes), 1)
-        near = _linked(f, a, b, radius, most)
-        if not near.any():
-            return []
-        a, b = a[near], b[near]
-        if len(a) <= room:
-            return [(nodes[b], nodes[a], (np.bitwise_count(f[a] ^ f[b]).sum(axis=1) > sure).astype(np.int32))]
-        left = np.unique(np.concatenate([a, b]))
-    out = []
-    for root, members in _sweep(left, f, radius, sure):
-        label[members] = root
-        out.append((nodes[members], np.full(len(members), nodes[root]), np.full(len(members), CERTAIN, np.int32)))
-    if sure < most:
-        found = _between(left, label, f, radius, most, room)
-        if found is None:
-            out.append((nodes[left], np.full(len(left), group), np.full(len(left), CROWDED, np.int32)))
-        else:
-            out.append((nodes[found[1]], nodes[found[0]], np.full(len(found[0]), TO_VERIFY, np.int32)))
-    return out
-
+        near = _linked(f, a, b, radius)
+        if near.sum() <= len(nodes):
+            return [(nodes[b[near]], nodes[a[near]])] if near.any() else []
+    return [(nodes[members], np.full(len(members), nodes[root])) for root, members in _sweep(f, radius)]
 
-def links(nodes: DataFrame, radius: int, limits: tuple[int, int], n_words: int) -> DataFrame:
-    """(a, b, kind): links of nodes (node, f0, ...) that together connect all within radius bits of f0 and limits[1] in all.
 
-    Pairs within limits[0] bits in all are CERTAIN, farther ones for the caller to verify. Where the latter are over
-    OPEN a node at a key, a row (node, number of the group, CROWDED) for each of its nodes leaves in their place.
-    """
-    most = limits[1]
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links of nodes (node, f0) that together connect all within radius bits."""
     used, heavy = plan(nodes, radius)
-    names = [f"f{i}" for i in range(n_words)]
     weighty = np.array(sorted(heavy), np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(keys: np.ndarray, groups: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(groups.astype(np.int32)), pa.array(ids[rows]), *(pa.array(f[rows, i]) for i in range(n_words))], names=["key", "pair", "node", *names])
-
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            f = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(n_words)], axis=1)
-            for keys, rows in _key_rows(np.ascontiguousarray(f[:, 0]), used):
+            ids, f = (np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
+
+            def batch_of(keys: np.ndarray, groups: np.ndarray, rows: np.ndarray, ids: np.ndarray = ids, f: np.ndarray = f) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(groups.astype(np.int32)), pa.array(ids[rows]), pa.array(f[rows])], names=["key", "pair", "node", "f0"])
+
+            for keys, rows in _key_rows(f, used):
                 hot = np.isin(keys, weighty) if len(weighty) else np.zeros(len(keys), bool)
                 if not hot.all():
                     yield batch_of(keys[~hot], np.zeros((~hot).sum()), rows[~hot])
@@ -361,7 +301,7 @@ def links(nodes: DataFrame, radius: int, limits: tuple[int, int], n_words: int)
                     yield batch_of(keys[hot][at], low * n[at] + high, rows[hot][at])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        def flush(held: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
             key, pair, node, f = held
             change = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
             edges = np.concatenate([[0], change, [len(key)]])
@@ -370,39 +310,28 @@ def links(nodes: DataFrame, radius: int, limits: tuple[int, int], n_words: int)
             out = []
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if e - s == 2:
-                    if node[s] != node[s + 1] and int(f[s, 0] ^ f[s + 1, 0]).bit_count() <= radius:
-                        bits = np.bitwise_count(f[s] ^ f[s + 1]).sum()
-                        if bits <= most:
-                            out.append((node[s : s + 1], node[s + 1 : e], np.array([TO_VERIFY if bits > limits[0] else CERTAIN], np.int32)))
+                    if node[s] != node[s + 1] and int(f[s] ^ f[s + 1]).bit_count() <= radius:
+                        out.append((node[s : s + 1], node[s + 1 : e]))
                 elif e - s > 2:
-                    out += _group_links(int(key[s]) + (int(pair[s]) << 44), node[s:e], f[s:e], radius, limits)
+                    out += _group_links(node[s:e], f[s:e], radius)
             return [x[edges[-1] :] for x in held], out
 
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["a", "b"])
         held: list[np.ndarray] | None = None
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            now = [*columns[:3], np.stack([np.ascontiguousarray(c).view(np.uint64) for c in columns[3:]], axis=1)]
+            now = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
+            now[3] = now[3].view(np.uint64)
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             held, out = flush(held, False)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1, 2)], names=["a", "b", "kind"])
+                yield made(out)
         if held is not None and len(held[0]):
             _, out = flush(held, True)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1, 2)], names=["a", "b", "kind"])
-
-    sent = nodes.select("node", *names).mapInArrow(send, "key long, pair int, node long, " + ", ".join(f"{n} long" for n in names))
-    return sent.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(meet, "a long, b long, kind int")
-
-
-def as_nodes(rows: DataFrame, n_words: int) -> DataFrame:
-    """rows (id, f0, ...) with node, a number for each fingerprint."""
-    return rows.withColumn("node", F.col("f0") if n_words == 1 else F.xxhash64(*[f"f{i}" for i in range(n_words)]))
-
+                yield made(out)
 
-def distinct_nodes(rows: DataFrame, n_words: int) -> DataFrame:
-    """(node, f0, ..., first): the distinct fingerprints of as_nodes() with their smallest id."""
-    return checkpointed(rows.groupBy("node").agg(*[F.first(f"f{i}").alias(f"f{i}") for i in range(n_words)], F.min("id").alias("first")))
+    sent = nodes.select("node", "f0").mapInArrow(send, "key long, pair int, node long, f0 long")
+    return sent.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(meet, "a long, b long")
 
 
 def members(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -413,17 +342,17 @@ def members(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(respread(member, "node"), "node").drop("node")
 
 
-def link_rows(rows: DataFrame, radius: int, limit: int, n_words: int = 1) -> DataFrame:
-    """rows (id, f0, ...) with component, over links within radius bits of f0 and limit bits in all."""
-    rows = as_nodes(rows, n_words)
-    nodes = distinct_nodes(rows, n_words)
-    return members(rows, nodes, stars(links(nodes, radius, (limit, limit), n_words).select("a", "b")))
+def link_rows(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (id, f0) with component, over links within radius bits; a fingerprint is its own node."""
+    rows = rows.withColumn("node", F.col("f0"))
+    nodes = checkpointed(rows.groupBy("node").agg(F.first("f0").alias("f0"), F.min("id").alias("first")))
+    return members(rows, nodes, stars(links(nodes, radius)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
     rows = checkpointed(fingerprints(docs, size).select(F.col("doc_id").alias("id"), "f0"))
-    out = link_rows(rows, radius, radius)
+    out = link_rows(rows, radius)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -433,8 +362,6 @@ KEEP_SIZE, KEEP_SHARE = 5, 0.8
 BANDS, BAND_ROWS = 40, 5
 _MIX = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32)
 _MIX[0] |= np.uint32(1)
-#: Limits of links() for fingerprints of 256 bits: words that are probed, bits that may differ in one, and bits in all.
-KEEP_PROBES, KEEP_RADIUS, KEEP_LIMITS = 2, 11, (24, 54)
 
 
 def node_and_bands(text: str) -> tuple[int, np.ndarray]:
