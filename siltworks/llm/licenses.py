@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import functools
 import json
-import operator
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import WORD_SEPARATOR, ascii_lower, text_or_empty
@@ -228,11 +228,21 @@ def probe(key: str) -> str:
     return key if key in WITHIN else f" {key}" if key in STARTS else f" {key} "
 
 
-def gate(joined: Column) -> Column:
-    """Whether the joined words hold the keyword of any rule."""
-    keys = sorted({r["key"] for r in rules()}, key=len)
-    least = [k for i, k in enumerate(keys) if not any(x in k for x in keys[:i])]
-    return functools.reduce(operator.or_, [joined.contains(k) for k in least])
+def _trie(words: list[str]) -> str:
+    """A regex for any of the words that reads each of a text's characters once a branch."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    branches = [re.escape(c) + ("" if "" in rest else _trie(rest)) for c, rest in sorted(heads.items())]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+@functools.cache
+def gate() -> str:
+    """A regex that the joined words match if they hold the keyword of any rule: one pass, with most words ruled out by their first letter."""
+    keys = sorted({r["key"] for r in rules()})
+    starts = [k[1:] for k in keys if k.startswith(" ")]
+    return "|".join([f" (?=[{''.join(sorted({k[0] for k in starts}))}]){_trie(starts)}", *(k for k in keys if not k.startswith(" "))])
 
 
 DETECTION = "array<struct<priority:int,s:int,e:int,label:string,score:double>>"
@@ -249,10 +259,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     lower = ascii_lower(text_or_empty(text))
     parts = docs.select(F.col(key).alias("doc_id"), F.array_remove(F.split(lower, WORD_SEPARATOR), "").alias("_words"))
     parts = parts.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_text"))
-    joined = parts.select("doc_id", "n_words", F.when(gate(F.col("_text")), F.col("_text")).alias("_joined"))
+    joined = parts.select("doc_id", "n_words", F.when(F.col("_text").rlike(gate()), F.col("_text")).alias("_joined"))
     base = [F.expr(f"if(contains(_joined, ' {phrase} '), transform({_places(f"'{phrase}'")}, p -> p.s), CAST(array() AS array<int>))").alias(f"_{label}") for phrase, label in BASE]
     each = f"transform({_places('r.regex')}, p -> struct(r.priority AS priority, p.s AS s, p.e AS e, r.label AS label, r.score AS score))"
-    every = f"flatten(transform(filter({table}, r -> contains(_joined, r.key)), r -> {each}))"
+    keys = "array(" + ", ".join(f"'{k}'" for k in sorted({r["key"] for r in rules()})) + ")"
+    every = let("present_", f"filter({keys}, k -> contains(_joined, k))", f"flatten(transform(filter({table}, r -> array_contains(present_, r.key)), r -> {each}))")
     inside = "x.priority < d.priority AND x.s <= d.s AND x.e >= d.e"
     kept = let("every_", every, let("rivals_", tree("every_"), f"filter(every_, d -> NOT {meets('rivals_', 'd', inside)})"))
     found = joined.select("doc_id", "n_words", *base, F.expr(f"if(_joined IS NULL, CAST(array() AS {DETECTION}), {kept})").alias("detections"))
