@@ -33,8 +33,6 @@ MAX_SET = 200_000
 #: Hashes of 8 bytes in a broadcast table.
 MAX_BROADCAST = 5_000_000
 HITS = "array<struct<start:int,size:int,gram:array<string>>>"
-#: Words of texts as they are, for counting: what words() makes of the lower-cased text is as many.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def windows(items: DataFrame, n: int = WINDOW, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -60,7 +58,7 @@ def find(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_set: int = MAX_
     body = text_or_empty()
     plain = docs.select("doc_id", *keep)
     text, words_ = free_name(plain, "_text"), free_name(plain, "n_words")
-    d, h = docs.select("doc_id", *keep, F.xxhash64(body).alias(text), F.regexp_count(body, F.lit(WORD)).cast("long").alias(words_)).alias("d"), few(hits).alias("h")
+    d, h = docs.select("doc_id", *keep, F.xxhash64(body).alias(text), F.size(words(body)).cast("long").alias(words_)).alias("d"), few(hits).alias("h")
     joined = d.join(h, F.col("d.doc_id").eqNullSafe(F.col("h._doc")) & (F.col(f"d.{text}") == F.col("h._text_hash")), "left")
     return joined.select(
         *[F.col(f"d.`{c}`") for c in ("doc_id", *keep, words_)],
