@@ -84,10 +84,8 @@ def under_prefixes(df: DataFrame, column: str, prefixes: DataFrame, keep: bool)
 
 
 def library_package(package: Column) -> Column:
-    """Whether a renamed or one-letter package is a library's; the known prefixes are under_prefixes()'."""
-    rest = F.regexp_replace(F.regexp_replace(package, "^p", ""), "^[0-9]+", "")
-    known = reduce(lambda a, b: a | b, [F.lower(rest).contains(w) for w in fixed.LIBRARY_WORDS])
-    return (package.rlike(r"^p\d+") & (rest.startswith("j$") | (rest == "j") | known)) | package.rlike(r"^[a-z]\z")
+    """Whether a renamed (p, digits, rest) or one-letter package is a library's; the known prefixes are under_prefixes()'."""
+    return package.rlike(rf"^p\d++(?:j\$|j\z|.*(?i:{'|'.join(fixed.LIBRARY_WORDS)}))|^[a-z]\z")
 
 
 def first_package(content: Column, path: Column) -> Column:
@@ -143,3 +141,12 @@ def lost_methods(files: DataFrame) -> DataFrame:
     calls = calls.unionByName(files.select(several(named, 1, 2)).select(F.col("x.g1").alias("name"), F.col("x.g2").alias("args")))
     blank, n = trimmed(F.col("args")) == "", F.size(F.split("args", ",", -1)) + 1
     return calls.select("name", F.when(blank, 0).otherwise(F.least(n, F.lit(10))).alias("n_args")).distinct()
+
+
+def literal_type(expression: Column) -> Column:
+    """The type of an argument, guessed from how it is written."""
+    made = trimmed(F.substring_index(F.substring(expression, 5, 1 << 30), "(", 1))
+    return (
+        F.when(expression.rlike(r"^\d+\z"), "int").when(expression.rlike(r"^\d+L\z"), "long").when(expression.rlike(r"^\d+\.\d+\z"), "double").when(expression.rlike(r"^\d+\.\d+f\z"), "float")
+        .when(expression.isin("true", "false"), "boolean").when(expression.startswith('"'), "String").when(expression.startswith("new "), made).otherwise("Object")
+    )

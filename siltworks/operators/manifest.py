@@ -171,3 +171,43 @@ def dependency_lines(core: Column, detected: Column) -> Column:
     one = lambda d: F.concat(F.lit("    implementation '"), d["coordinate"], F.lit(":"), d["version"], F.lit("'"), F.when(d["confidence"] < F.lit(0.9).cast("float"), F.concat(F.lit(" // Confidence: "), percent(d["confidence"]), F.lit("%"))).otherwise(""))
     found = F.when(F.size(detected) > 0, F.concat(F.lit("    // Detected third-party libraries\n"), F.array_join(F.transform(detected, one), "\n")))
     return _lines("dependencies {", "    // Core Android libraries", F.array_join(F.transform(core, lambda d: F.concat(F.lit("    implementation '"), d, F.lit("'"))), "\n"), "", found, "}")
+
+
+#: The settings of a project with one module; the project's name follows. Fixed values.
+SETTINGS = """pluginManagement {
+    repositories {
+        google()
+        mavenCentral()
+        gradlePluginPortal()
+    }
+}
+
+dependencyResolutionManagement {
+    repositoriesMode.set(RepositoriesMode.FAIL_ON_PROJECT_REPOS)
+    repositories {
+        google()
+        mavenCentral()
+        maven { url 'https://jitpack.io' }
+    }
+}
+
+"""
+
+
+def settings_text(name: Column) -> Column:
+    return F.concat(F.lit(SETTINGS), F.lit('rootProject.name = "'), name, F.lit("\"\ninclude ':app'\n"))
+
+
+#: Rules that a library needs to be kept, by the flag of dependency_flags(), in their order. Fixed values.
+KEEP_RULES = (
+    ("retrofit", ("# Retrofit", "-keepattributes Signature", "-keepattributes Exceptions", "-keepclasseswithmembers class * {", "    @retrofit2.http.* <methods>;", "}", "-keepclassmembers,allowshrinking,allowobfuscation interface * {", "    @retrofit2.http.* <methods>;", "}")),
+    ("gson", ("# Gson", "-keepattributes Signature", "-keepattributes *Annotation*", "-keep class com.google.gson.** { *; }", *[f"-keep class * implements com.google.gson.{c}" for c in ("TypeAdapterFactory", "JsonSerializer", "JsonDeserializer")])),
+    ("okhttp", ("# OkHttp", "-dontwarn okhttp3.**", "-dontwarn okio.**", "-keepnames class okhttp3.internal.publicsuffix.PublicSuffixDatabase")),
+    ("glide", ("# Glide", "-keep public class * implements com.bumptech.glide.module.GlideModule", "-keep class * extends com.bumptech.glide.module.AppGlideModule {", "    <init>(...);", "}", "-keep public enum com.bumptech.glide.load.ImageHeaderParser$** {", "    **[] $VALUES;", "    public *;", "}")),
+)
+
+
+def keep_rules(application: Column, flags: Column) -> Column:
+    """The rules that keep the application's class and, by the flags, libraries' classes; a blank line after each block."""
+    blocks = [F.when(flags[f], F.lit("\n".join(lines) + "\n")) for f, lines in KEEP_RULES]
+    return _lines("# Keep Application class", F.concat(F.lit("-keep class "), application, F.lit(" { *; }\n")), *blocks, "# General Android", "-dontwarn android.support.**", "-dontwarn androidx.**")

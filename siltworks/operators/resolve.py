@@ -111,3 +111,9 @@ def statistics(resolved: DataFrame) -> DataFrame:
 
 def tier(confidence: Column) -> Column:
     return F.when(confidence >= F.lit(0.8).cast("float"), "high").when(confidence >= F.lit(0.6).cast("float"), "medium").otherwise("low")
+
+
+def latest_versions(dependencies: DataFrame, search: DataFrame) -> DataFrame:
+    """dependencies (coordinate, ...) with latest: the version that search (group_id, artifact_id, ord, version) has first; null without one."""
+    known = search.groupBy(F.concat_ws(":", "group_id", "artifact_id").alias("coordinate")).agg(F.min_by("version", "ord").alias("latest"))
+    return dependencies.join(known, "coordinate", "left")

@@ -241,10 +241,14 @@ def stub_methods(text: str) -> str:
 
 
 def column(f: Callable[[str], str], content: Column) -> Column:
-    """f over a column of whole files."""
+    """f over a column of whole files.
+
+    It is declared as if its result could differ from call to call, so that the optimizer keeps what follows apart:
+    else a filter on the result of several passes is moved below them with all their expressions written into it.
+    """
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else f(t))
 
-    return run(content)
+    return run.asNondeterministic()(content)

@@ -169,3 +169,35 @@ def test_kotlin_forms(spark):
     assert [r["import"] for r in extract.imports(lines).orderBy("line_no").collect()] == ["a.B", "a.B"]
     assert [r["class"] for r in extract.classes(lines).orderBy("line_no").collect()] == ["D", "E"]
     assert [one(spark, extract.package_prefix, p) for p in ("androidx.a.b", "com.a.b.c", "org.a.b", "x", "net.a.b.c")] == ["androidx.a", "com.a.b", "org.a", "x", "net.a.b"]
+
+
+def test_whole_runs(spark):
+    from siltworks.plans import pipelines
+
+    rows = [
+        ("s/A.java", "package com.acme;\nimport androidx.room.Database;\nimport com.skt.sdk.AuthListener;\nimport x.Y;\nclass A {\n  public int f() {\n    if (a == true) { x(y); }\n  }\n}\n"),
+        ("s/B.java", "package okio;\nclass B {}"), ("s/R.java", "package com.acme;\nclass R {}"),
+    ]
+    files_ = spark.createDataFrame(rows, "path string, content string")
+    lookup = spark.createDataFrame([("Y", 0, "io.y", "y", "2")], "name string, ord int, group_id string, artifact_id string, version string")
+    found = pipelines.analyze(files_, lookup)
+    assert [r.coordinate for r in found["dependencies"].collect()] == ["androidx.room:room-runtime", "io.y:y"]
+    assert found["report"].first().text == "dependencies {\n    implementation 'androidx.room:room-runtime:2.6.1'\n\n    // Medium confidence - verify manually\n    implementation 'io.y:y:2'\n}"
+    assert tuple(found["statistics"].first()) == (2, 1) and tuple(found["languages"].first()) == (True, False)
+    manifests = spark.createDataFrame([("<manifest package='com.acme.demo'/>",)], "xml string")
+    made = pipelines.generate(files_, manifests, spark.createDataFrame([("layout/A.xml", b"<a/>")], "path string, content binary"), lookup)
+    sources = {r.path: r for r in made["sources"].collect()}
+    assert set(sources) == {"java/com/acme/A.java", "java/com/skt/sdk/AuthListener.java"} and sources["java/com/acme/A.java"].n_stubbed == 1
+    assert "return 0;" in sources["java/com/acme/A.java"].content and tuple(made["counts"].first()) == (2, 0, 0, 1)
+    assert [r.path for r in made["resources"].collect()] == ["layout/a.xml"] and [r.coordinate for r in made["dependencies"].collect()] == ["androidx.room:room-runtime"]
+    assert made["settings"].first().text.endswith("rootProject.name = \"demo\"\ninclude ':app'\n") and made["defaults"].first().project == "demo" and made["manifest"].count() == 1
+
+
+def test_rules_types_and_versions(spark):
+    flags = spark.createDataFrame([("a:gson",), ("b:x",)], "coordinate string")
+    text = manifest.dependency_flags(flags).select(manifest.keep_rules(F.lit("p.App"), F.struct("*")).alias("t")).first().t
+    assert text.startswith("# Keep Application class\n-keep class p.App { *; }\n\n# Gson\n") and "Retrofit" not in text and text.endswith("JsonDeserializer\n\n# General Android\n-dontwarn android.support.**\n-dontwarn androidx.**\n")
+    kinds = {"1": "int", "2L": "long", "1.5": "double", "1.5f": "float", "true": "boolean", '"x"': "String", "null": "Object", "new Foo(1)": "Foo", "x": "Object"}
+    assert {k: one(spark, extract.literal_type, k) for k in kinds} == kinds
+    search = spark.createDataFrame([("a", "gson", 1, "2"), ("a", "gson", 0, "3")], "group_id string, artifact_id string, ord int, version string")
+    assert dict(map(tuple, resolve.latest_versions(flags, search).collect())) == {"a:gson": "3", "b:x": None}
