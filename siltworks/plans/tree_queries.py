@@ -180,7 +180,7 @@ def resource_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.resource_rows(_tree(spark, sf_dir)).groupBy(resources.resource_class(F.col("type")).alias("class")).agg(F.count("*").alias("n"))
 
 
-_ICONS = "icons AS (SELECT concat('mipmap-', p_partkey % 50, '/', CASE p_partkey % 3 WHEN 0 THEN 'ic_launcher.png' WHEN 1 THEN 'ic_launcher_round.xml' ELSE 'other.png' END) AS path FROM part WHERE p_partkey % 7 < 3)"
+_ICONS = "icons AS (SELECT concat('mipmap-', p_partkey % 50, '/', CASE p_partkey % 3 WHEN 0 THEN 'ic_launcher.png' WHEN 1 THEN CASE WHEN p_partkey % 50 < 40 THEN 'ic_launcher_round.xml' ELSE 'more.xml' END ELSE 'other.png' END) AS path FROM part WHERE p_partkey % 7 < 3)"
 
 
 @query(rf"""WITH {_ICONS}, s AS (SELECT regexp_extract(path, '^(.*)/', 1) AS folder, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') AS base FROM icons)
