@@ -169,6 +169,10 @@ LOST_CALLS = (r"(?<![.\w])([a-z]{2,3})\s*\(\s*(\d+)\s*,([^)]+)\)", r"(?<![.\w])(
 SDK_IMPORT = r"import\s+(?:static\s+)?([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)\s*;"
 SDK_WILDCARD = r"import\s+([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)\.\*\s*;"
 QUALIFIED = r"([a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+)\.([A-Z][a-zA-Z0-9_]*)"
+#: Imports by one whole name, constructors with their arguments, and lists of implemented interfaces.
+USAGE_IMPORT = r"import\s+([a-zA-Z_][a-zA-Z0-9_.]*)\s*;"
+NEW_INSTANCE = r"new\s+([a-zA-Z_][a-zA-Z0-9_.]*)\s*\(([^)]*)\)"
+IMPLEMENTS = r"implements\s+([^{]+)"
 INTERFACE_NAME = r"^I\p{Lu}|(?:Listener|Callback|Handler|Observer)$"
 #: Class in a log line; the first that matches.
 LOG_CLASS = (r"class:\s*(\S+)", r"Method\s+(\S+)", r"(\S+\.class)")
@@ -196,3 +200,14 @@ BUILT_IN = (
     ("Hilt", "com.google.dagger", "hilt-android", "dagger.hilt", "2.50"), ("Firebase Core", "com.google.firebase", "firebase-common", "com.google.firebase", "20.4.2"),
     ("Timber", "com.jakewharton.timber", "timber", "timber.log", "5.0.1"),
 )
+#: Rows of a report that are shown, by its kind, and characters of a failure's output.
+SHOWN = {"permissions": 10, "warnings": 5, "errors": 10, "sync_errors": 3, "unresolved": 5, "compile_errors": 10}
+SHOWN_OUTPUT = 500
+#: Where sources lie in a project, and the build scripts of which a project has one.
+SOURCE_FOLDER = "app/src/main/java"
+BUILD_SCRIPTS = ("app/build.gradle", "build.gradle")
+#: Settings of a build.
+PROPERTIES = (
+    ("org.gradle.jvmargs", "-Xmx8192m -Dfile.encoding=UTF-8"), ("org.gradle.parallel", "true"), ("android.useAndroidX", "true"),
+    ("kotlin.code.style", "official"), ("android.nonTransitiveRClass", "true"), ("org.gradle.caching", "true"),
+)

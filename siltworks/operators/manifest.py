@@ -211,3 +211,41 @@ def keep_rules(application: Column, flags: Column) -> Column:
     """The rules that keep the application's class and, by the flags, libraries' classes; a blank line after each block."""
     blocks = [F.when(flags[f], F.lit("\n".join(lines) + "\n")) for f, lines in KEEP_RULES]
     return _lines("# Keep Application class", F.concat(F.lit("-keep class "), application, F.lit(" { *; }\n")), *blocks, "# General Android", "-dontwarn android.support.**", "-dontwarn androidx.**")
+
+
+def properties_text() -> Column:
+    """The settings of a build, a line each."""
+    return F.lit("".join(f"{k}={v}\n" for k, v in fixed.PROPERTIES))
+
+
+def readme_text(row: Column, core: Column, detected: Column, native: Column) -> Column:
+    """What a project's README tells of it.
+
+    row: project, package, version_name, version_code, min_sdk, target_sdk, generated, source, size_mb, n_classes,
+    success (percent), obfuscated. core: coordinates. detected: (coordinate, version, confidence) in their order.
+    native: (abi, n) of native libraries; empty or null without.
+    """
+    cell = lambda name, *value: F.concat(F.lit(f"| {name} | "), *value, F.lit(" |"))
+    item = lambda name, *value: F.concat(F.lit(f"- **{name}**: "), *value)
+    text = lambda name: row[name].cast("string")
+    level = lambda name: (text(name), F.lit(" (Android "), sdk_name(row[name]), F.lit(")"))
+    percent = lambda c: F.round(c * 100, 0).cast("int").cast("string")
+    found = lambda d: F.concat(F.lit("- `"), d["coordinate"], F.lit(":"), d["version"], F.lit("` ("), percent(d["confidence"]), F.lit("% confidence)"))
+    blocks = (
+        F.concat(F.lit("# "), row["project"]),
+        F.concat_ws(
+            "\n", F.lit("## Project Information\n\n| Property | Value |\n|----------|-------|"), cell("Package Name", F.lit("`"), row["package"], F.lit("`")), cell("Version Name", row["version_name"]),
+            cell("Version Code", text("version_code")), cell("Min SDK", *level("min_sdk")), cell("Target SDK", *level("target_sdk")),
+        ),
+        F.concat_ws(
+            "\n", F.lit("## Generation Details\n"), item("Generated on", row["generated"]), item("Source APK", row["source"]), item("APK Size", F.format_string("%.1f", row["size_mb"]), F.lit(" MB")),
+            item("Total Classes", text("n_classes")), item("Decompilation Success Rate", text("success"), F.lit("%")),
+        ),
+        F.concat(F.lit("## Detected Dependencies\n\n"), F.size(detected).cast("string"), F.lit(" dependencies were automatically detected:")),
+        F.concat_ws("\n", F.lit("### Core Libraries"), _blocks(core, lambda d: F.concat(F.lit("- `"), d, F.lit("`")))),
+        F.concat_ws("\n", F.lit("### Third-party Libraries"), _blocks(detected, found)),
+        F.when(row["obfuscated"], F.lit("## Known Issues\n\n### Obfuscation Detected\n\nClass and method names of the source may be unclear.")).otherwise(F.lit("## Known Issues")),
+        _blocks(native, lambda n: F.concat(F.lit("- **"), n["abi"], F.lit("**: "), n["n"].cast("string"), F.lit(" libraries"))),
+        F.lit("### Potential Compilation Errors\n\nCode may fail to compile where dependencies weren't detected or decompilation is incomplete."),
+    )
+    return F.concat(F.concat_ws("\n\n", *blocks), F.lit("\n"))

@@ -90,3 +90,14 @@ def verification(need: DataFrame, there: DataFrame) -> DataFrame:
     """Total, passed and buildable (all but one passed at least) of the needed names."""
     found = need.join(there.distinct().withColumn("ok", F.lit(True)), "name", "left")
     return found.agg(F.count("*").alias("total"), F.count_if(F.coalesce("ok", F.lit(False))).alias("passed")).withColumn("buildable", F.col("passed") >= F.col("total") - 1)
+
+
+def shown(rows: DataFrame, kind: str, *order: str | Column, every: bool = False) -> DataFrame:
+    """The rows of a report that are shown: the first ones by `order`, as many as its kind has; all of them on demand."""
+    ordered = rows.orderBy(*order)
+    return ordered if every else ordered.limit(fixed.SHOWN[kind])
+
+
+def shown_output(output: Column) -> Column:
+    """The start of a failed run's output that is shown."""
+    return F.substring(output, 1, fixed.SHOWN_OUTPUT)

@@ -50,6 +50,9 @@ _LINES = (
     _when(f"{K} % 9 = 5", "'        total[i] = 3;'"),
     _when(f"{K} % 9 = 6", "'        int[] total = new int[4]; total[i] = 3;'"),
     _when(f"{K} % 10 = 3", "'        com.skt.sdk.AuthListener.go(com.nice.pay.Card.make());'"),
+    _when(f"{K} % 16 = 2", "'        Auth one = new Auth(12, \"x\", 3.5f, true); go(new com.nice.pay.Card(7L , null, one));'"),
+    _when(f"{K} % 16 = 11", "'        Object pay = new Card( new Box(1), 2.5);'"),
+    _when(f"{K} % 24 = 3", "concat('        class Local implements Card, Runnable ', chr(123), ' ', chr(125))"),
     _when(f"{K} % 6 = 4", "'        ab(12, x, y);'"),
     _when(f"{K} % 12 = 7", "'        mo15run(z); String k = new String(new byte[2]);'"),
     _when(f"{K} % 14 = 2", "'        int m = (a & 3) + (b | 4);'"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed, resources
-from siltworks.operators import extract, manifest, organize, report, resolve, stubs
+from siltworks.operators import extract, manifest, organize, report, resolve, stubs, usage
 from siltworks.plans import corpus
 from siltworks.plans.catalog import _ALL_PACKAGES, _ENTRIES, _IMPORTS, _LIBRARY, _MARKED, _PACKAGES, _PATHS, _RESOLVED, _SRC, _TYPES, _all_packages, _below, _entries, _lines, _paths, _resolved, query
 from siltworks.session import table
@@ -89,6 +89,33 @@ def stub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stubs.stub_files(_classes(spark, sf_dir))
 
 
+_IMPORTED = rf"""imported AS (SELECT path, full_name, regexp_extract(full_name, '[^.]*$') AS name, pos FROM (SELECT path, unnest(regexp_extract_all(content, '{fixed.USAGE_IMPORT}', 1)) AS full_name, generate_subscripts(regexp_extract_all(content, '{fixed.USAGE_IMPORT}', 1), 1) AS pos FROM corpus)),
+names AS (SELECT path, name, arg_max(full_name, pos) AS full_name FROM imported GROUP BY path, name)"""
+
+
+@query(f"{_SRC}, {_IMPORTED} SELECT path, name, full_name FROM names")
+def import_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.import_map(corpus.corpus(spark, sf_dir))
+
+
+_STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+_TYPE = rf"""CASE WHEN regexp_full_match(a, '\d+') THEN 'int' WHEN regexp_full_match(a, '\d+L') THEN 'long' WHEN regexp_full_match(a, '\d+\.\d+') THEN 'double' WHEN regexp_full_match(a, '\d+\.\d+f') THEN 'float' WHEN a IN ('true', 'false') THEN 'boolean'
+ WHEN starts_with(a, '"') THEN 'String' WHEN starts_with(a, 'new ') THEN trim(string_split(a[5:], '(')[1]) ELSE 'Object' END"""
+_USED = rf"""java AS (SELECT * FROM corpus WHERE path LIKE '%.java'),
+made AS (SELECT path, unnest(regexp_extract_all(content, '{fixed.NEW_INSTANCE}', 1)) AS name, unnest(regexp_extract_all(content, '{fixed.NEW_INSTANCE}', 2)) AS arguments FROM java),
+kept AS (SELECT path, {_STRIP.format('name')} AS name FROM (SELECT path, unnest(string_split(names, ',')) AS name FROM (SELECT path, unnest(regexp_extract_all(content, '{fixed.IMPLEMENTS}', 1)) AS names FROM java))),
+uses AS (SELECT path, name, array_to_string(list_transform(list_filter(list_transform(string_split(arguments, ','), lambda a: {_STRIP.format('a')}), lambda a: a <> ''), lambda a: {_TYPE}), ',') AS types FROM made UNION ALL SELECT path, name, NULL FROM kept),
+whole AS (SELECT CASE WHEN contains(u.name, '.') THEN u.name ELSE n.full_name END AS full_name, types FROM uses u LEFT JOIN names n USING (path, name)),
+used AS (SELECT regexp_extract(full_name, '^(.*)\.', 1) AS package, regexp_extract(full_name, '[^.]*$') AS class, bool_or(types IS NULL) AS is_interface, coalesce(string_agg(DISTINCT types, '|' ORDER BY types), '') AS constructors
+ FROM whole WHERE full_name IS NOT NULL AND {_below('full_name', fixed.SDK_PACKAGES)} GROUP BY ALL)"""
+
+
+@query(f"{_SRC}, {_IMPORTED}, {_USED} SELECT package, class, is_interface, constructors FROM used")
+def class_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = F.array_join(F.array_sort(F.transform("constructors", lambda t: F.array_join(t, ","))), "|")
+    return usage.usages(corpus.corpus(spark, sf_dir)).withColumn("constructors", lists)
+
+
 _LEVELS = "levels AS (SELECT c_custkey AS k, CAST(18 + c_custkey % 20 AS INTEGER) AS sdk, concat('com.acme.app', c_custkey % 9, '.', c_mktsegment) AS package FROM customer)"
 
 
@@ -242,3 +269,37 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest.parse(_manifests(spark, sf_dir))
     return rows.select("k", manifest.manifest_text(F.struct("permissions", "activities", "services", "receivers")).alias("text"))
+
+
+@query(f"{_RESOLVED} SELECT coordinate, version, confidence FROM resolved ORDER BY confidence DESC, coordinate LIMIT {fixed.SHOWN['unresolved']}")
+def shown_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.shown(_resolved(spark, sf_dir).select("coordinate", "version", "confidence"), "unresolved", F.desc("confidence"), "coordinate")
+
+
+@query(f"{_SRC} SELECT path, substr(content, 1, {fixed.SHOWN_OUTPUT}) AS shown FROM corpus")
+def shown_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.corpus(spark, sf_dir).select("path", report.shown_output(F.col("content")).alias("shown"))
+
+
+_README = f"""WITH f AS (SELECT c_custkey AS k, CAST(18 + c_custkey % 20 AS INTEGER) AS sdk, c_custkey % 3 = 0 AS obfuscated, c_custkey % 4 AS n, c_custkey % 5 AS libs FROM customer),
+g AS (SELECT *, CASE sdk {' '.join(f"WHEN {i} THEN '{n}'" for i, n in fixed.SDK_NAMES.items())} ELSE 'API ' || sdk END AS level FROM f)
+SELECT k, '# app' || k || repeat(chr(10), 2) || concat_ws(chr(10), '## Project Information', '', '| Property | Value |', '|----------|-------|', '| Package Name | `com.acme.app' || k || '` |', '| Version Name | 2.' || n || ' |', '| Version Code | ' || k || ' |',
+ '| Min SDK | ' || sdk || ' (Android ' || level || ') |', '| Target SDK | ' || sdk || ' (Android ' || level || ') |', '', '## Generation Details', '', '- **Generated on**: 2024-01-01', '- **Source APK**: a.apk', '- **APK Size**: ' || k || '.5 MB', '- **Total Classes**: ' || k,
+ '- **Decompilation Success Rate**: 95%', '', '## Detected Dependencies', '', n || ' dependencies were automatically detected:', '', '### Core Libraries', '- `{fixed.CORE_JAVA}`', {', '.join(f"'- `{c}`'" for c in fixed.CORE)}, '', '### Third-party Libraries')
+ || CASE WHEN n > 0 THEN chr(10) || array_to_string(list_transform(range(0, n), lambda i: '- `g:a' || i || ':1.' || i || '` (' || (85 + 5 * i) || '% confidence)'), chr(10)) ELSE '' END || repeat(chr(10), 2) || '## Known Issues'
+ || CASE WHEN obfuscated THEN repeat(chr(10), 2) || '### Obfuscation Detected' || repeat(chr(10), 2) || 'Class and method names of the source may be unclear.' ELSE '' END
+ || CASE WHEN libs > 0 THEN repeat(chr(10), 2) || '- **x86**: ' || libs || ' libraries' ELSE '' END
+ || repeat(chr(10), 2) || '### Potential Compilation Errors' || repeat(chr(10), 2) || 'Code may fail to compile where dependencies weren''t detected or decompilation is incomplete.' || chr(10) AS text FROM g"""
+
+
+@query(_README)
+def readme_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    facts = {
+        "project": F.concat(F.lit("app"), k.cast("string")), "package": F.concat(F.lit("com.acme.app"), k.cast("string")), "version_name": F.concat(F.lit("2."), (k % 4).cast("string")), "version_code": k,
+        "min_sdk": (k % 20 + 18).cast("int"), "target_sdk": (k % 20 + 18).cast("int"), "generated": F.lit("2024-01-01"), "source": F.lit("a.apk"), "size_mb": k + 0.5, "n_classes": k, "success": F.lit(95), "obfuscated": k % 3 == 0,
+    }
+    detected = F.expr("transform(filter(sequence(0, 3), i -> i < c_custkey % 4), i -> struct(concat('g:a', i) AS coordinate, concat('1.', i) AS version, CAST(0.85 + 0.05 * i AS float) AS confidence))")
+    native = F.expr("filter(array(struct('x86' AS abi, c_custkey % 5 AS n)), x -> x.n > 0)")
+    row = F.struct(*[v.alias(n) for n, v in facts.items()])
+    return table(spark, sf_dir, "customer").select(k.alias("k"), manifest.readme_text(row, manifest.core_dependencies(F.lit(False)), detected, native).alias("text"))

@@ -81,3 +81,30 @@ def named_files(spark: SparkSession, root: str, extension: str | None = None, pa
 def zip_resources(entries: DataFrame) -> DataFrame:
     """The resource files of zip_entries(), where no other tool has extracted them."""
     return entries.filter(F.col("entry_name").startswith("res/") & ~F.col("entry_name").endswith("/"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name)
+
+
+def source_folder(spark: SparkSession, root: str) -> str | None:
+    """Where the Java sources below root lie: a project's own folder, root if it holds some, else the folder of the first by path."""
+    own = f"{root}/{fixed.SOURCE_FOLDER}"
+    if _exists(spark, own):
+        return own
+    if not _exists(spark, root):
+        return None
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    here = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit("")))
+    first = named_files(spark, root, pattern=r".*\.java").select(folder.alias("folder"), here.alias("depth"), "path").agg(F.min(F.struct("path", "folder")).alias("first"), F.min(F.struct("depth", "folder")).alias("top")).first()
+    if first["first"] is None:
+        return None
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
+    top = first["top"]["folder"]
+    return root if spark._jvm.org.apache.hadoop.fs.Path(top).toUri().getPath() == base else first["first"]["folder"]
+
+
+def is_project(spark: SparkSession, root: str) -> bool:
+    """Whether root has a build script where a project has one."""
+    return any(_exists(spark, f"{root}/{name}") for name in fixed.BUILD_SCRIPTS)
