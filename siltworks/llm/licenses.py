@@ -193,6 +193,194 @@ STATEMENTS = (
     ("spdx", "spdx", "spdx licen[sc]e identifier [a-z0-9]+", 0.5),
 )
 
+#: Further sentences of licence texts: label, keyword, regex over the words, score. Fixed values.
+CLAUSES = (
+    ("gpl-3", "copyleft", "the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works", 0.95),
+    ("gpl-3", "anti circumvention law", "protecting users legal rights from anti circumvention law", 0.9),
+    ("gpl-3", "conveying modified source versions", "conveying modified source versions", 0.8),
+    ("gpl-2", "take away your freedom", "the licen[sc]es for most software are designed to take away your freedom to share and change it", 0.95),
+    ("gpl-2", "distribute or publish", "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program", 0.95),
+    ("gpl", "absolutely no warranty", "(?:this program )?comes with absolutely no warranty", 0.6),
+    ("gpl", "this program is free software", "this program is free software", 0.5),
+    ("gnu-or-later", "at your option", "(?:either )?version [123](?: [01])? of the licen[sc]e or at your option any later version", 0.7),
+    ("lgpl", "this library is free software", "this library is free software", 0.6),
+    ("lgpl-3", "incorporates the terms", "this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3", 0.95),
+    ("lgpl-2.1", "portion of the library", "contains no derivative of any portion of the library but is designed to work with the library", 0.95),
+    ("agpl-3", "network server software", "specifically designed to ensure cooperation with the community in the case of network server software", 0.95),
+    ("agpl-3", "remote network interaction", "remote network interaction use with the gnu general public licen[sc]e", 0.95),
+    ("gfdl", "invariant sections", "with no invariant sections no front cover texts and no back cover texts", 0.95),
+    ("gfdl", "secondary section", "a secondary section is a named appendix or a front matter section", 0.95),
+    ("apache-2", "authorized by the copyright owner", "the copyright owner or entity authorized by the copyright owner that is granting the licen[sc]e", 0.95),
+    ("apache-2", "other recipients of the work", "you must give any other recipients of the work or derivative works a copy of this licen[sc]e", 0.95),
+    ("apache-2", "no charge royalty free", "perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent|except as stated)", 0.9),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation", 0.9),
+    ("apache-1.1", "must not be used to endorse", "the names apache (?:[a-z]+ ){0,6}must not be used to endorse or promote products", 0.9),
+    ("mpl-2", "copy of the mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", 0.95),
+    ("mpl-2", "incompatible with secondary", "incompatible with secondary licen[sc]es", 0.9),
+    ("mpl-1.1", "contents of this file may be used", "alternatively the contents of this file may be used under the terms of (?:either )?the gnu", 0.85),
+    ("mpl-1.1", "initial developer of the original code", "the initial developer of the original code is", 0.85),
+    ("mpl-1.1", "governing rights and limitations", "for the specific language governing rights and limitations", 0.8),
+    ("epl", "initial agreement steward", "the eclipse foundation is the initial agreement steward", 0.95),
+    ("epl", "constitutes recipient s acceptance", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement", 0.85),
+    ("epl-2", "following secondary", "this source code may also be made available under the following secondary licen[sc]es", 0.95),
+    ("cddl", "opensolaris", "(?:usr src opensolaris licen[sc]e|www opensolaris org os licensing)", 0.9),
+    ("cddl", "cddl header", "include this cddl header in each file", 0.95),
+    ("bsd-4", "university of california", "this product includes software developed by the university of california berkeley and its contributors", 0.95),
+    ("bsd", "exemplary or consequential damages", "be liable for any direct indirect incidental special exemplary or consequential damages", 0.8),
+    ("bsd-3-clear", "patent rights are granted", "no express or implied licen[sc]es to any party s patent rights are granted by this licen[sc]e", 0.95),
+    ("bsd-lbnl", "bug fixes patches", "you are under no obligation whatsoever to provide any bug fixes patches or upgrades", 0.95),
+    ("bsd-no-nuclear", "nuclear facility", "for use in the design construction operation or maintenance of any nuclear facility", 0.9),
+    ("bsd-attribution", "any form whatsoever", "redistributions of any form whatsoever must retain the following acknowledge?ment", 0.9),
+    ("mit", "deal in the software", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[sc]e and or sell copies", 0.95),
+    ("mit", "claim damages or other liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 0.85),
+    ("mit-modern", "without written agreement", "permission is hereby granted without written agreement and without licen[sc]e or royalty fees", 0.95),
+    ("x11", "except as contained in this notice", "except as contained in this notice the names? of (?:[a-z0-9]+ ){1,10}shall not be used in advertising", 0.9),
+    ("hpnd", "this software and its documentation", "permission to use copy modify and distribute this software and its documentation", 0.85),
+    ("hpnd", "supporting documentation", "both that copyright notice and this permission notice appear in supporting documentation", 0.9),
+    ("hpnd-sell", "and sell this software", "permission to use copy modify distribute and sell this software and its documentation", 0.9),
+    ("isc", "permission notice appear in all copies", "provided that the above copyright notice and this permission notice appear in all copies", 0.85),
+    ("isc", "disclaims all warranties", "the author disclaims all warranties with regard to this software", 0.8),
+    ("bsl-1", "derivative works of the software", "in all copies of the software in whole or in part and all derivative works of the software", 0.95),
+    ("bsl-1", "machine executable object code", "solely in the form of machine executable object code generated by a source language processor", 0.95),
+    ("zlib", "granted to anyone to use this software", "permission is granted to anyone to use this software for any purpose including commercial applications", 0.95),
+    ("zlib", "altered from any source", "this notice may not be removed or altered from any source distribution", 0.9),
+    ("libpng", "png reference library", "the png reference library is supplied as is", 0.95),
+    ("python", "psf is making python", "psf is making python(?: [0-9]){0,3} available to licen[sc]ee on an as is basis", 0.95),
+    ("python-cnri", "cnri", "cnri hereby grants licen[sc]ee a nonexclusive royalty free world wide licen[sc]e", 0.95),
+    ("python-beopen", "beopen", "beopen python open source licen[sc]e agreement", 0.95),
+    ("php", "includes php software", "this product includes php software freely available from", 0.95),
+    ("ruby", "source form of the software", "verbatim copies of the source form of the software without restriction", 0.85),
+    ("artistic-1", "standard version of this package", "verbatim copies of the source form of the standard version of this package without restriction", 0.9),
+    ("artistic", "collection of files distributed", "package (?:means|refers to) the collection of files distributed by the copyright holder", 0.9),
+    ("perl", "artistic", "under the terms of either the gnu general public licen[sc]e or the artistic licen[sc]e", 0.9),
+    ("lppl", "latex project public", "distributed and or modified under the conditions of the latex project public licen[sc]e", 0.95),
+    ("lppl", "lppl maintenance status", "this work has the lppl maintenance status", 0.95),
+    ("ofl", "fonts and derivatives", "the fonts and derivatives however cannot be released under any other type of licen[sc]e", 0.95),
+    ("ofl", "reserved font", "with reserved font names?", 0.8),
+    ("cc0", "associated a work with this deed", "the person who associated a work with this deed has dedicated the work to the public domain", 0.95),
+    ("cc", "appropriate credit", "you must give appropriate credit provide a link to the licen[sc]e and indicate if changes were made", 0.85),
+    ("cc-by-sa", "your contributions under the same", "you must distribute your contributions under the same licen[sc]e as the original", 0.85),
+    ("cc-by-nc", "the material for commercial purposes", "you may not use the material for commercial purposes", 0.85),
+    ("cc-by-nd", "distribute the modified material", "if you remix transform or build upon the material you may not distribute the modified material", 0.85),
+    ("cc", "creative commons public", "provided under the terms of this creative commons public licen[sc]e", 0.9),
+    ("odbl", "open database", "made available under the open database licen[sc]e", 0.95),
+    ("odc-dbcl", "database contents", "licen[sc]ed under the database contents licen[sc]e", 0.9),
+    ("ogl", "public sector information", "contains public sector information licen[sc]ed under the open government licen[sc]e", 0.95),
+    ("rail", "derivatives of the model", "you agree not to use the model or derivatives of the model", 0.9),
+    ("llama", "llama", "built with (?:meta )?llama", 0.6),
+    ("gemma", "gemma", "gemma is provided under and subject to the gemma terms of use", 0.95),
+    ("osl", "open software", "licen[sc]ed under the open software licen[sc]e version", 0.9),
+    ("afl", "academic free", "licen[sc]ed under the academic free licen[sc]e version", 0.9),
+    ("eupl", "eupl", "licen[sc]ed under the eupl", 0.9),
+    ("cecill", "cecill", "governed by the cecill(?: [abc])? licen[sc]e under french law", 0.95),
+    ("dual", "dual", "dual licen[sc]ed under (?:the )?(?:mit|apache|gpl|lgpl|mpl|bsd)", 0.7),
+    ("proprietary", "you may not", "you may not (?:reverse engineer|decompile|disassemble)", 0.6),
+    ("proprietary", "not sold", "is licen[sc]ed not sold", 0.6),
+    ("proprietary", "evaluation purposes only", "for evaluation purposes only", 0.5),
+    ("proprietary", "not for redistribution", "not for redistribution", 0.5),
+    ("proprietary", "may not be copied", "may not be copied (?:[a-z]+ ){0,6}without", 0.5),
+    ("proprietary", "end user", "end user licen[sc]e agreement", 0.5),
+    ("proprietary", "non disclosure agreement", "(?:under|subject to) (?:a|the) non disclosure agreement", 0.6),
+)
+#: Addresses of licence texts and entries of package metadata: label, keyword, regex over the words, score. Fixed values.
+ADDRESSES = (
+    ("cc-by", "creativecommons org", "creativecommons org licen[sc]es by(?! (?:sa|nc|nd))", 0.95),
+    ("cc-by-sa", "creativecommons org", "creativecommons org licen[sc]es by sa", 0.95),
+    ("cc-by-nd", "creativecommons org", "creativecommons org licen[sc]es by nd", 0.95),
+    ("cc-by-nc", "creativecommons org", "creativecommons org licen[sc]es by nc(?! (?:sa|nd))", 0.95),
+    ("cc-by-nc-sa", "creativecommons org", "creativecommons org licen[sc]es by nc sa", 0.95),
+    ("cc-by-nc-nd", "creativecommons org", "creativecommons org licen[sc]es by nc nd", 0.95),
+    ("cc0", "creativecommons org", "creativecommons org publicdomain zero 1 0", 0.95),
+    ("public-domain", "creativecommons org", "creativecommons org publicdomain mark 1 0", 0.95),
+    ("gpl", "gnu org", "gnu org (?:copyleft|licen[sc]es)(?: old licen[sc]es)? gpl", 0.9),
+    ("lgpl", "gnu org", "gnu org (?:copyleft|licen[sc]es)(?: old licen[sc]es)? (?:lgpl|lesser)", 0.9),
+    ("agpl", "gnu org", "gnu org licen[sc]es agpl", 0.9),
+    ("gfdl", "gnu org", "gnu org (?:copyleft|licen[sc]es) fdl", 0.9),
+    ("mit", "opensource org", "opensource org licen[sc]es? mit", 0.95),
+    ("bsd-2", "opensource org", "opensource org licen[sc]es? bsd 2 clause", 0.95),
+    ("bsd-3", "opensource org", "opensource org licen[sc]es? bsd 3 clause", 0.95),
+    ("isc", "opensource org", "opensource org licen[sc]es? isc", 0.95),
+    ("zlib", "opensource org", "opensource org licen[sc]es? zlib", 0.95),
+    ("mpl", "mozilla org", "mozilla org mpl", 0.9),
+    ("epl", "eclipse org", "eclipse org legal epl", 0.9),
+    ("unlicense", "unlicense org", "unlicense org", 0.9),
+    ("ofl", "scripts sil org", "scripts sil org ofl", 0.95),
+    ("bsl-1", "boost org", "boost org licen[sc]e 1 0", 0.95),
+    ("odbl", "opendatacommons org", "opendatacommons org licen[sc]es odbl", 0.95),
+    ("odc-by", "opendatacommons org", "opendatacommons org licen[sc]es by", 0.95),
+    ("pddl", "opendatacommons org", "opendatacommons org licen[sc]es pddl", 0.95),
+    ("wtfpl", "wtfpl net", "wtfpl net", 0.85),
+    ("mit", "osi approved", "osi approved mit licen[sc]e", 0.95),
+    ("apache", "osi approved", "osi approved apache software licen[sc]e", 0.95),
+    ("bsd", "osi approved", "osi approved bsd licen[sc]e", 0.95),
+    ("gpl", "osi approved", "osi approved gnu general public licen[sc]e", 0.95),
+    ("isc", "osi approved", "osi approved isc licen[sc]e", 0.95),
+    ("mpl", "osi approved", "osi approved mozilla public licen[sc]e", 0.95),
+    ("mit", "mit", "licen[sc]e mit", 0.8),
+    ("isc", "isc", "licen[sc]e isc", 0.8),
+    ("zlib", "zlib", "licen[sc]e zlib", 0.8),
+    ("proprietary", "unlicensed", "licen[sc]e unlicensed", 0.7),
+)
+#: Names of further licences: label, keyword, regex over the words, score. Fixed values.
+NAMES = (
+    ("adaptive", "adaptive public", "adaptive public licen[sc]e", 0.85),
+    ("attribution-assurance", "attribution assurance", "attribution assurance licen[sc]e", 0.85),
+    ("catosl", "computer associates", "computer associates trusted open source licen[sc]e", 0.85),
+    ("cpal", "common public attribution", "common public attribution licen[sc]e", 0.85),
+    ("cua-opl", "cua office", "cua office public licen[sc]e", 0.85),
+    ("eudatagrid", "eu datagrid", "eu datagrid software licen[sc]e", 0.85),
+    ("efl", "eiffel forum", "eiffel forum licen[sc]e", 0.85),
+    ("entessa", "entessa", "entessa public licen[sc]e", 0.85),
+    ("frameworx", "frameworx", "frameworx open licen[sc]e", 0.85),
+    ("ipa", "ipa font", "ipa font licen[sc]e", 0.85),
+    ("lucent", "lucent public", "lucent public licen[sc]e", 0.85),
+    ("miros", "miros", "miros licen[sc]e", 0.85),
+    ("motosoto", "motosoto", "motosoto (?:open source )?licen[sc]e", 0.85),
+    ("multics", "multics", "multics licen[sc]e", 0.85),
+    ("naumen", "naumen", "naumen public licen[sc]e", 0.85),
+    ("nethack", "nethack", "nethack general public licen[sc]e", 0.85),
+    ("nokia", "nokia open source", "nokia open source licen[sc]e", 0.85),
+    ("nosl", "netizen open source", "netizen open source licen[sc]e", 0.85),
+    ("nposl", "non profit open software", "non profit open software licen[sc]e", 0.85),
+    ("ntp", "ntp", "ntp licen[sc]e", 0.8),
+    ("oclc", "oclc research public", "oclc research public licen[sc]e", 0.85),
+    ("ogtsl", "open group test suite", "open group test suite licen[sc]e", 0.85),
+    ("rpsl", "realnetworks", "realnetworks public source licen[sc]e", 0.85),
+    ("rscpl", "ricoh", "ricoh source code public licen[sc]e", 0.85),
+    ("simpl", "simple public", "simple public licen[sc]e", 0.8),
+    ("spl", "sun public", "sun public licen[sc]e", 0.85),
+    ("vsl", "vovida", "vovida software licen[sc]e", 0.85),
+    ("watcom", "open watcom", "(?:sybase )?open watcom public licen[sc]e", 0.85),
+    ("xnet", "x net", "x net licen[sc]e", 0.75),
+    ("fal", "free art", "free art licen[sc]e", 0.85),
+    ("fal", "licence art libre", "licence art libre", 0.85),
+    ("opl", "open publication", "open publication licen[sc]e", 0.85),
+    ("open-gaming", "open gaming", "open gaming licen[sc]e", 0.85),
+    ("dsl", "design science", "design science licen[sc]e", 0.85),
+    ("solderpad", "solderpad", "solderpad hardware licen[sc]e", 0.85),
+    ("cern-ohl", "cern", "cern open hardware licen[sc]e", 0.85),
+    ("tapr-ohl", "tapr", "tapr open hardware licen[sc]e", 0.85),
+    ("hippocratic", "hippocratic", "hippocratic licen[sc]e", 0.85),
+    ("parity", "parity public", "parity public licen[sc]e", 0.85),
+    ("prosperity", "prosperity public", "prosperity public licen[sc]e", 0.85),
+    ("anti-996", "anti 996", "anti 996 licen[sc]e", 0.85),
+    ("peer-production", "peer production", "peer production licen[sc]e", 0.85),
+    ("cal", "cryptographic autonomy", "cryptographic autonomy licen[sc]e", 0.85),
+    ("fsl", "functional source", "functional source licen[sc]e", 0.85),
+    ("fair-source", "fair source", "fair source licen[sc]e", 0.85),
+    ("sustainable-use", "sustainable use", "sustainable use licen[sc]e", 0.85),
+    ("confluent", "confluent community", "confluent community licen[sc]e", 0.85),
+    ("timescale", "timescale", "timescale licen[sc]e", 0.85),
+    ("rsal", "redis", "redis source available licen[sc]e", 0.85),
+    ("ms-eula", "microsoft software", "microsoft software licen[sc]e terms", 0.8),
+    ("ms-lpl", "microsoft limited", "microsoft limited (?:public|reciprocal) licen[sc]e", 0.85),
+    ("oracle", "oracle", "oracle (?:technology network|binary code) licen[sc]e", 0.8),
+    ("oracle-nftc", "no fee terms", "oracle no fee terms and conditions", 0.85),
+    ("nvidia", "nvidia", "nvidia (?:software )?licen[sc]e agreement", 0.8),
+    ("intel", "intel simplified software", "intel simplified software licen[sc]e", 0.85),
+    ("android-sdk", "android software development kit", "android software development kit licen[sc]e agreement", 0.85),
+)
+
 #: Keywords that only start a word of the rules, and those that may stand anywhere in one. All others are whole words.
 STARTS, WITHIN = ("licen", "gplv", "lgplv", "beer"), ("bsd",)
 
@@ -200,7 +388,7 @@ STARTS, WITHIN = ("licen", "gplv", "lgplv", "beer"), ("bsd",)
 def rules() -> list[dict]:
     """All rules by falling priority: exact versions with "or later", exact versions, names and statements, bare names.
 
-    Of VERSIONED and CREATIVE each name is a rule for each version; SINGLE and STATEMENTS are written one by one.
+    Of VERSIONED and CREATIVE each name is a rule for each version; the rules of the other tables are written one by one.
     """
     later, exact, bare = [], [], []
     for label, names, versions in VERSIONED:
@@ -219,7 +407,7 @@ def rules() -> list[dict]:
             exact.append({"label": f"{label}-{v.replace(' ', '.')}", "key": "creative commons", "regex": f"creative commons {name}(?: international)? {v}", "score": 1.0})
         bare.append({"label": label, "key": "cc by", "regex": f"cc {code}(?! (?:sa|nc|nd))", "score": 0.85})
         bare.append({"label": label, "key": "creative commons", "regex": f"creative commons {name}", "score": 0.85})
-    single = [{"label": label, "key": key, "regex": regex, "score": score} for label, key, regex, score in (*SINGLE, *STATEMENTS)]
+    single = [{"label": label, "key": key, "regex": regex, "score": score} for label, key, regex, score in (*SINGLE, *STATEMENTS, *CLAUSES, *ADDRESSES, *NAMES)]
     return [r | {"priority": i, "key": probe(r["key"])} for i, r in enumerate([*later, *exact, *single, *bare])]
 
 
