@@ -111,6 +111,8 @@ def _examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     def negative() -> tuple[str, str, str]:
         kind = pick(*KINDS)
         hint = pick("", "page ", "order ", "of ", "version ")
+        if kind in ("card", "phone") and rng.random() < 0.25:  # digits inside an identifier
+            return kind, digits(int(rng.integers(10, 17))), prose() + letters(int(rng.integers(4, 20)), "0123456789abcdef") + letters(1)
         if kind == "email":
             value = letters(5) + " at " + letters(6) + " dot " + letters(int(rng.integers(4, 11)))
         elif kind == "ip":
