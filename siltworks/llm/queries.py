@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import decontam, licenses, linededup, media, mixing, pii, quality, sharding, simhash, toxicity
+from siltworks.llm import decontam, licenses, linededup, media, merkle, mixing, pii, quality, sharding, simhash, toxicity
 from siltworks.llm.common import table
 
 #: Target token shares of op9; values that aren't named share the rest.
@@ -51,8 +51,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_toxicity, op4_linededup, op5_simhash, op6_pii, op7_decontamination, op8_licenses, op9_mixing, op10_sharding)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = merkle.manifest(docs, extra={"changed": merkle.tampered(docs)})
+    return merkle.verified(rows, "changed").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_toxicity, op4_linededup, op5_simhash, op6_pii, op7_decontamination, op8_licenses, op9_mixing, op10_sharding, op11_merkle)}
+
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle.HASHED) + ")"
+#: CRC-32 of a text of ASCII characters.
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -84,4 +94,36 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_merkle": f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, {_LEAF} AS leaf,
+         CASE WHEN crc32_of % 7 = 0 THEN {_LEAF.replace("(n_chars ", "(n_chars + 1 ")} ELSE {_LEAF} END AS changed
+  FROM (SELECT *, {_CRC32.format("CAST(doc_id AS VARCHAR)")} AS crc32_of FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM rows),
+up AS (
+  SELECT g, 0 AS level, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY g, level, pos // 2, n),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n, max(level) OVER (PARTITION BY g) AS height FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (
+  SELECT p.doc_id, p.leaf, u.level, (p.pos >> u.level) % 2 = 1 AS on_left, s.h
+  FROM placed p JOIN (SELECT DISTINCT g, level FROM up WHERE n > 1) u USING (g)
+  LEFT JOIN up s ON s.g = p.g AND s.level = u.level AND s.pos = xor(p.pos >> u.level, 1)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, r.height + t.level, (r.pos >> t.level) % 2 = 1, s.h
+  FROM placed p JOIN subroots r USING (g) CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) t
+  LEFT JOIN top s ON s.level = t.level AND s.pos = xor(r.pos >> t.level, 1)),
+proofs AS (SELECT doc_id, leaf, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY doc_id, leaf),
+fold AS (
+  SELECT doc_id, leaf, 0 AS level, changed AS h FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.level + 1, sha256(CASE WHEN s.on_left THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+  FROM fold f JOIN steps s ON s.doc_id = f.doc_id AND s.leaf = f.leaf AND s.level = f.level),
+ends AS (SELECT doc_id, leaf, arg_max(h, level) AS folded_root FROM fold GROUP BY doc_id, leaf)
+SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, coalesce(o.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.h AS verified
+FROM placed p JOIN subroots r USING (g) JOIN top t ON t.n = 1 JOIN ends e USING (doc_id, leaf) LEFT JOIN proofs o USING (doc_id, leaf)""",
 }
