@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import decontam, licenses, linededup, media, merkle, mixing, pii, quality, sharding, simhash, toxicity
+from siltworks.llm import decontam, jaccard, licenses, linededup, media, merkle, mixing, pii, quality, sharding, simhash, toxicity
 from siltworks.llm.common import table
 
 #: Target token shares of op9; values that aren't named share the rest.
@@ -57,7 +57,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(rows, "changed").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_toxicity, op4_linededup, op5_simhash, op6_pii, op7_decontamination, op8_licenses, op9_mixing, op10_sharding, op11_merkle)}
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_toxicity, op4_linededup, op5_simhash, op6_pii, op7_decontamination, op8_licenses, op9_mixing, op10_sharding, op11_merkle, op12_jaccard)}
 
 _FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle.HASHED) + ")"

@@ -449,7 +449,7 @@ def verify_group(nodes: np.ndarray, label: np.ndarray, shingles: np.ndarray, siz
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def settle(crowded: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def settle(crowded: DataFrame, sets: DataFrame, roots: DataFrame, share: float = KEEP_SHARE) -> DataFrame:
     """(a, b): links among the nodes of each crowded group (node, group) by verify_group(), in pairs of blocks."""
     held = sets.join(roots.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "shingles")
     known = crowded.join(held.select("node", "label", F.size("shingles").alias("n")), "node")
@@ -464,7 +464,7 @@ def settle(crowded: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
             sizes = np.array([len(r[-1]) for r in rows], np.int64)
-            a, b = verify_group(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.concatenate([r[-1] for r in rows]), sizes, KEEP_SHARE)
+            a, b = verify_group(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.concatenate([r[-1] for r in rows]), sizes, share)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         group, rows = None, []
