@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltworks.llm import decontam, jaccard, licenses, linededup, media, merkle, mixing, pii, quality, sharding, simhash, toxicity
+from siltworks.llm import decontam, jaccard, licenses, linededup, media, merkle, mixing, negatives, pii, quality, sharding, simhash, toxicity
 from siltworks.llm.common import table
 
 #: Target token shares of op9; values that aren't named share the rest.
@@ -61,7 +62,13 @@ def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_toxicity, op4_linededup, op5_simhash, op6_pii, op7_decontamination, op8_licenses, op9_mixing, op10_sharding, op11_merkle, op12_jaccard)}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", shifted), F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_media, op3_toxicity, op4_linededup, op5_simhash, op6_pii, op7_decontamination, op8_licenses, op9_mixing, op10_sharding, op11_merkle, op12_jaccard, op13_negatives)}
 
 _FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle.HASHED) + ")"
@@ -130,4 +137,19 @@ fold AS (
 ends AS (SELECT doc_id, leaf, arg_max(h, level) AS folded_root FROM fold GROUP BY doc_id, leaf)
 SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, coalesce(o.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.h AS verified
 FROM placed p JOIN subroots r USING (g) JOIN top t ON t.n = 1 JOIN ends e USING (doc_id, leaf) LEFT JOIN proofs o USING (doc_id, leaf)""",
+    "op13_negatives": """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM usable a, usable b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+negatives AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10""",
 }
