@@ -110,6 +110,8 @@ GOOGLE = (
     ("com.google.firebase.auth", "com.google.firebase", "firebase-auth", "22.3.0", 0.95),
     ("com.google.firebase", "com.google.firebase", "firebase-common", "20.4.2", 0.90),
 )
+#: The core library that comes with appcompat: group, artifact, version.
+MATERIAL = ("com.google.android.material", "material", "1.11.0")
 #: Groups that don't fit the platform, groups that do, and words that rule out the others.
 GROUP_BLACKLIST = (
     "org.eclipse", "org.eclipse.core", "org.eclipse.jface", "org.eclipse.ui", "org.eclipse.ecf", "org.eclipse.swt", "org.eclipse.equinox",

@@ -18,19 +18,34 @@ def is_kotlin() -> Column:
     return F.col("path").endswith(".kt")
 
 
-def packages(lines: DataFrame) -> DataFrame:
-    """(path, line_no, package) of package declarations; only Java's lose a semicolon."""
-    t = trimmed(F.col("line"))
+def package_name(line: Column) -> Column:
+    """The package that a line declares, else null; only Java's lose a semicolon."""
+    t = trimmed(line)
     name = F.substring(t, 9, 1 << 30)
-    return lines.filter(t.startswith("package ")).select("path", "line_no", trimmed(F.when(is_kotlin(), name).otherwise(F.regexp_replace(name, ";$", ""))).alias("package"))
+    return F.when(t.startswith("package "), trimmed(F.when(is_kotlin(), name).otherwise(F.regexp_replace(name, ";$", ""))))
 
 
-def imports(lines: DataFrame) -> DataFrame:
-    """(path, line_no, import) of import lines without a trailing `.*`: Java's without `static` and `;`, Kotlin's up to ` as `."""
-    t = trimmed(F.col("line"))
+def import_name(line: Column) -> Column:
+    """What a line imports, else null, without a trailing `.*`: Java's without `static` and `;`, Kotlin's up to ` as `."""
+    t = trimmed(line)
     name = F.substring(t, 8, 1 << 30)
     java, kotlin = trimmed(F.regexp_replace(F.regexp_replace(name, "^static ", ""), ";$", "")), trimmed(F.substring_index(name, " as ", 1))
-    return lines.filter(t.startswith("import ")).select("path", "line_no", F.regexp_replace(F.when(is_kotlin(), kotlin).otherwise(java), r"\.\*$", "").alias("import"))
+    return F.when(t.startswith("import "), F.regexp_replace(F.when(is_kotlin(), kotlin).otherwise(java), r"\.\*$", ""))
+
+
+def class_name(line: Column) -> Column:
+    """The first declaration of a line, else null: of a type in Java, of a class, object or interface in Kotlin."""
+    return F.nullif(F.when(is_kotlin(), F.regexp_extract(line, fixed.KOTLIN_CLASS, 2)).otherwise(F.regexp_extract(line, fixed.CLASS, 1)), F.lit(""))
+
+
+def packages(lines: DataFrame) -> DataFrame:
+    """(path, line_no, package) of package declarations."""
+    return lines.select("path", "line_no", package_name(F.col("line")).alias("package")).filter("package IS NOT NULL")
+
+
+def imports(lines: DataFrame) -> DataFrame:
+    """(path, line_no, import) of import lines."""
+    return lines.select("path", "line_no", import_name(F.col("line")).alias("import")).filter("import IS NOT NULL")
 
 
 def package_of(name: Column) -> Column:
@@ -39,9 +54,8 @@ def package_of(name: Column) -> Column:
 
 
 def classes(lines: DataFrame) -> DataFrame:
-    """(path, line_no, class): the first declaration of each line, of a type in Java, of a class, object or interface in Kotlin."""
-    name = F.when(is_kotlin(), F.regexp_extract("line", fixed.KOTLIN_CLASS, 2)).otherwise(F.regexp_extract("line", fixed.CLASS, 1))
-    return lines.select("path", "line_no", name.alias("class")).filter("class <> ''")
+    """(path, line_no, class): the first declaration of each line."""
+    return lines.select("path", "line_no", class_name(F.col("line")).alias("class")).filter("class IS NOT NULL")
 
 
 def methods(lines: DataFrame) -> DataFrame:

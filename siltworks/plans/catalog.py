@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed, resources
-from siltworks.operators import extract, organize, report, resolve, rewrite
+from siltworks.operators import extract, facts, organize, report, resolve, rewrite
 from siltworks.plans import corpus
 from siltworks.session import table
 from siltworks.sources.files import lines_of, zip_route
@@ -46,54 +46,73 @@ _AX = f"ax(ord, prefix, group_id, artifact_id, version) AS (VALUES {_values([(i,
 _IMPORTS = r"""imports AS (SELECT path, line_no, regexp_replace(CASE WHEN path LIKE '%.kt' THEN trim(split_part(trim(line)[8:], ' as ', 1))
  ELSE trim(regexp_replace(regexp_replace(trim(line)[8:], '^static ', ''), ';$', '')) END, '\.\*$', '') AS import FROM lines WHERE trim(line) LIKE 'import %')"""
 _PACKAGES = """packages AS (SELECT path, line_no, CASE WHEN path LIKE '%.kt' THEN trim(trim(line)[9:]) ELSE trim(regexp_replace(trim(line)[9:], ';$', '')) END AS package FROM lines WHERE trim(line) LIKE 'package %')"""
-_ALL_PACKAGES = r"all_packages AS (SELECT package FROM packages UNION SELECT regexp_extract(import, '^(.*)\.', 1) FROM imports WHERE contains(import, '.'))"
+_ALL_PACKAGES = r"""all_packages AS (SELECT package, min(struct_pack(path := path, line_no := line_no)) AS place FROM (
+ SELECT package, path, line_no FROM packages UNION ALL SELECT regexp_extract(import, '^(.*)\.', 1), path, line_no FROM imports WHERE contains(import, '.')) GROUP BY package)"""
 _CATEGORY = f"""CASE WHEN package LIKE 'android.%' OR package LIKE 'java.%' OR package LIKE 'javax.%' THEN 'platform' WHEN package LIKE 'androidx.%' THEN 'androidx'
  WHEN package LIKE 'com.google.android.gms%' OR package LIKE 'com.google.firebase%' THEN 'google'
  WHEN {' OR '.join(f"starts_with(package, '{p}')" for p in fixed.THIRD_PARTY)} THEN 'third_party' ELSE 'app' END"""
-_LIBRARY_HITS = """library_hits AS (SELECT * FROM (SELECT i.import, d.*, row_number() OVER (PARTITION BY i.import ORDER BY i.import <> d.prefix, d.ord) AS n
- FROM (SELECT DISTINCT import FROM imports) i JOIN dim d ON starts_with(i.import, d.prefix)) WHERE n = 1)"""
-_AX_HITS = f"""ax_hits AS (SELECT * FROM (SELECT p.package, d.*, row_number() OVER (PARTITION BY p.package ORDER BY d.ord) AS n
+_LIBRARY_HITS = """library_hits AS (SELECT * FROM (SELECT i.import, i.place, d.*, row_number() OVER (PARTITION BY i.import ORDER BY i.import <> d.prefix, d.ord) AS n
+ FROM (SELECT import, min(struct_pack(path := path, line_no := line_no)) AS place FROM imports GROUP BY import) i JOIN dim d ON starts_with(i.import, d.prefix)) WHERE n = 1)"""
+_AX_HITS = f"""ax_hits AS (SELECT * FROM (SELECT p.package, p.place, d.*, row_number() OVER (PARTITION BY p.package ORDER BY d.ord) AS n
  FROM all_packages p JOIN ax d ON starts_with(p.package, d.prefix) WHERE {_CATEGORY} = 'androidx') WHERE n = 1)"""
 _GOOGLE = f"google(ord, prefix, group_id, artifact_id, version, confidence) AS (VALUES {_values([(i, *r) for i, r in enumerate(fixed.GOOGLE)])})"
 _STAGED = f"""{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES}, {_DIM}, {_AX}, {_GOOGLE}, {_LIBRARY_HITS}, {_AX_HITS},
-google_hits AS (SELECT * FROM (SELECT p.package, d.*, row_number() OVER (PARTITION BY p.package ORDER BY d.ord) AS n FROM all_packages p JOIN google d ON starts_with(p.package, d.prefix) WHERE {_CATEGORY} = 'google') WHERE n = 1),
-third_hits AS (SELECT * FROM (SELECT p.package, d.*, row_number() OVER (PARTITION BY p.package ORDER BY p.package <> d.prefix, d.ord) AS n FROM all_packages p JOIN dim d ON starts_with(p.package, d.prefix) WHERE {_CATEGORY} = 'third_party') WHERE n = 1),
-staged AS (SELECT DISTINCT group_id || ':' || artifact_id AS coordinate, version, CAST(0.95 AS FLOAT) AS confidence, 0 AS stage FROM ax_hits
- UNION SELECT DISTINCT group_id || ':' || artifact_id, version, CAST(confidence AS FLOAT), 1 FROM google_hits
- UNION SELECT DISTINCT group_id || ':' || artifact_id, version, CAST(0.85 AS FLOAT), 2 FROM third_hits
- UNION SELECT DISTINCT group_id || ':' || artifact_id, version, CAST(0.85 AS FLOAT), 3 FROM library_hits)"""
+google_hits AS (SELECT * FROM (SELECT p.package, p.place, d.*, row_number() OVER (PARTITION BY p.package ORDER BY d.ord) AS n FROM all_packages p JOIN google d ON starts_with(p.package, d.prefix) WHERE {_CATEGORY} = 'google') WHERE n = 1),
+third_hits AS (SELECT * FROM (SELECT p.package, p.place, d.*, row_number() OVER (PARTITION BY p.package ORDER BY p.package <> d.prefix, d.ord) AS n FROM all_packages p JOIN dim d ON starts_with(p.package, d.prefix) WHERE {_CATEGORY} = 'third_party') WHERE n = 1),
+staged AS (SELECT group_id || ':' || artifact_id AS coordinate, version, CAST(0.95 AS FLOAT) AS confidence, 0 AS stage, place FROM ax_hits
+ UNION ALL SELECT group_id || ':' || artifact_id, version, CAST(confidence AS FLOAT), 1, place FROM google_hits
+ UNION ALL SELECT group_id || ':' || artifact_id, version, CAST(0.85 AS FLOAT), 2, place FROM third_hits
+ UNION ALL SELECT group_id || ':' || artifact_id, version, CAST(0.85 AS FLOAT), 3, place FROM library_hits)"""
 _UNKNOWN = f"""{_STAGED}, known AS (SELECT DISTINCT split_part(coordinate, ':', 1) AS known FROM staged UNION SELECT unnest({list(fixed.PLATFORM)})),
 unknown AS (SELECT regexp_extract(import, '([^.]*)$', 1) AS name, min(struct_pack(path := path, line_no := line_no)) AS place FROM imports i WHERE NOT EXISTS (SELECT 1 FROM known k WHERE starts_with(i.import, k.known)) GROUP BY 1),
-top AS (SELECT name FROM unknown ORDER BY place, name LIMIT 15)"""
+top AS (SELECT name, place FROM unknown ORDER BY place, name LIMIT 15)"""
 _FITS = f"""NOT ({' OR '.join(f"starts_with(group_id, '{g}')" for g in fixed.GROUP_BLACKLIST)}) AND ({' OR '.join(f"starts_with(group_id, '{g}')" for g in fixed.GROUP_WHITELIST)} OR NOT ({' OR '.join(f"contains(group_id, '{w}')" for w in fixed.GROUP_WORDS)}))"""
 _FOUND = f"""{_UNKNOWN}, lookup(name, ord, group_id, artifact_id, version) AS (VALUES {_values(list(corpus.LOOKUP))}),
-looked AS (SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY l.name ORDER BY l.ord) AS n FROM lookup l JOIN top USING (name) WHERE {_FITS}) WHERE n = 1)"""
+looked AS (SELECT * FROM (SELECT l.*, top.place, row_number() OVER (PARTITION BY l.name ORDER BY l.ord) AS n FROM lookup l JOIN top USING (name) WHERE {_FITS}) WHERE n = 1)"""
+_WRITTEN = """(SELECT coordinate, arg_max(version, (stage, place, version)) AS version, arg_max(confidence, (stage, place, version)) AS confidence,
+ min(stage) AS first_stage, arg_min(place, (stage, place)) AS place FROM {} GROUP BY coordinate)"""
+_KNOWN = f"{_STAGED}, known_rows AS {_WRITTEN.format('staged')}"
+_CORE = f"""SELECT '{':'.join(fixed.MATERIAL[:2])}' AS coordinate, '{fixed.MATERIAL[2]}' AS version
+ WHERE EXISTS (SELECT 1 FROM {{0}} WHERE coordinate LIKE '%appcompat%') AND NOT EXISTS (SELECT 1 FROM {{0}} WHERE coordinate = '{':'.join(fixed.MATERIAL[:2])}')
+ AND EXISTS (SELECT 1 FROM all_packages WHERE package LIKE 'androidx.%')"""
 _RESOLVED = f"""{_FOUND},
-every_stage AS (SELECT * FROM staged UNION ALL SELECT group_id || ':' || artifact_id, version, CAST(0.75 AS FLOAT), 4 FROM looked),
-resolved AS (SELECT coordinate, arg_max(version, (stage, version)) AS version, arg_max(confidence, (stage, version)) AS confidence, min(stage) AS first_stage FROM every_stage GROUP BY coordinate)"""
+every_stage AS (SELECT * FROM staged UNION ALL SELECT group_id || ':' || artifact_id, version, CAST(0.75 AS FLOAT), 4, place FROM looked),
+written AS {_WRITTEN.format("every_stage")},
+resolved AS (SELECT coordinate, version, confidence, first_stage, place.path AS path, place.line_no AS line_no FROM written
+ UNION ALL SELECT coordinate, version, CAST(0.9 AS FLOAT), 5, NULL, NULL FROM ({_CORE.format("written")}))"""
 
 
-def _all_packages(lines: DataFrame) -> DataFrame:
+def _summary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(imports, packages), distinct, with their first places: the corpus is read once for both."""
+    found = facts.summary(corpus.corpus(spark, sf_dir), ("package", "import"))
+    return facts.named(found, "import"), facts.named(found, "package")
+
+
+def _all_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared packages and those of imports."""
-    of_imports = extract.imports(lines).select(extract.package_of(F.col("import")).alias("package")).filter("package <> ''")
-    return extract.packages(lines).select("package").union(of_imports).distinct()
+    return facts.facts(corpus.corpus(spark, sf_dir), ("package", "import")).filter("kind = 'package'").select(F.col("name").alias("package")).distinct()
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    return resolve.resolve(spark, extract.imports(lines), _all_packages(lines), corpus.lookup(spark))
+    return resolve.resolve(spark, *_summary(spark, sf_dir), corpus.lookup(spark))
 
 
 def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(imports, dependencies found without a lookup)."""
-    lines = _lines(spark, sf_dir)
-    found = extract.imports(lines)
-    return found, resolve.upsert(resolve.known_stages(spark, found, _all_packages(lines)))
+    imports, packages = _summary(spark, sf_dir)
+    return imports, resolve.hits(spark, imports, packages)
 
 
 @query(_RESOLVED + " SELECT coordinate, version, confidence, first_stage FROM resolved")
 def dependency_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir).orderBy(F.desc("confidence"), "first_stage", "coordinate")
+    return resolve.in_order(_resolved(spark, sf_dir)).select("coordinate", "version", "confidence", "first_stage")
+
+
+@query(_RESOLVED + " SELECT coordinate, row_number() OVER (ORDER BY confidence DESC, first_stage, path, line_no, coordinate) AS position FROM resolved")
+def dependency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the report: a few hundred rows at most, however large the tree."""
+    place = Window.orderBy(F.desc("confidence"), "first_stage", "path", "line_no", "coordinate")
+    return _resolved(spark, sf_dir).select("coordinate", F.row_number().over(place).cast("long").alias("position"))
 
 
 @query(_RESOLVED + " SELECT count(*) AS n_libraries, count(*) FILTER (confidence >= CAST(0.8 AS FLOAT)) AS n_sure FROM resolved")
@@ -116,12 +135,11 @@ def build_dependency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).filter(F.col("confidence") >= F.lit(0.85).cast("float")).select("coordinate", "version")
 
 
-@query(_RESOLVED + """ SELECT coordinate, version FROM resolved UNION ALL SELECT 'com.google.android.material:material', '1.11.0'
- WHERE EXISTS (SELECT 1 FROM resolved WHERE coordinate LIKE '%appcompat%') AND NOT EXISTS (SELECT 1 FROM resolved WHERE coordinate = 'com.google.android.material:material')
- AND EXISTS (SELECT 1 FROM all_packages WHERE package LIKE 'androidx.%')""")
+@query(f"{_KNOWN} SELECT coordinate, version FROM known_rows UNION ALL {_CORE.format('known_rows')}")
 def conditional_put_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = _all_packages(_lines(spark, sf_dir))
-    return report.put_if_absent(_resolved(spark, sf_dir).select("coordinate", "version"), "appcompat", "com.google.android.material:material", "1.11.0", every)
+    imports, packages = _summary(spark, sf_dir)
+    known = resolve.last_written(resolve.hits(spark, imports, packages)).select("coordinate", "version")
+    return report.put_if_absent(known, "appcompat", ":".join(fixed.MATERIAL[:2]), fixed.MATERIAL[2], packages)
 
 
 @query(f"{_SRC}, {_IMPORTS} SELECT DISTINCT import FROM imports")
@@ -149,7 +167,7 @@ def method_name_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES} SELECT {_CATEGORY} AS category, count(*) AS n FROM all_packages GROUP BY 1")
 def package_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = _all_packages(_lines(spark, sf_dir))
+    every = _all_packages(spark, sf_dir)
     return every.groupBy(extract.category(F.col("package")).alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -160,7 +178,7 @@ def prefix_join_exact_then_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES}, {_AX}, {_AX_HITS} SELECT package, prefix, artifact_id FROM ax_hits")
 def prefix_join_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = _all_packages(_lines(spark, sf_dir)).filter(extract.category(F.col("package")) == "androidx")
+    every = _all_packages(spark, sf_dir).filter(extract.category(F.col("package")) == "androidx")
     return resolve.first_match(every, "package", resolve.dimension(spark, fixed.ANDROIDX)).select("package", "prefix", "artifact_id")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions import resources
-from siltworks.operators import extract, manifest, organize, resolve, rewrite, stubs
-from siltworks.sources.files import lines_of
+from siltworks.operators import extract, facts, manifest, organize, resolve, rewrite, stubs
+from siltworks.session import materialised
 
 
 def analyze(files: DataFrame, lookup: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -18,25 +18,24 @@ def analyze(files: DataFrame, lookup: DataFrame | None = None) -> dict[str, Data
 
     lookup: what searches for unknown class names find, as resolve.look_up() takes it.
     """
-    spark, lines = files.sparkSession, lines_of(files)
-    imports, declared = extract.imports(lines), extract.packages(lines).select("package")
-    packages = declared.union(imports.filter(F.col("import").contains(".")).select(extract.package_of(F.col("import")))).distinct()
-    found = resolve.resolve(spark, imports, packages, lookup)
-    counts = extract.class_counts(files)
+    spark, names = files.sparkSession, facts.summary(files)  # the only pass over the files
+    packages = facts.named(names, "package")
+    found = materialised(resolve.resolve(spark, facts.named(names, "import"), packages, lookup))
+    counts = facts.class_counts(names)
     return {
-        "dependencies": found.orderBy(F.desc("confidence"), "first_stage", "coordinate"),
+        "dependencies": resolve.in_order(found),
         "tiers": found.groupBy(resolve.tier(F.col("confidence")).alias("tier")).agg(F.count("*").alias("n")),
         "statistics": resolve.statistics(found),
         "report": dependency_report(found),
         "obfuscation": counts.withColumn("level", extract.obfuscation_level(F.col("n_obfuscated"), F.col("n_classes"))),
         "categories": packages.groupBy(extract.category(F.col("package")).alias("category")).agg(F.count("*").alias("n")),
-        "languages": extract.languages(files),
+        "languages": facts.languages(names),
     }
 
 
 def dependency_report(found: DataFrame) -> DataFrame:
     """(text): a build script's dependencies of the high tier, then those of the medium one, which ask to be verified."""
-    row = F.struct((-F.col("confidence")).alias("c"), "first_stage", "coordinate", "version")
+    row = F.struct((-F.col("confidence")).alias("c"), "first_stage", "path", "line_no", "coordinate", "version")
     line = lambda x: F.concat(F.lit("    implementation '"), x["coordinate"], F.lit(":"), x["version"], F.lit("'"))
     of = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(resolve.tier(F.col("confidence")) == name, row))), line), "\n")
     both = found.agg(of("high").alias("high"), of("medium").alias("medium"))

@@ -12,7 +12,7 @@ from siltworks.functions import fixed, resources
 from siltworks.operators import extract, manifest, organize, report, resolve, stubs, usage
 from siltworks.plans import corpus
 from siltworks.plans.catalog import _ALL_PACKAGES, _ENTRIES, _IMPORTS, _LIBRARY, _MARKED, _PACKAGES, _PATHS, _RESOLVED, _SRC, _TYPES, _all_packages, _below, _entries, _lines, _paths, _resolved, query
-from siltworks.session import table
+from siltworks.session import materialised, table
 from siltworks.sources import files
 
 _FIRST = r"""code AS (SELECT path, arg_min(trim(line), line_no) AS t FROM lines WHERE trim(line) <> '' AND NOT regexp_matches(trim(line), '^(//|/\*|\*)') GROUP BY path),
@@ -48,7 +48,7 @@ def without_generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SRC}, {_IMPORTS}, {_PACKAGES}, {_ALL_PACKAGES} SELECT DISTINCT array_to_string(string_split(package, '.')[1:CASE WHEN string_split(package, '.')[1] IN ('androidx', 'org', 'io') THEN 2 ELSE 3 END], '.') AS prefix FROM all_packages")
 def package_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_packages(_lines(spark, sf_dir)).select(extract.package_prefix(F.col("package")).alias("prefix")).distinct()
+    return _all_packages(spark, sf_dir).select(extract.package_prefix(F.col("package")).alias("prefix")).distinct()
 
 
 _REFS = rf"""found AS (SELECT path, unnest(regexp_extract_all(content, '{fixed.SDK_IMPORT}', 1)) AS full_name, 0 AS kind FROM corpus
@@ -143,16 +143,17 @@ def source_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_RESOLVED}, flags AS (SELECT {_FLAGS}, (SELECT bool_or(path LIKE '%.kt') FROM corpus) AS kotlin FROM resolved),
-one AS (SELECT string_agg('    implementation ''' || coordinate || ':' || version || '''' || CASE WHEN confidence < CAST(0.9 AS FLOAT) THEN ' // Confidence: ' || CAST(round(confidence * 100) AS INTEGER) || '%' ELSE '' END, chr(10) ORDER BY confidence DESC, first_stage, coordinate) AS found
+one AS (SELECT string_agg('    implementation ''' || coordinate || ':' || version || '''' || CASE WHEN confidence < CAST(0.9 AS FLOAT) THEN ' // Confidence: ' || CAST(round(confidence * 100) AS INTEGER) || '%' ELSE '' END, chr(10) ORDER BY confidence DESC, first_stage, path, line_no, coordinate) AS found
  FROM resolved WHERE confidence >= CAST(0.85 AS FLOAT))
 SELECT 'plugins ' || chr(123) || chr(10) || '    id ''com.android.application'' version ''8.2.0''' || chr(10) || {' || '.join(f"CASE WHEN {f} THEN '    id ''{p}'' version ''{v}''' || chr(10) ELSE '' END" for f, p, v in manifest.PLUGINS)} || chr(125) || chr(10) AS plugins,
  'dependencies ' || chr(123) || chr(10) || '    // Core Android libraries' || chr(10) || CASE WHEN kotlin THEN '    implementation ''{fixed.CORE_KOTLIN}''' ELSE '    implementation ''{fixed.CORE_JAVA}''' END || chr(10)
  || {' || '.join(f"'    implementation ''{c}''' || chr(10)" for c in fixed.CORE)} || chr(10) || '    // Detected third-party libraries' || chr(10) || found || chr(10) || chr(125) || chr(10) AS dependencies FROM flags, one""")
 def build_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _resolved(spark, sf_dir).filter(F.col("confidence") >= F.lit(0.85).cast("float"))
-    order = F.struct((-F.col("confidence")).alias("c"), "first_stage", "coordinate", "version", "confidence")
+    resolved = materialised(_resolved(spark, sf_dir))
+    found = resolved.filter(F.col("confidence") >= F.lit(0.85).cast("float"))
+    order = F.struct((-F.col("confidence")).alias("c"), "first_stage", "path", "line_no", "coordinate", "version", "confidence")
     # One row each: flags of dependencies, flags of sources, the list of a build's dependencies.
-    flags = manifest.dependency_flags(_resolved(spark, sf_dir)).crossJoin(manifest.source_flags(corpus.corpus(spark, sf_dir)).select("kotlin")).select(F.struct("*").alias("flags"))
+    flags = manifest.dependency_flags(resolved).crossJoin(manifest.source_flags(corpus.corpus(spark, sf_dir)).select("kotlin")).select(F.struct("*").alias("flags"))
     rows = flags.crossJoin(found.agg(F.array_sort(F.collect_list(order)).alias("detected")))
     return rows.select(manifest.plugin_lines(F.col("flags")).alias("plugins"), manifest.dependency_lines(manifest.core_dependencies(F.col("flags.kotlin")), F.col("detected")).alias("dependencies"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,20 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be any URI that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset on one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltworks-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that what reads it doesn't run its plan again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
