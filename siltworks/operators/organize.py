@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed
 from siltworks.operators.extract import first_package, library_package, under_prefixes
 from siltworks.operators.report import error_marker
+from siltworks.sources import stores
+from siltworks.sources.files import zip_route
 
 
 def file_name() -> Column:
@@ -63,26 +66,43 @@ def missing_twins(paths: DataFrame, name: str = "ic_launcher", twin: str = "ic_l
     return split.groupBy("folder").agg(F.bool_or(F.col("base") == name).alias("one"), F.bool_or(F.col("base") == twin).alias("two")).filter("one AND NOT two").select("folder")
 
 
-def write_files(files: DataFrame, root: str) -> None:
-    """(path, content) as text files below root, in the folders that the paths name, a file a row.
+def write_files(files: DataFrame, root: str, mode: str = "append") -> None:
+    """(path, content text or binary[, piece]) as files below root, in the folders that the paths name.
 
-    Each row is written by the task that holds it, to a name of its own, so a task that runs again writes the same
-    files. root is a folder that all executors share; paths that would leave it are refused before anything is written.
+    The job's commit puts them there: until then, and if it fails, root is as it was. Pieces of one file follow each
+    other in a partition, as the archive source gives them. Paths that would leave root are refused.
     """
-    import os
+    stores.register(files.sparkSession)
+    columns = [c for c in ("path", "content", "piece") if c in files.columns]
+    try:
+        files.select(*columns).write.format("files").mode(mode).save(root)
+    except PySparkException as e:
+        if "paths must stay below the root" in str(e):
+            raise ValueError("paths must stay below the root") from e
+        raise
 
-    if files.filter(F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")).limit(1).count():
-        raise ValueError("paths must stay below the root")
 
-    def write(rows) -> None:
-        for r in rows:
-            target = os.path.join(root, r.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.{os.getpid()}.part", "w", encoding="utf-8", newline="") as f:
-                f.write(r.content or "")
-            os.replace(f.name, target)
+def extracted(entries: DataFrame) -> DataFrame:
+    """(path, content, piece) of an archive source's entries, where they go: dex, native/<abi>, assets, or below their own names.
 
-    files.select("path", "content").foreachPartition(write)
+    Entries of no use are left out; of entries that share a path the last of the archive stays. Rows keep their order.
+    """
+    name = F.col("entry_name")
+    route = zip_route(name)
+    parts = F.split(name, "/")
+    path = (
+        F.when(route == "dex", F.concat(F.lit("dex/"), name)).when(route == "native", F.concat(F.lit("native/"), parts[1], F.lit("/"), F.element_at(parts, -1)))
+        .when(route == "assets", name).when(route == "resources", name)
+    )
+    files = entries.filter("NOT is_dir").withColumn("path", path).filter("path IS NOT NULL")
+    return files.select("archive", "entry_no", "path", "content", "piece")
+
+
+def last_of_each(files: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of extracted() that no later entry of the archive replaces; names: the same without contents."""
+    last = names.groupBy("archive", "path").agg(F.max("entry_no").alias("last"), F.min("entry_no").alias("first")).filter("first < last").select("archive", "path", "last")
+    met = files.join(F.broadcast(last), ["archive", "path"], "left")  # entries whose path another one has
+    return met.filter("last IS NULL OR entry_no = last").drop("last")
 
 
 def write_by_abi(libraries: DataFrame, root: str) -> None:
