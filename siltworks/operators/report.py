@@ -60,11 +60,15 @@ def log_errors(log: DataFrame) -> DataFrame:
     return log.filter(log_kind(F.col("line")) == "error").select("line_no", log_class(F.col("line")).alias("class"), F.col("line").alias("message"))
 
 
+def reported_classes(line: Column) -> Column:
+    """The number of classes that a log line reports, else null."""
+    return F.when(log_kind(line) == "classes", F.regexp_extract(line, r"(\d+)\s+classes", 1).try_cast("int"))
+
+
 def log_counters(log: DataFrame) -> DataFrame:
     """Counters of a decompiler's log: errors, failed (errors and skipped methods), and classes, the last number reported."""
     line = F.col("line")
-    kind, number = log_kind(line), F.regexp_extract(line, r"(\d+)\s+classes", 1).try_cast("int")
-    classes = F.when(kind == "classes", number)
+    kind, classes = log_kind(line), reported_classes(line)
     return log.agg(
         F.count_if(kind == "error").alias("errors"),
         F.count_if(kind.isin("error", "skipped")).alias("failed"),
@@ -73,9 +77,13 @@ def log_counters(log: DataFrame) -> DataFrame:
 
 
 def outcome(counters: DataFrame, successful: int) -> DataFrame:
-    """counters with the outcome of a run that decompiled so many classes, and the methods that these hold by estimate."""
+    """counters with the outcome of a run that decompiled so many classes, and the methods that these hold by estimate.
+
+    Where no number of classes was reported, there were the successful and the failed ones.
+    """
     state = F.when(F.lit(successful) == 0, "failure").when(F.col("errors") == 0, "success").otherwise("partial")
-    return counters.withColumns({"outcome": state, "total_classes": F.greatest(F.coalesce("classes", F.lit(0)), F.lit(successful)), "total_methods": F.lit(successful * 10)})
+    told = F.when(F.coalesce("classes", F.lit(0)) == 0, F.lit(successful) + F.col("failed")).otherwise(F.col("classes"))
+    return counters.withColumns({"outcome": state, "total_classes": F.greatest(told, F.lit(successful)), "total_methods": F.lit(successful * 10)})
 
 
 def advice(output: Column) -> Column:
