@@ -32,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import ASCII_LOWER, checkpointed, few, release_shuffles, respread, small_batches, text_or_empty
+from siltworks.llm.common import checkpointed, few, release_shuffles, respread, small_batches, text_or_empty
 from siltworks.llm.components import stars
 from siltworks.llm.simhash import across, members, settle, similar
 
@@ -43,6 +44,8 @@ from siltworks.llm.simhash import across, members, settle, similar
 SIZE, PERCENT = 5, 80
 #: Cells of the array of counts (a byte each in a task, half of one when broadcast: 32 MB) and of a segment of it.
 CELL_BITS, SEGMENT_BITS = 26, 16
+#: Parts in which the array comes to the driver.
+PARTS = 8
 #: Nodes of a prefix shingle of which all pairs are candidates.
 SMALL = 32
 #: Upper ends of the classes of counts; a count over the last is in class 15.
@@ -51,32 +54,85 @@ _SEEDS = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint6
 _h64 = functools.partial(xxhash.xxh64_intdigest, seed=7)
 
 
-class Words(dict):
-    """Hashes of words, kept as far as WORDS of them."""
+_POWER = 0x9E3779B97F4A7C15
+_LETTER = np.random.default_rng(6).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTER[65:91] = _LETTER[97:123]  # A-Z as a-z
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+_LETTER[~_IN_WORD] = 0
+#: Bytes that are hashed at a time.
+PIECE = 1 << 18
 
-    WORDS = 1 << 17
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.WORDS:
-            self.clear()
-        h = self[word] = _h64(word)
-        return h
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_POWER, pow(_POWER, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
-def shingle_set(text: str | None, size: int, words: Words) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, in ascending order."""
-    split = (text or "").encode().translate(ASCII_LOWER).split()
-    if not split:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
-    wide = min(size, len(split))
-    at = len(split) - wide + 1
+def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of the first word of each text and of the end) of texts that lie one after the other.
+
+    data: the bytes; edges: where each text starts, and the end. A word's hash is the sum of its letters' numbers times
+    powers of their places, so all words are done by a few passes over the bytes.
+    """
+    inside = _IN_WORD[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = edges[:-1][edges[:-1] < len(data)]
+    begins[heads] = inside[heads]
+    starts = np.flatnonzero(begins)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE)))
+        s, e = starts[at], starts[to] if to < len(starts) else len(data)
+        forth, back = _powers(1 << max(18, int(e - s - 1).bit_length()))
+        part = _LETTER[data[s:e]] * forth[: e - s]
+        local = starts[at:to] - s
+        out[at:to] = np.add.reduceat(part, local) * back[local]
+        at = to
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xBF58476D1CE4E5B9), np.searchsorted(starts, edges)
+
+
+def combined(h: np.ndarray, wide: int) -> np.ndarray:
+    """A hash of each `wide` consecutive words."""
+    at = len(h) - wide + 1
     x = np.full(at, wide, np.uint64) * _SEEDS[-1]
     for i in range(wide):
         x += h[i : i + at] * _SEEDS[i]
         x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(x ^ (x >> np.uint64(31)))
+    return x ^ (x >> np.uint64(31))
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order."""
+    x = np.sort(h)
+    kept = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=kept[1:])
+    return x[kept]
+
+
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """For each text the hashes of its distinct shingles, in ascending order."""
+    texts = texts.cast(pa.string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    body = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+    h, first = word_hashes(body, edges - edges[0])
+    every = combined(h, size) if len(h) >= size else h[:0]
+    for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if e - s >= size:
+            yield distinct(every[s : e - size + 1])
+        else:
+            yield combined(h[s:e], e - s) if e > s else h[:0]
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -93,15 +149,16 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def rarity(texts: DataFrame, size: int) -> np.ndarray:
-    """The class of each cell's count of shingles over all texts (a column), two classes in a byte, the first the higher."""
+def rarity(texts: DataFrame, size: int) -> bytes:
+    """The class of each cell's count of texts (a column) that have a shingle in it, two classes in a byte, the first the higher."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = np.zeros(1 << CELL_BITS, np.uint8), Words()
+        held = np.zeros(1 << CELL_BITS, np.uint8)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                cells, n = np.unique(_cells(shingle_set(text, size, words)), return_counts=True)
-                held[cells] = np.minimum(held[cells] + np.minimum(n, 255), 255)  # numpy adds in 64 bits here
+            for x in shingle_sets(batch.column(0), size):
+                cells = _cells(x)
+                now = held[cells]
+                held[cells] = now + (now < 255)
         for s in range(1 << (CELL_BITS - SEGMENT_BITS)):
             part = held[s << SEGMENT_BITS : (s + 1) << SEGMENT_BITS]
             used = np.flatnonzero(part)
@@ -126,11 +183,11 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
 
     pieces = texts.mapInArrow(count, "segment int, cells binary, counts binary")
     out = np.zeros(1 << (CELL_BITS - 1), np.uint8)
-    merged = pieces.repartition("segment").sortWithinPartitions("segment").mapInArrow(add, "segment int, classes binary")
-    for s, classes in merged.collect():  # of fixed size
+    merged = pieces.repartition(PARTS, "segment").sortWithinPartitions("segment").mapInArrow(add, "segment int, classes binary")
+    for s, classes in merged.toLocalIterator(prefetchPartitions=True):  # of fixed size, and a part at a time
         at = s << (SEGMENT_BITS - 1)
         out[at : at + len(classes)] = np.frombuffer(classes, np.uint8)
-    return out
+    return out.tobytes()
 
 
 def classes_of(shingles: np.ndarray, packed: np.ndarray) -> np.ndarray:
@@ -144,9 +201,8 @@ def numbered_sets(docs: DataFrame, size: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            made = [(set_id(s) if len(s) else None, len(s)) for s in (shingle_set(t, size, words) for t in batch.column(1).to_pylist())]
+            made = [(set_id(x) if len(x) else None, len(x)) for x in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for m, _ in made], pa.int64()), pa.array([n for _, n in made], pa.int64())], names=["doc_id", "node", "n"])
 
     part = docs.select("doc_id", "text")
@@ -160,21 +216,19 @@ def ranges(suffixes: np.ndarray) -> np.ndarray:
     return np.stack([(x[:, :4] << shift).sum(axis=1, dtype=np.uint64), (x[:, 4:] << shift).sum(axis=1, dtype=np.uint64)], axis=1).view(np.int64)
 
 
-def prefixes(texts: DataFrame, size: int, percent: int, packed: np.ndarray) -> DataFrame:
+def prefixes(texts: DataFrame, size: int, percent: int, shipped: Broadcast) -> DataFrame:
     """(shingle, node, n, pos, s0, s1): the prefix of each distinct set, once a task; s0, s1: the counts of what follows pos by ranges of hashes."""
-    shipped = texts.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done = Words(), set()
+        done, packed = set(), np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
             out: list[list[np.ndarray]] = []
-            for text in batch.column(0).to_pylist():
-                x = shingle_set(text, size, words)
+            for x in shingle_sets(batch.column(0), size):
                 if not len(x) or (node := set_id(x)) in done:
                     continue
                 done.add(node)
-                kinds = classes_of(x, shipped.value)
-                order = np.lexsort((x, kinds))
+                kinds = classes_of(x, packed)
+                order = np.argsort(kinds.astype(np.uint64) << np.uint64(60) | x >> np.uint64(4), kind="stable")
                 n, most = len(x), len(x) - shared_at_least(len(x), percent) + 1
                 sent = np.flatnonzero(kinds[order[:most]] > 1)
                 if not len(sent):
@@ -221,9 +275,8 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, rep
     texts = docs.select("doc_id", "text").join(few(of), F.col("doc_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            made = [(node, shingle_set(text, size, words)) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            made = list(zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True))
             made = [(node, x.view(np.int64)) for node, x in made if set_id(x) == node]  # rows of one doc_id may have other texts
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["node", "shingles"])
 
@@ -251,8 +304,10 @@ def connect(docs: DataFrame, nodes: DataFrame, size: int, percent: int, repeated
     """(a, b) of all nodes that link, as stars() gives them."""
     spark, share = docs.sparkSession, percent / 100 - 1e-12  # shares of sets differ by more, and equality is enough
     texts = docs.select(text_or_empty().alias("text"))
-    sent = prefixes(texts, size, percent, rarity(texts, size))
-    pairs, crowded = candidates(checkpointed(sent.dropDuplicates(["shingle", "node"])), percent)
+    shipped = spark.sparkContext.broadcast(rarity(texts, size))
+    sent = checkpointed(prefixes(texts, size, percent, shipped).dropDuplicates(["shingle", "node"]))
+    shipped.destroy()
+    pairs, crowded = candidates(sent, percent)
     release_shuffles(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
     sets = sets_of(ends, nodes, docs, size, repeated)
