@@ -94,10 +94,66 @@ def advice(output: Column) -> Column:
     return found.otherwise(F.array(*map(F.lit, fixed.SYNC_DEFAULTS)))
 
 
-def verification(need: DataFrame, there: DataFrame) -> DataFrame:
-    """Total, passed and buildable (all but one passed at least) of the needed names."""
-    found = need.join(there.distinct().withColumn("ok", F.lit(True)), "name", "left")
-    return found.agg(F.count("*").alias("total"), F.count_if(F.coalesce("ok", F.lit(False))).alias("passed")).withColumn("buildable", F.col("passed") >= F.col("total") - 1)
+def _text_lines(text: Column) -> Column:
+    return F.split(text, "\r\n|\n|\r")
+
+
+def _first_lines(text: Column, pattern: str, n: int) -> Column:
+    return F.array_join(F.slice(F.filter(_text_lines(text), lambda x: x.rlike(pattern)), 1, n), "\n")
+
+
+def output_errors(output: Column) -> Column:
+    """The distinct errors of a compiler's output, as compile_errors() has them, in their order."""
+    pattern = r"(.+\.java):(\d+): error: (.+)"
+    part = lambda x, i: F.regexp_extract(x, pattern, i)
+    met = F.filter(_text_lines(output), lambda x: x.rlike(pattern))
+    return F.array_distinct(F.transform(met, lambda x: F.concat(F.substring_index(part(x, 1), "/", -1), F.lit(":"), part(x, 2), F.lit(" - "), part(x, 3))))
+
+
+def project_checks(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """(project, ord, step, passed, message, details, suggestions): the five checks of every project.
+
+    files: (project, path). runs: (project, step, ok, stdout, stderr), what the tools said of the steps `sync`,
+    `dependencies` and `compile`; a step without a run has failed and said nothing. One shuffle by project does all.
+    """
+    there = lambda p: F.coalesce(F.bool_or((F.col("path") == p) | F.col("path").startswith(f"{p}/")), F.lit(False))
+    said = lambda step: F.max(F.when(F.col("step") == step, F.struct("ok", "stdout", "stderr"))).alias(step)
+    rows = files.select("project", "path").unionByName(runs.select("project", "step", "ok", "stdout", "stderr"), allowMissingColumns=True)
+    flags = rows.groupBy("project").agg(*[there(p).alias(f"f{i}") for i, p in enumerate((*fixed.PROJECT_FILES, *fixed.WRAPPER_FILES))], *map(said, ("sync", "dependencies", "compile")))
+    n = len(fixed.PROJECT_FILES)
+    missing = F.concat_ws(", ", *[F.when(~F.col(f"f{i}"), p) for i, p in enumerate(fixed.PROJECT_FILES)])
+    out = lambda step, name: F.coalesce(F.col(f"{step}.{name}"), F.lit(""))
+    ok = lambda step: F.coalesce(F.col(f"{step}.ok"), F.lit(False))
+    words = lambda *texts: F.array(*map(F.lit, texts)).cast("array<string>")
+    sync_error = _first_lines(out("sync", "stderr"), "(?i)error|failed", fixed.SHOWN["sync_errors"])
+    unresolved = out("dependencies", "stdout").rlike(fixed.UNRESOLVED)
+    errors = output_errors(F.concat(out("compile", "stderr"), out("compile", "stdout")))
+
+    def check(k: int, passed: Column, message: Column, details: Column | None, suggestions: Column) -> Column:
+        name, good = fixed.CHECKS[k]
+        return F.struct(
+            F.lit(k).alias("ord"), F.lit(name).alias("step"), passed.alias("passed"), F.when(passed, good).otherwise(message).alias("message"),
+            (F.lit(None).cast("string") if details is None else F.when(~passed, details)).alias("details"), F.when(passed, words()).otherwise(suggestions).alias("suggestions"),
+        )
+
+    checks = F.array(
+        check(0, missing == "", F.concat(F.lit("Missing files: "), missing), None, words(*fixed.STRUCTURE_ADVICE)),
+        check(1, F.col(f"f{n}") & F.col(f"f{n + 1}"), F.lit("Gradle wrapper not found"), None, words(*fixed.WRAPPER_ADVICE)),
+        check(2, ok("sync"), F.lit("Gradle sync failed"), F.when(sync_error != "", sync_error).otherwise(shown_output(out("sync", "stderr"))), advice(out("sync", "stderr"))),
+        check(
+            3, ok("dependencies") & ~unresolved, F.when(ok("dependencies"), "Some dependencies could not be resolved").otherwise("Failed to check dependencies"),
+            F.when(ok("dependencies"), _first_lines(out("dependencies", "stdout"), "FAILED|Could not", fixed.SHOWN["unresolved"])).otherwise(shown_output(out("dependencies", "stderr"))),
+            F.when(ok("dependencies"), words(*fixed.UNRESOLVED_ADVICE)).otherwise(words()),
+        ),
+        check(4, ok("compile"), F.concat(F.lit("Compilation errors found: "), F.size(errors).cast("string"), F.lit(" errors")), F.array_join(F.slice(errors, 1, fixed.SHOWN["compile_errors"]), "\n"), words(*fixed.COMPILE_ADVICE)),
+    )
+    return flags.select("project", F.explode(checks).alias("c")).select("project", "c.*")
+
+
+def check_summary(checks: DataFrame) -> DataFrame:
+    """(project, total, passed, buildable): buildable with one failed check at most."""
+    counted = checks.groupBy("project").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"))
+    return counted.withColumn("buildable", F.col("passed") >= F.col("total") - 1)
 
 
 def shown(rows: DataFrame, kind: str, *order: str | Column, every: bool = False) -> DataFrame:

@@ -435,11 +435,3 @@ def manifest_components_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.expr("CASE WHEN c_custkey % 4 < 2 THEN concat('com.acme.A', c_custkey % 40) WHEN c_custkey % 4 = 2 THEN 'https://x.y' ELSE 'plain' END")
     xml = F.concat(F.lit('<activity name="'), name, F.lit('" exported="'), (F.col("c_custkey") % 2 == 0).cast("string"), F.lit('"/>'))
     return resources.components(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), xml.alias("xml")))
-
-
-@query(f"""WITH {_ENTRIES}, need(name) AS (VALUES ('classes.dex'), ('AndroidManifest.xml'), ('lib/x.so'), ('settings.gradle'), ('build.gradle')),
-v AS (SELECT name, EXISTS (SELECT 1 FROM entries WHERE entry = name) AS passed FROM need)
-SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (passed) >= count(*) - 1 AS buildable FROM v""")
-def verification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = spark.sql("SELECT * FROM VALUES ('classes.dex'), ('AndroidManifest.xml'), ('lib/x.so'), ('settings.gradle'), ('build.gradle') AS t(name)")
-    return report.verification(need, _entries(spark, sf_dir).select(F.col("entry").alias("name")))

@@ -25,12 +25,12 @@ def follow(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(log_kind(F.col("value")).alias("kind")).filter("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of (log, line_no, line) of files <log>.<number> that arrive in a folder, each the next piece of its log.
+def pieces(spark: SparkSession, folder: str, a_batch: int = 1000) -> DataFrame:
+    """A stream of (log, line_no, line) of files <log>.<number> that arrive in a folder, each a piece of its log; a_batch files at a time.
 
     line_no grows over the pieces of a log, whatever the order in which they arrive.
     """
-    texts = spark.readStream.schema("value string").text(folder, wholetext=True)
+    texts = spark.readStream.schema("value string").option("maxFilesPerTrigger", a_batch).text(folder, wholetext=True)
     name = F.substring_index("_metadata.file_path", "/", -1)
     whole = texts.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("log"), F.substring_index(name, ".", -1).cast("long").alias("piece"), F.posexplode(F.split(F.regexp_replace("value", r"(\r\n|\n|\r)\z", ""), "\r\n|\n|\r")).alias("at", "line"))
     return whole.select("log", (F.col("piece") * F.lit(1 << 32) + F.col("at")).alias("line_no"), "line")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltworks.operators import extract, report, resolve, rewrite
-from siltworks.plans import catalog, rewrite_queries, store_queries, tree_queries  # noqa: F401
+from siltworks.plans import catalog, project_queries, rewrite_queries, store_queries, tree_queries  # noqa: F401
 from siltworks.sources import files
 
 SF = "/root/testdata/sf0.001"
