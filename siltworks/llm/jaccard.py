@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from siltworks.llm.common import checkpointed, few, release_shuffles, respread, small_batches, text_or_empty
 from siltworks.llm.components import stars
-from siltworks.llm.simhash import across, members, settle, similar
+from siltworks.llm.simhash import members, settle, similar
 
 #: Words in a shingle and least similarity in hundredths.
 SIZE, PERCENT = 5, 80
@@ -312,12 +312,13 @@ def connect(docs: DataFrame, nodes: DataFrame, size: int, percent: int, repeated
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
     sets = sets_of(ends, nodes, docs, size, repeated)
     release_shuffles(spark)
-    first = checkpointed(pairs.groupBy("a").agg(F.min("b").alias("b")))
-    roots = stars(similar(first, sets, share))
-    rest = across(pairs.join(first, ["a", "b"], "left_anti"), roots)
-    roots = stars(roots.unionByName(similar(checkpointed(rest), sets, share)))
-    release_shuffles(spark)
-    return stars(roots.unionByName(checkpointed(settle(crowded, sets, roots, share))))
+    roots = stars(similar(pairs, sets, share))
+    if crowded.limit(1).count():
+        release_shuffles(spark)
+        settled = checkpointed(settle(crowded, sets, roots, share))
+        if settled.limit(1).count():
+            return stars(roots.unionByName(settled))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
