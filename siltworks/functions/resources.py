@@ -38,12 +38,13 @@ def resource_rows(paths: DataFrame) -> DataFrame:
     return paths.withColumns({"type": resource_type(folder), "qualifiers": qualifiers(folder)})
 
 
-def cleaned_xml(files: DataFrame) -> DataFrame:
-    """(path, content, kept): resource files by their bytes, cleaned as text.
+def cleaned_xml(files: DataFrame, data: bool = False) -> DataFrame:
+    """(path, content, kept[, data]): resource files by their bytes, cleaned as text.
 
     values/public.xml goes; names are sanitised and, of files that then share one, the first by its old name stays;
     of .xml files a byte order mark, what precedes the document, control characters and a second declaration go, and
     those that are binary or no XML at all are not kept. Contents are null where a file isn't an .xml.
+    data: the bytes to write too, those of the cleaned text or of a file that isn't an .xml.
     """
     folder, name = F.regexp_extract("path", "^(.*/)?[^/]*$", 1), F.substring_index("path", "/", -1)
     named = files.filter(~F.col("path").rlike("(^|/)values/public\\.xml$")).withColumn("_to", F.concat(folder, sanitized(name)))
@@ -61,7 +62,9 @@ def cleaned_xml(files: DataFrame) -> DataFrame:
     once = F.when(F.regexp_count(plain, F.lit(r"<\?xml")) > 1, F.regexp_replace(plain, r"(?s)^(.*?)<\?xml[^?]*\?>\s*<\?xml", "$1<?xml")).otherwise(plain)
     xml = F.col("_to").endswith(".xml")
     out = named.withColumn("_cut", F.when(xml, cut))
-    return out.select(F.col("_to").alias("path"), F.when(xml & F.coalesce(ok, F.lit(False)), once).alias("content"), F.when(xml, F.coalesce(ok, F.lit(False))).otherwise(True).alias("kept"))
+    cleaned = F.when(xml & F.coalesce(ok, F.lit(False)), once)
+    made = [F.when(xml, cleaned.cast("binary")).otherwise(F.col("content")).alias("data")] if data else []
+    return out.select(F.col("_to").alias("path"), cleaned.alias("content"), F.when(xml, F.coalesce(ok, F.lit(False))).otherwise(True).alias("kept"), *made)
 
 
 def dex_ordinal(name: Column) -> Column:

@@ -162,15 +162,57 @@ def plugin_lines(flags: Column, agp: str = "8.2.0") -> Column:
     return _lines("plugins {", line("com.android.application", agp), *[F.when(flags[f], line(p, v)) for f, p, v in PLUGINS], "}")
 
 
-def dependency_lines(core: Column, detected: Column) -> Column:
-    """The dependencies of a build script: core ones, then detected (coordinate, version, confidence) in their order.
+def dependency_lines(core: Column, detected: Column, *more: Column | str) -> Column:
+    """The dependencies of a build script: core ones, then detected (coordinate, version, confidence) in their order, then more lines.
 
     Those of a confidence below 0.9 say so.
     """
     percent = lambda c: F.round(c * 100, 0).cast("int").cast("string")
     one = lambda d: F.concat(F.lit("    implementation '"), d["coordinate"], F.lit(":"), d["version"], F.lit("'"), F.when(d["confidence"] < F.lit(0.9).cast("float"), F.concat(F.lit(" // Confidence: "), percent(d["confidence"]), F.lit("%"))).otherwise(""))
     found = F.when(F.size(detected) > 0, F.concat(F.lit("    // Detected third-party libraries\n"), F.array_join(F.transform(detected, one), "\n")))
-    return _lines("dependencies {", "    // Core Android libraries", F.array_join(F.transform(core, lambda d: F.concat(F.lit("    implementation '"), d, F.lit("'"))), "\n"), "", found, "}")
+    return _lines("dependencies {", "    // Core Android libraries", F.array_join(F.transform(core, lambda d: F.concat(F.lit("    implementation '"), d, F.lit("'"))), "\n"), "", found, *more, "}")
+
+
+#: Blocks of a build script that are the same in all, and the lines of the last dependencies. Fixed values.
+DEFAULTS_END = ("", '        testInstrumentationRunner "androidx.test.runner.AndroidJUnitRunner"', "        vectorDrawables {", "            useSupportLibrary true", "        }")
+BUILD_TYPES = (
+    "    buildTypes {", "        release {", "            minifyEnabled false", "            proguardFiles getDefaultProguardFile('proguard-android-optimize.txt'), 'proguard-rules.pro'", "        }",
+    "        debug {", "            minifyEnabled false", "            debuggable true", "        }", "    }", "",
+)
+ANDROID_END = (
+    "    packaging {", "        resources {", "            excludes += '/META-INF/{AL2.0,LGPL2.1}'", "            excludes += '/META-INF/DEPENDENCIES'", "        }", "    }", "",
+    "    lint {", "        abortOnError false", "        checkReleaseBuilds false", "    }", "}",
+)
+MULTIDEX = "    // MultiDex support\n    implementation 'androidx.multidex:multidex:2.0.1'"
+TESTING = ("", "    // Testing dependencies", "    testImplementation 'junit:junit:4.13.2'", "    androidTestImplementation 'androidx.test.ext:junit:1.1.5'", "    androidTestImplementation 'androidx.test.espresso:espresso-core:3.5.1'")
+#: Features of a build and the flag that each needs, in their order. Fixed values.
+BUILD_FEATURES = (("view_binding", "viewBinding"), ("data_binding", "dataBinding"), ("compose", "compose"))
+
+
+def android_lines(row: Column, flags: Column) -> Column:
+    """The android block of a build script.
+
+    row: package, compile_sdk, min_sdk, target_sdk, version_code, version_name, java_version, multidex. flags: kotlin,
+    compose, view_binding, data_binding.
+    """
+    text = lambda name: row[name].cast("string")
+    line = lambda head, name, end="": F.concat(F.lit(head), text(name), F.lit(end))
+    features = F.concat_ws("\n", *[F.when(flags[f], f"        {name} = true") for f, name in BUILD_FEATURES])
+    return _lines(
+        "android {", line("    namespace '", "package", "'"), line("    compileSdk ", "compile_sdk"), "", "    defaultConfig {", line('        applicationId "', "package", '"'),
+        line("        minSdk ", "min_sdk"), line("        targetSdk ", "target_sdk"), line("        versionCode ", "version_code"), line('        versionName "', "version_name", '"'), *DEFAULTS_END,
+        F.when(row["multidex"], "        multiDexEnabled true"), "    }", "", *BUILD_TYPES,
+        "    compileOptions {", line("        sourceCompatibility JavaVersion.VERSION_", "java_version"), line("        targetCompatibility JavaVersion.VERSION_", "java_version"), "    }", "",
+        F.when(flags["kotlin"], F.concat(F.lit("    kotlinOptions {\n"), line("        jvmTarget = '", "java_version", "'\n    }\n"))),
+        F.when(features != "", F.concat(F.lit("    buildFeatures {\n"), features, F.lit("\n    }\n"))),
+        F.when(flags["compose"], "    composeOptions {\n        kotlinCompilerExtensionVersion '1.5.4'\n    }\n"), *ANDROID_END,
+    )
+
+
+def build_text(row: Column, flags: Column, core: Column, detected: Column) -> Column:
+    """A whole build script of plugin_lines(), android_lines() and dependency_lines()."""
+    dependencies = dependency_lines(core, detected, "", F.when(row["multidex"], MULTIDEX), *TESTING)
+    return F.concat_ws("\n", plugin_lines(flags), android_lines(row, flags), dependencies)
 
 
 #: The settings of a project with one module; the project's name follows. Fixed values.

@@ -170,7 +170,8 @@ def changed_only(files: DataFrame) -> DataFrame:
 
 
 def degrade(files: DataFrame, threshold: int = fixed.INVALID_FILE) -> DataFrame:
-    """(path, content, n_stubbed) of the files below the threshold of invalid patterns, with broken methods stubbed."""
+    """(path, content, n_stubbed and files' other columns) of the files below the threshold of invalid patterns, with broken methods stubbed."""
     note = sequences.STUB_NOTES[0].split(" - ")[0]
     kept = files.filter(invalid_patterns(F.col("content")) < threshold).withColumn("_new", sequences.column(sequences.stub_methods, F.col("content")))
-    return kept.select("path", F.col("_new").alias("content"), (F.regexp_count("_new", F.lit(note)) - F.regexp_count("content", F.lit(note))).alias("n_stubbed"))
+    others = [c for c in files.columns if c not in ("path", "content")]
+    return kept.select("path", F.col("_new").alias("content"), *others, (F.regexp_count("_new", F.lit(note)) - F.regexp_count("content", F.lit(note))).alias("n_stubbed"))
