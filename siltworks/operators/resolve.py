@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed
@@ -199,6 +199,15 @@ def tier(confidence: Column) -> Column:
     return F.when(confidence >= F.lit(0.8).cast("float"), "high").when(confidence >= F.lit(0.6).cast("float"), "medium").otherwise("low")
 
 
+def listing(resolved: DataFrame, every: bool = False) -> DataFrame:
+    """(tier, position, text) of what a report lists: surest first, below the high tier with percents, the low tier on demand."""
+    percent = (F.col("confidence") * F.lit(100).cast("float")).cast("int").cast("string")
+    rows = resolved.withColumn("tier", tier(F.col("confidence"))).filter(F.lit(every) | (F.col("tier") != "low"))
+    place = Window.partitionBy("tier").orderBy(F.desc("confidence"), "first_stage", "path", "line_no", "coordinate")
+    text = F.concat("coordinate", F.lit(":"), "version", F.when(F.col("tier") == "high", "").otherwise(F.concat(F.lit(" ("), percent, F.lit("%)"))))
+    return rows.select("tier", F.row_number().over(place).alias("position"), text.alias("text"))
+
+
 def latest_versions(dependencies: DataFrame, search: DataFrame) -> DataFrame:
     """dependencies (coordinate, ...) with latest: the version that search (group_id, artifact_id, ord, version) has first; null without one."""
     known = search.groupBy(F.concat_ws(":", "group_id", "artifact_id").alias("coordinate")).agg(F.min_by("version", "ord").alias("latest"))

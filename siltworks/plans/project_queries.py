@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed
-from siltworks.operators import organize, report
-from siltworks.plans.catalog import _KINDS, _LOG, _log, query
+from siltworks.operators import facts, organize, report, resolve
+from siltworks.plans import corpus
+from siltworks.plans.catalog import _IMPORTS, _KINDS, _LOG, _RESOLVED, _SRC, _log, _resolved, _values, query
 from siltworks.session import shared_folder, table
+from siltworks.sources import files
 from siltworks.streaming import logs
 
 _NL = "chr(10)"
@@ -87,3 +89,47 @@ def streamed_log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     told.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     last = Window.partitionBy("log").orderBy(F.desc("batch"))
     return spark.read.parquet(f"{home}/told").withColumn("n", F.row_number().over(last)).filter("n = 1").select("log", "errors", "failed", F.coalesce("classes", F.lit(0)).alias("classes"))
+
+
+_TIER = "CASE WHEN confidence >= CAST(0.8 AS FLOAT) THEN 'high' WHEN confidence >= CAST(0.6 AS FLOAT) THEN 'medium' ELSE 'low' END"
+
+
+@query(f"""{_RESOLVED} SELECT {_TIER} AS tier, CAST(row_number() OVER (PARTITION BY {_TIER} ORDER BY confidence DESC, first_stage, path, line_no, coordinate) AS INTEGER) AS position,
+ coordinate || ':' || version || CASE WHEN {_TIER} = 'high' THEN '' ELSE ' (' || CAST(trunc(confidence * CAST(100 AS FLOAT)) AS INTEGER) || '%)' END AS text FROM resolved""")
+def dependency_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiers of the report, the low one included."""
+    return resolve.listing(_resolved(spark, sf_dir), every=True)
+
+
+_SIGNED = f"library(ord, group_id, artifact_id, signature) AS (VALUES {_values([(i, g, a, s) for i, (p, g, a, _) in enumerate(fixed.LIBRARIES) for s in (p, p + '.app')])})"
+
+
+@query(f"""{_SRC}, {_IMPORTS}, {_SIGNED}, met AS (SELECT i.import AS class, l.*, row_number() OVER (PARTITION BY i.import ORDER BY l.ord) AS n FROM (SELECT DISTINCT import FROM imports) i JOIN library l ON starts_with(i.import, l.signature))
+SELECT class, group_id, artifact_id FROM met WHERE n = 1""")
+def signature_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imported classes by the first library with a signature that starts them."""
+    classes = facts.facts(corpus.corpus(spark, sf_dir), ("import",)).select(F.col("name").alias("class"))
+    library = resolve._values(spark, [(i, g, a, p) for i, (p, g, a, _) in enumerate(fixed.LIBRARIES)], "ord, group_id, artifact_id, prefix")
+    return resolve.by_signature(classes, library.select("ord", "group_id", "artifact_id", F.array("prefix", F.concat("prefix", F.lit(".app"))).alias("classSignatures")))
+
+
+_SEARCH = [(g, a, k, f"{k}.{len(a)}") for _, g, a, _ in fixed.LIBRARIES for k in (1, 0) if len(a) % 3]
+
+
+@query(f"""{_RESOLVED}, search(group_id, artifact_id, ord, version) AS (VALUES {_values(_SEARCH)})
+SELECT coordinate, coalesce((SELECT arg_min(s.version, s.ord) FROM search s WHERE s.group_id || ':' || s.artifact_id = coordinate), '') AS latest FROM resolved""")
+def latest_version_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version that a search has first for each dependency; empty where it has none."""
+    search = resolve._values(spark, _SEARCH, "group_id, artifact_id, ord, version")
+    return resolve.latest_versions(_resolved(spark, sf_dir).select("coordinate"), search).select("coordinate", F.coalesce("latest", F.lit("")).alias("latest"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS ord, n_name AS name, 'org.' || lower(replace(n_name, ' ', '')) AS groupId, CAST(n_regionkey % 3 AS INTEGER) AS n_signatures FROM nation""")
+def library_dimension_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON dimension written to the shared folder and read as a library document; rows keep the document's order."""
+    home = os.path.join(shared_folder(spark), f"libraries-{os.urandom(8).hex()}")
+    signatures = F.transform(F.slice(F.array(F.lit("a.B"), F.lit("c.D")), 1, (F.col("n_regionkey") % 3).cast("int")), lambda x: F.concat("n_name", x))
+    row = F.struct("n_nationkey", F.col("n_name").alias("name"), F.concat(F.lit("org."), F.lower(F.replace("n_name", F.lit(" "), F.lit("")))).alias("groupId"), F.lit("a").alias("artifactId"), F.col("n_name").alias("packagePrefix"), signatures.alias("classSignatures"), F.lit("1").alias("latestVersion"))
+    document = table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("libraries"))).alias("content"))  # 25 rows at every size
+    organize.write_files(document.select(F.lit("libraries.json").alias("path"), "content"), home)
+    return files.library_dimension(spark, f"{home}/libraries.json").select("ord", "name", "groupId", F.size("classSignatures").alias("n_signatures"))
