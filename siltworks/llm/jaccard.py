@@ -287,6 +287,9 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, rep
 def candidates(sent: DataFrame, percent: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(pairs a, b that pass the filters, members node, group of shingles with over `small` nodes) of prefix rows."""
     row = F.struct("node", "n", "pos", "s0", "s1")
+    # Most shingles that share a cell are in one set alone: they go before the wide rows are grouped.
+    shared = sent.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("shingle")
+    sent = checkpointed(sent.join(respread(shared, "shingle"), "shingle", "left_semi").dropDuplicates(["shingle", "node"]))
     ends = sent.groupBy("shingle").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("met"))
     met = checkpointed(sent.join(respread(ends.filter("low.node <> high.node"), "shingle"), "shingle").select("shingle", row.alias("x"), "low", "high", "met"))
     few_met, many = met.filter(F.col("met") <= small), met.filter(F.col("met") > small)
@@ -305,7 +308,7 @@ def connect(docs: DataFrame, nodes: DataFrame, size: int, percent: int, repeated
     spark, share = docs.sparkSession, percent / 100 - 1e-12  # shares of sets differ by more, and equality is enough
     texts = docs.select(text_or_empty().alias("text"))
     shipped = spark.sparkContext.broadcast(rarity(texts, size))
-    sent = checkpointed(prefixes(texts, size, percent, shipped).dropDuplicates(["shingle", "node"]))
+    sent = checkpointed(prefixes(texts, size, percent, shipped))
     shipped.destroy()
     pairs, crowded = candidates(sent, percent)
     release_shuffles(spark)
