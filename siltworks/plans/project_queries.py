@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed
-from siltworks.operators import facts, organize, report, resolve
+from siltworks.operators import facts, organize, report, resolve, snapshots
 from siltworks.plans import corpus
 from siltworks.plans.catalog import _IMPORTS, _KINDS, _LOG, _RESOLVED, _SRC, _log, _resolved, _values, query
 from siltworks.session import shared_folder, table
@@ -133,3 +133,15 @@ def library_dimension_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     document = table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("libraries"))).alias("content"))  # 25 rows at every size
     organize.write_files(document.select(F.lit("libraries.json").alias("path"), "content"), home)
     return files.library_dimension(spark, f"{home}/libraries.json").select("ord", "name", "groupId", F.size("classSignatures").alias("n_signatures"))
+
+
+@query(f"SELECT {corpus.PATH} AS path, p_partkey % 10 = 3 AS rewritten FROM part WHERE p_partkey % 10 <> 4")
+def snapshot_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files a second run rewrites, where since the first one a tenth has changed and a tenth has gone."""
+    home = os.path.join(shared_folder(spark), f"snapshot-{os.urandom(8).hex()}")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(corpus.PATH).alias("path"), F.expr(corpus.CONTENT).alias("content"))
+    before = F.when(F.col("p_partkey") % 10 == 3, F.concat("content", F.lit(" "))).otherwise(F.col("content"))
+    snapshots.refresh(rows.select("path", before.alias("content")), home)
+    snapshots.refresh(rows.filter("p_partkey % 10 <> 4").select("path", "content"), home)
+    run = snapshots.current(spark, home)
+    return snapshots.index(spark, home, run).select("path", (F.col("run") == run).alias("rewritten"))
