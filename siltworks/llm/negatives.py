@@ -386,12 +386,12 @@ def worst(found: DataFrame, by: list[str], score: str, k: int) -> DataFrame:
 
 
 def fitted(rows: DataFrame, n: int) -> list[tuple[int, float]]:
-    """Splits fitted on the SAMPLE rows with the smallest hashes of id; more levels for more rows, CELL_LEVELS at most."""
+    """Splits fitted on some SAMPLE rows, taken by a hash of id; more levels for more rows, CELL_LEVELS at most."""
     levels = min(CELL_LEVELS, max(0, math.ceil(math.log2(max(n, 1) / (4 * BLOCK_ROWS)))))
     if not levels:
         return []
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
-    return fit_splits(integers([np.array(r[0], float) for r in sample]), levels)
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1, SAMPLE / n) * (1 << 40)))
+    return fit_splits(integers([np.array(r[0], float) for r in drawn.select("vector").collect()]), levels)
 
 
 def with_cells(rows: DataFrame, splits: list[tuple[int, float]]) -> DataFrame:
