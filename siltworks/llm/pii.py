@@ -32,9 +32,6 @@ from siltworks.llm.spans import let, meets, places, tree
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-#: A text without a match of this has no span of any kind.
-GATE = r"[0-9@]|[\[(]at[\])]| at [A-Za-z0-9-]+ dot |(?i:password|passwd|token|secret|api_?key)"
-
 #: The rules' patterns, and what a match must pass. Fixed values.
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 PATTERNS = {
@@ -54,6 +51,10 @@ GENERATORS = (
     ("secret", r"(?i:password|passwd|token|secret|api_?key)\"? ?[=:] ?\"?[0-9A-Za-z_+/.-]{6,80}\"?"),
     ("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"),
 )
+#: What a match of each generator has in it, in the generators' order. Rules of the base kinds match nothing without a digit or @.
+NEEDS = (r"[\[(]at[\])]", r" at [A-Za-z0-9-]+ dot ", r"(?:[0-9A-Fa-f]{1,4}:){3}", r"[0-9]", r"[0-9]", r"AKIA", r"(?i:password|passwd|token|secret|api_?key)", r"[0-9a-f]{32}")
+#: A text without a match of this has no span of any kind.
+GATE = "[0-9@]|" + "|".join(dict.fromkeys(n for n in NEEDS if n != "[0-9]"))
 CONTEXT = r"(?i)mail|contact|tel|phone|call|fax|mobile|card|visa|account|ip|host|addr|token|secret|passw|key|login"
 #: Characters before a candidate that count as its context, and in a piece of a text in which it is looked up.
 BEFORE, PIECE = 24, 1024
