@@ -27,6 +27,7 @@ are not read. Sets are told apart by 64-bit hashes, shingles likewise.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,7 +164,8 @@ def rarity(texts: DataFrame, size: int) -> bytes:
             part = held[s << SEGMENT_BITS : (s + 1) << SEGMENT_BITS]
             used = np.flatnonzero(part)
             if len(used):
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "cells": [used.astype(np.uint16).tobytes()], "counts": [part[used].tobytes()]})
+                steps = np.diff(used, prepend=0).astype(np.uint16)
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "steps": [zlib.compress(steps.tobytes(), 1)], "counts": [zlib.compress(part[used].tobytes(), 1)]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(s: int, total: np.ndarray) -> pa.RecordBatch:
@@ -172,16 +174,16 @@ def rarity(texts: DataFrame, size: int) -> bytes:
 
         now, total = None, np.zeros(1 << SEGMENT_BITS, np.int64)
         for batch in batches:
-            for s, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, steps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != now and now is not None:
                     yield done(now, total)
                     total[:] = 0
                 now = s
-                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint8)
+                total[np.cumsum(np.frombuffer(zlib.decompress(steps), np.uint16), dtype=np.int64)] += np.frombuffer(zlib.decompress(counts), np.uint8)
         if now is not None:
             yield done(now, total)
 
-    pieces = texts.mapInArrow(count, "segment int, cells binary, counts binary")
+    pieces = texts.mapInArrow(count, "segment int, steps binary, counts binary")
     out = np.zeros(1 << (CELL_BITS - 1), np.uint8)
     merged = pieces.repartition(PARTS, "segment").sortWithinPartitions("segment").mapInArrow(add, "segment int, classes binary")
     for s, classes in merged.toLocalIterator(prefetchPartitions=True):  # of fixed size, and a part at a time
@@ -288,8 +290,8 @@ def candidates(sent: DataFrame, percent: int, small: int = SMALL) -> tuple[DataF
     """(pairs a, b that pass the filters, members node, group of shingles with over `small` nodes) of prefix rows."""
     row = F.struct("node", "n", "pos", "s0", "s1")
     # Most shingles that share a cell are in one set alone: they go before the wide rows are grouped.
-    shared = sent.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("shingle")
-    sent = checkpointed(sent.join(respread(shared, "shingle"), "shingle", "left_semi").dropDuplicates(["shingle", "node"]))
+    shared = checkpointed(sent.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1").select("shingle"))
+    sent = checkpointed(sent.join(few(shared), "shingle", "left_semi").dropDuplicates(["shingle", "node"]))
     ends = sent.groupBy("shingle").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("met"))
     met = checkpointed(sent.join(respread(ends.filter("low.node <> high.node"), "shingle"), "shingle").select("shingle", row.alias("x"), "low", "high", "met"))
     few_met, many = met.filter(F.col("met") <= small), met.filter(F.col("met") > small)

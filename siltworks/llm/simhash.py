@@ -451,8 +451,8 @@ def verify_group(nodes: np.ndarray, label: np.ndarray, shingles: np.ndarray, siz
 
 def settle(crowded: DataFrame, sets: DataFrame, roots: DataFrame, share: float = KEEP_SHARE) -> DataFrame:
     """(a, b): links among the nodes of each crowded group (node, group) by verify_group(), in pairs of blocks."""
-    held = sets.join(roots.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "shingles")
-    known = crowded.join(held.select("node", "label", F.size("shingles").alias("n")), "node")
+    sizes = sets.select("node", F.size("shingles").alias("n"))  # before the join, which else would carry the sets
+    known = crowded.join(sizes.join(roots.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "n"), "node")
     blocks = known.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("label").alias("one"), F.max("label").alias("two"))
     blocks = blocks.filter("one <> two").select("group", F.greatest("blocks", F.lit(1)).alias("blocks"))
     mine, other = F.pmod(F.xxhash64("node"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
