@@ -98,3 +98,11 @@ def test_source_files_and_zip_entries(spark, tmp_path):
 def test_put_if_absent(spark):
     made = lambda *names: report.put_if_absent(spark.createDataFrame([(n, "1") for n in names], "coordinate string, version string"), "appcompat", "m:m", "2").count()
     assert (made("x:appcompat"), made("x:y"), made("x:appcompat", "m:m")) == (2, 1, 2)
+
+
+def test_the_core_library_is_put_after_all_stages(spark):
+    """conditional_put_if_absent holds what a resolution with its lookup finds, not the stages before it alone."""
+    found = {tuple(r) for r in catalog.dependency_resolution(spark, SF).select("coordinate", "version").collect()}
+    looked = {f"{r.group_id}:{r.artifact_id}" for r in catalog.static_lookup_first_doc(spark, SF).collect()}
+    got = {tuple(r) for r in catalog.conditional_put_if_absent(spark, SF).collect()}
+    assert looked and looked <= {c for c, _ in got} and got == found
