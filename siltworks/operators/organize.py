@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import fixed
-from siltworks.operators.extract import first_package, library_package, under_prefixes
+from siltworks.operators.extract import evaluated_once, first_package, library_package
 from siltworks.operators.report import error_marker
 from siltworks.sources import stores
 from siltworks.sources.files import zip_route
@@ -24,11 +26,9 @@ def prefix_table(spark: SparkSession, prefixes: tuple[str, ...]) -> DataFrame:
 
 def with_package(files: DataFrame) -> DataFrame:
     """files (path, content) with package, and is_library for known prefixes (whole words), renamed and one-letter packages."""
-    named = files.withColumn("package", first_package(F.col("content"), F.col("path")))
-    below = under_prefixes(named.select("package").distinct(), "package", prefix_table(files.sparkSession, fixed.LIBRARY_PACKAGES), True)
-    known = below.withColumn("_known", F.lit(True))
-    joined = named.join(known, "package", "left")
-    return joined.withColumn("is_library", F.coalesce("_known", F.lit(False)) | library_package(F.col("package"))).drop("_known")
+    named = evaluated_once(files, "package", first_package(F.col("content"), F.col("path")))
+    known = F.col("package").rlike(rf"^(?:{'|'.join(re.escape(p) for p in fixed.LIBRARY_PACKAGES)})(?:\.|\z)")
+    return named.withColumn("is_library", F.coalesce(known, F.lit(False)) | library_package(F.col("package")))
 
 
 def organize(files: DataFrame, java: str = "java", kotlin: str = "java") -> DataFrame:
