@@ -73,3 +73,20 @@ def test_a_threshold_reads_the_last_pass_once(spark):
     fixed = rewrite.fix_files(files).select("path", F.col("fixed").alias("content"))
     marks = lambda df: plan(df).count("JADX FIX: removed unknown type") + plan(df).count(r"\s+\z")
     assert marks(rewrite.degrade(fixed)) <= 2 * marks(fixed)
+
+
+def test_a_pass_hands_on_one_text(spark):
+    """What goes through the Python passes doesn't get wider with each of them."""
+
+    def widest(node):
+        return max([node.output().size(), *(widest(node.children().apply(i)) for i in range(node.children().size()))])
+
+    files = corpus.corpus(spark, SF).select("path", "content")
+    assert widest(rewrite.fix_files(files)._jdf.queryExecution().optimizedPlan()) <= 7
+
+
+def test_words_that_touch_are_rewritten_alike(spark):
+    text = "x == truey == true; a!=falseb ==  false; true == n; m[0] == true; i = j == true ? 1 : 0"
+    made = spark.createDataFrame([(text,)], "content string").select(rewrite.int_booleans(F.col("content")), rewrite.int_ternaries(F.col("content"))).first()
+    assert made[0] == "x != 0y != 0; a != 0b == 0; true == n; m[0] == true; i = j != 0 ? 1 : 0"
+    assert made[1] == text.replace("i = j == true ? 1 : 0", "i = (j != 0) ? 1 : 0")
