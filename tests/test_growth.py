@@ -90,3 +90,12 @@ def test_words_that_touch_are_rewritten_alike(spark):
     made = spark.createDataFrame([(text,)], "content string").select(rewrite.int_booleans(F.col("content")), rewrite.int_ternaries(F.col("content"))).first()
     assert made[0] == "x != 0y != 0; a != 0b == 0; true == n; m[0] == true; i = j != 0 ? 1 : 0"
     assert made[1] == text.replace("i = j == true ? 1 : 0", "i = (j != 0) ? 1 : 0")
+
+
+def test_longer_logs_come_in_longer_pieces():
+    """The batches of the streamed logs stay few as the table grows, until pieces have their greatest length."""
+    from siltworks.plans import project_queries as q
+
+    pieces = lambda lines: -(-lines // (q.LOGS * q.piece_lines(lines))) * q.LOGS
+    assert q.piece_lines(2000) == 100 and pieces(2000) > 2 * q.BATCH
+    assert all(pieces(n) <= (q.PIECES + 1) * q.LOGS for n in (20_000, 120_000, 1_200_000, 7_200_000)) and q.piece_lines(10**9) == q.LONGEST
