@@ -8,7 +8,8 @@ found for which raking under the bound 1 / c still meets the targets: a cell can
 shares come before the size.
 
 Only cells (not documents) are gathered, and only if a count shows MAX_CELLS of them at most; beyond that the same
-raking, not bounded, runs as DataFrame sweeps with a checkpoint after each, and c falls until no probability is over 1. Sampling is the feature: selected is a column, rows stay.
+raking, bounds and trials of c run as DataFrame sweeps with a checkpoint after each. Both give the same weights and c,
+but for rounding. Sampling is the feature: selected is a column, rows stay.
 
 Target shares may be given for some values of a dimension; the others share what is left in proportion to their observed
 shares to a power.
@@ -22,20 +23,26 @@ gives these other names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import checkpointed, free_name, literal_rows, text_or_empty
 
+#: Weights of cells, in a dict or in the column `weight` of a DataFrame.
+Weights = dict | DataFrame
 DIMENSIONS = ("source", "lang", "topic")
 #: Columns made, unless the caller renames them; input columns of the final names are replaced.
 MADE = ("topic", "tokens", "weight", "probability", "selected")
 #: Up to so many cells the raking runs on the driver; a cell takes under 300 bytes there.
 MAX_CELLS = 100_000
 SWEEPS, TOLERANCE = 200, 1e-10
-#: Relative error of token shares under bounded weights, and trials of the share of all tokens that is drawn.
-CLOSE, HALVINGS = 1e-6, 16
+#: Relative error of token shares under bounded weights; a trial whose error hasn't halved in so many sweeps is given up.
+CLOSE, STALL = 1e-6, 25
+#: The share of all tokens that is drawn is searched in so many rounds, each of which divides the range by TRIALS.
+ROUNDS, TRIALS = 4, 16
 #: First match wins; what matches none is "prose". Fixed values.
 TOPICS = (("table", r" \| "), ("license", "(?i)licen[sc]e"), ("contact", "@|password|token"), ("numbers", "[0-9]{4}"))
 
@@ -102,23 +109,72 @@ def rake_frames(cells: DataFrame, targets: list[DataFrame]) -> DataFrame:
     return out
 
 
-def rake_bounded(cells: dict[tuple, float], targets: list[dict[str, float]], most: float) -> dict[tuple, float] | None:
-    """rake() with no weight over `most`; None if the targets aren't met so."""
+def _decided(worst: list[np.ndarray]) -> tuple[np.ndarray, bool]:
+    """(which trials have met the targets, whether the others won't), from each sweep's largest relative errors."""
+    met = np.minimum.reduce(worst) <= CLOSE
+    stalled = len(worst) > 2 * STALL and worst[-1] > 0.5 * worst[-1 - STALL]
+    return met, bool((met | stalled).all())
+
+
+def rake_bounded(cells: dict[tuple, float], targets: list[dict[str, float]], most: list[float]) -> list[dict[tuple, float] | None]:
+    """For each of `most`: rake() with no weight over it; None if the targets aren't met so."""
     keys = sorted(c for c in cells if cells[c] > 0)
-    n, total = np.array([cells[c] for c in keys]), sum(cells.values())
+    n, total, bounds = np.array([cells[c] for c in keys]), sum(cells.values()), np.array(most)[:, None]
     sides = []
     for d, target in enumerate(targets):
         values, at = np.unique([c[d] for c in keys], return_inverse=True)
         sides.append((at, np.array([target.get(v, 0.0) * total for v in values.tolist()])))
-    free = np.ones(len(keys))
+    free, worst = np.ones((len(most), len(keys))), []
     for _ in range(SWEEPS):
+        off = np.zeros(len(most))
         for at, want in sides:
-            sums = np.bincount(at, n * np.minimum(free, most), len(want))
-            free = np.minimum(free * np.divide(want, sums, out=np.zeros_like(want), where=sums > 0)[at], 1e100)
-        weights = np.minimum(free, most)
-        if all((np.abs(np.bincount(at, n * weights, len(want)) - want) <= CLOSE * want).all() for at, want in sides):
-            return dict.fromkeys(cells, 0.0) | dict(zip(keys, weights.tolist(), strict=True))
-    return None
+            sums = np.array([np.bincount(at, x, len(want)) for x in n * np.minimum(free, bounds)])
+            factor = np.divide(want, sums, out=np.zeros_like(sums), where=sums > 0)
+            off = np.maximum(off, np.where(sums > 0, np.abs(factor - 1), 0.0).max(axis=1, initial=0.0))
+            free = np.minimum(free * factor[:, at], 1e100)
+        worst.append(off)
+        met, over = _decided(worst)
+        if over:
+            break
+    weights = np.minimum(free, bounds)
+    return [dict.fromkeys(cells, 0.0) | dict(zip(keys, w.tolist(), strict=True)) if m else None for m, w in zip(met, weights, strict=True)]
+
+
+def rake_bounded_frames(cells: DataFrame, targets: list[DataFrame], most: list[float]) -> list[DataFrame | None]:
+    """rake_bounded() where the cells are too many for the driver; targets: DataFrames (value, share). All trials take the same sweeps."""
+    total, some = cells.agg(F.sum("tokens")).first()[0] or 0, range(len(most))
+    out, worst = cells.withColumn("free", F.array(*[F.when(F.col("tokens") > 0, 1.0).otherwise(0.0) for _ in most])), []
+    for _ in range(SWEEPS):
+        off = np.zeros(len(most))
+        for name, target in zip(DIMENSIONS, targets, strict=True):
+            sums = out.groupBy(name).agg(*[F.sum(F.col("tokens") * F.least(F.col("free")[i], F.lit(most[i]))).alias(f"mass{i}") for i in some])
+            share = F.coalesce("share", F.lit(0.0)) * total
+            factor = F.array(*[F.when(F.col(f"mass{i}") > 0, share / F.col(f"mass{i}")).otherwise(0.0) for i in some])
+            far = F.array(*[F.when(F.col(f"mass{i}") > 0, F.abs(share / F.col(f"mass{i}") - 1)).otherwise(0.0) for i in some])
+            factors = checkpointed(sums.join(target.withColumnRenamed("value", name), name, "left").select(name, factor.alias("factor"), far.alias("far")))
+            off = np.maximum(off, [x or 0.0 for x in factors.agg(*[F.max(F.col("far")[i]) for i in some]).first()])
+            out = out.join(factors.select(name, "factor"), name).withColumn("free", F.zip_with("free", "factor", lambda x, y: F.least(x * y, F.lit(1e100)))).drop("factor")
+        out = checkpointed(out)
+        worst.append(off)
+        met, over = _decided(worst)
+        if over:
+            break
+    return [out.withColumn("weight", F.least(F.col("free")[i], F.lit(most[i]))).drop("free") if met[i] else None for i in some]
+
+
+def largest(low: float, high: float, weights: Weights, bounded: Callable[[list[float]], list[Weights | None]]) -> tuple[float, Weights]:
+    """(c, weights): the largest c found in low to high for which bounded() gives weights under 1 / c; low's own are given."""
+    for k in range(ROUNDS):
+        tried = [low + (high - low) * i / TRIALS for i in range(1, TRIALS)] + [high] * (k == 0)
+        found = bounded([1 / c for c in tried])
+        best = max((i for i, w in enumerate(found) if w is not None), default=-1)
+        if best >= 0:
+            low, weights = tried[best], found[best]
+        if low == high:
+            break
+        if best + 1 < len(tried):
+            high = tried[best + 1]
+    return low, weights
 
 
 def fit(cells: dict[tuple, float], targets: list[dict[str, float]], fraction: float) -> tuple[float, dict[tuple, float]]:
@@ -133,17 +189,20 @@ def fit(cells: dict[tuple, float], targets: list[dict[str, float]], fraction: fl
         for c in sorted(cells):
             sums[c[d]] = sums.get(c[d], 0.0) + cells[c]
         high = min([high, *(sums[v] / (share * total) for v, share in target.items() if share > 0 and sums.get(v, 0) > 0)])
-    tried = high
-    for _ in range(HALVINGS):
-        found = rake_bounded(cells, targets, 1 / tried)
-        if found:
-            low, weights = tried, found
-            if tried == high:
-                break
-        else:
-            high = tried
-        tried = (low + high) / 2
-    return low, weights
+    return largest(low, max(low, high), weights, lambda most: rake_bounded(cells, targets, most))
+
+
+def fit_frames(cells: DataFrame, targets: list[DataFrame], fraction: float) -> tuple[float, DataFrame]:
+    """fit() where the cells are too many for the driver: the same sweeps, bounds and trials, so the same result but for rounding."""
+    weights = rake_frames(cells, targets)
+    low = min(fraction, 1 / (weights.agg(F.max("weight")).first()[0] or 1e-300))
+    if low == fraction:
+        return low, weights
+    total, high = cells.agg(F.sum("tokens")).first()[0] or 0, fraction
+    for name, target in zip(DIMENSIONS, targets, strict=True):
+        sums = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("n")).filter("n > 0").join(target.filter("share > 0"), "value")
+        high = min(high, sums.agg(F.min(F.col("n") / (F.col("share") * total))).first()[0] or high)
+    return largest(low, max(low, high), weights, lambda most: rake_bounded_frames(cells, targets, most))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, fraction: float = 0.8, max_cells: int = MAX_CELLS, names: dict[str, str] | None = None) -> DataFrame:
@@ -179,8 +238,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
         rows = [dict(zip(DIMENSIONS, k, strict=True)) | {"weight": weights[k], "probability": (min(1.0, c * weights[k]) if weights[k] > 0 else 0.0) if held[k] else 1.0} for k in sorted(held)]
         fitted = F.broadcast(literal_rows(spark, rows, "source string, lang string, topic string, weight double, probability double"))
     else:
-        raked = rake_frames(cells, [_goal(cells, name, targets.get(name, {}), power) for name in DIMENSIONS])
-        c = min(fraction, 1 / (raked.agg(F.max("weight")).first()[0] or 1e-300))
+        goals = [checkpointed(_goal(cells, name, targets.get(name, {}), power)) for name in DIMENSIONS]
+        c, raked = fit_frames(cells, goals, fraction)
         fitted = raked.select(*DIMENSIONS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), c * F.col("weight"))).otherwise(1.0).alias("probability"))
     p, f = part.alias("p"), fitted.alias("f")
     joined = p.join(f, (F.col(f"p.{source}") == F.col("f.source")) & (F.col(f"p.{lang}") == F.col("f.lang")) & (F.col(f"p.{topic}") == F.col("f.topic")))
