@@ -17,10 +17,12 @@ Copies share one fingerprint and are joined back at the end; they are never expa
 BLOCK fingerprints is dealt to blocks of them and every two blocks meet in a group of their own, so no task gathers an
 unbounded group and no pair is lost.
 
-For filtering (keep_one) a node is a set of distinct shingles, so texts of one node have similarity 1, and bands of
-MinHash values over the distinct shingles take the place of fingerprint bits: two sets share a value with a chance of
-exactly their Jaccard similarity, whatever their sizes. Every link is verified by the exact similarity. Nodes that meet
-in a band are compared with the smallest and largest node there, which costs one row a node. The pairs left in groups
+For filtering (keep_one) a node is a set of distinct shingles, so texts of one node have similarity 1, and its fingerprint
+is the vote of the distinct shingles, so that a repeated line counts once. Nodes whose fingerprints are connected within
+KEEP_RADIUS bits, found by steps 1 to 5, meet in a group. A fingerprint of few shingles changes in many bits with one of
+them, so nodes meet in bands of MinHash values too: two sets share a value with a chance of exactly their Jaccard
+similarity, whatever their sizes. Every link is verified by the exact similarity. Nodes that meet in
+a group are compared with the smallest and largest node there, which costs one row a node. The pairs left in groups
 that this doesn't connect are compared where the shingles of their documents meet, in blocks of bounded size; the task
 that holds two blocks verifies their pairs exactly and sends out a link for each two groups that it connects.
 
@@ -81,7 +83,11 @@ def _remix(h: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprint(text: str, size: int = 3) -> int:
     """A signed 64-bit number; bit b is set if it is set in over half of the shingles' hashes."""
-    h = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         votes += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -356,19 +362,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Near-duplicates for filtering: words in a shingle and least Jaccard similarity.
-KEEP_SIZE, KEEP_SHARE = 5, 0.8
+#: Near-duplicates for filtering: words in a shingle, least Jaccard similarity, bits between fingerprints whose nodes meet.
+KEEP_SIZE, KEEP_SHARE, KEEP_RADIUS = 5, 0.8, 3
 #: Bands and MinHash values in each. Sets of similarity 0.8 share no band with a chance of (1 - 0.8^5)^40 = 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
 _MIX = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32)
 _MIX[0] |= np.uint32(1)
 
 
-def node_and_bands(text: str) -> tuple[int, np.ndarray]:
-    """(a number for the set of distinct shingles, a key for each band of its MinHash values); no keys without shingles."""
+def node_and_bands(text: str) -> tuple[int, int | None, np.ndarray]:
+    """(a number for the set of distinct shingles, its fingerprint, a key for each band of its MinHash values); without shingles no fingerprint and no keys."""
     h = np.unique(shingle_hashes(text, KEEP_SIZE))
     if not len(h):
-        return 0, np.zeros(0, np.int64)
+        return 0, None, np.zeros(0, np.int64)
     node = np.array([_h64(h.tobytes())], np.uint64).view(np.int64)
     x = (h ^ (h >> np.uint64(32))).astype(np.uint32)
     least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
@@ -377,21 +383,21 @@ def node_and_bands(text: str) -> tuple[int, np.ndarray]:
     keys = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, BAND_ROWS).T:
         keys = _remix(keys * np.uint64(0x9E3779B97F4A7C15) + column, 1)
-    return int(node[0]), keys.view(np.int64)
+    return int(node[0]), majority(h), keys.view(np.int64)
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """doc_id, row (text_hash()), node and bands of every row."""
+    """doc_id, row (text_hash()), node, f0 (its fingerprint) and bands of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [node_and_bands(t or "") for t in batch.column(1).to_pylist()]
-            bands = pa.array([b for _, b in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for n, _ in made], pa.int64()), bands], names=["doc_id", "row", "node", "bands"])
+            node, f0, bands = (pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, f0, bands], names=["doc_id", "row", "node", "f0", "bands"])
 
     part = docs.select("doc_id", "text", text_hash().alias("row"))
-    return part.mapInArrow(run, f"doc_id {part.schema['doc_id'].dataType.simpleString()}, row long, node long, bands array<long>")
+    return part.mapInArrow(run, f"doc_id {part.schema['doc_id'].dataType.simpleString()}, row long, node long, f0 long, bands array<long>")
 
 
 def shingle_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -489,10 +495,17 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def print_groups(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, group): nodes of one group have fingerprints (f0) that are connected within radius bits."""
+    prints = nodes.filter("f0 IS NOT NULL").select("node", "f0")
+    roots = stars(links(checkpointed(prints.select(F.col("f0").alias("node"), "f0").distinct()), radius))
+    return prints.join(respread(roots, "a"), F.col("f0") == F.col("a"), "left").select("node", F.xxhash64(F.coalesce("b", "f0")).alias("group"))
+
+
 def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of all nodes (node, first, bands) connected over near-duplicate pairs, as stars() gives them."""
+    """(node, root) of all nodes (node, first, f0, bands) connected over near-duplicate pairs, as stars() gives them."""
     spark = nodes.sparkSession
-    bands = nodes.select("node", F.explode("bands").alias("group"))
+    bands = nodes.select("node", F.explode("bands").alias("group")).unionByName(print_groups(nodes, KEEP_RADIUS))
     ends = bands.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("n > 1")
     met = checkpointed(bands.join(ends, "group"))
     sets = shingle_sets(met.select("node").distinct(), nodes, docs, KEEP_SIZE)
@@ -512,8 +525,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but the document of the smallest doc_id of each group of near-duplicates; columns as they are."""
     columns = docs.columns
     made = checkpointed(banded(docs))
-    rows = made.select(F.struct("doc_id", "row").alias("id"), "node", "bands")
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("bands").alias("bands")))
+    rows = made.select(F.struct("doc_id", "row").alias("id"), "node", "f0", "bands")
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("f0").alias("f0"), F.first("bands").alias("bands")))
     grouped = members(rows.select("id", "node"), nodes, connect(nodes, docs))
     doc, row, mark = (free_name(docs, n) for n in ("_gone_doc", "_gone_row", "_text_hash"))
     gone = grouped.filter(F.col("component") != F.col("id")).select(F.col("id.doc_id").alias(doc), F.col("id.row").alias(row)).distinct()

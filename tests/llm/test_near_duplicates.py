@@ -1,6 +1,7 @@
 """The filtering near-duplicate stage against all pairs by exact Jaccard similarity."""
 
 import numpy as np
+import xxhash
 
 from siltworks.llm import simhash
 
@@ -54,3 +55,22 @@ def test_keep_one_is_exact_on_a_boilerplate_family(spark, monkeypatch):
     texts = [(i, " ".join(shared + fresh(int(rng.integers(8, 60))))) for i in range(60)]
     texts += [(100 + i, t + " " + " ".join(fresh(int(rng.integers(1, 12))))) for i, t in texts[:25]]
     assert left(spark, texts) == exact_left(texts)
+
+
+def test_fingerprints_alone_bring_near_copies_together(spark):
+    """Without bands, nodes within the radius are linked if they are similar; those of other texts are not."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for _ in range(12):
+        page = [f"w{x}" for x in rng.integers(0, 10**9, 600)]
+        texts += [page, [*page[:-1], "changed"], page * 2]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").cache()
+    made = simhash.banded(docs).collect()
+    for r, t in zip(sorted(made), texts, strict=True):
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in {" ".join(t[k : k + 5]) for k in range(len(t) - 4)}]
+        assert r.f0 % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    nodes = spark.createDataFrame([(r.node, (r.doc_id, r.row), r.f0, []) for r in made], "node long, first struct<doc_id: long, row: long>, f0 long, bands array<long>")
+    near = {tuple(sorted((a.node, b.node))) for a in made for b in made if a.node != b.node and ((a.f0 ^ b.f0) % (1 << 64)).bit_count() <= simhash.KEEP_RADIUS}
+    roots = dict(map(tuple, simhash.connect(nodes, docs).collect()))
+    assert len(near) > 12 and all(roots.get(a, a) == roots.get(b, b) for a, b in near)
+    assert len({roots.get(r.node, r.node) for r in made}) >= 12
