@@ -52,7 +52,7 @@ def _base(path: str) -> F.Column:
 
 @query(f"WITH {_PACKED} SELECT archive, CAST(row_number() OVER (PARTITION BY archive ORDER BY page_id) - 1 AS INTEGER) AS entry_no, entry_name, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS sha256 FROM packed")
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entry with its content, read in ranges of entries of at most 16 KB (packed)."""
+    """Every entry with its content, read in ranges of entries of at most 16 KB (packed), or larger ones where these would be too many tasks."""
     rows = _entries(spark, archives(spark, sf_dir), content="true", split=str(16 << 10))
     return rows.select(_base("archive").alias("archive"), "entry_no", "entry_name", "size", F.sha2("content", 256).alias("sha256"))
 

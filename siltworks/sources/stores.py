@@ -4,7 +4,7 @@ Both run in Spark's Python workers, which open the store themselves (pyarrow's f
 object stores by their URIs); nothing passes through the driver but names.
 
 `archive` reads ZIP archives. A partition is a range of entries of one archive, planned from the archive's central
-directory at its end, so an archive is read where its entries lie and by as many tasks as it has bytes for. An entry
+directory at its end (of very many ranges, several are a partition), so an archive is read where its entries lie and by as many tasks as it has bytes for. An entry
 comes in pieces of bounded size. `files` writes rows as files with a commit: tasks write into a staging folder beside
 the target, the job's commit renames it, an aborted job leaves nothing.
 """
@@ -27,6 +27,10 @@ from pyspark.sql.types import Row, StructType
 
 #: Bytes of an entry in one row, and packed bytes of a partition.
 PIECE, SPLIT = 4 << 20, 64 << 20
+#: Partitions that `split` may make; beyond, a partition takes several ranges, of some SPLIT bytes at most. What opening an archive costs, in bytes.
+TASKS, OPEN = 200, 16 << 10
+#: Rows of one Arrow batch, whose contents together have PIECE bytes and an entry's piece at most.
+BATCH = 1000
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -85,17 +89,15 @@ def archive_at(store: fs.FileSystem, path: str) -> Iterator[zipfile.ZipFile]:
 
 @dataclass
 class Entries(InputPartition):
-    """Entries `start` to `end` (of the central directory) of an archive."""
+    """Ranges (archive, start, end) of entries by the central directory, which follow each other; end None: to the last one."""
 
-    archive: str
-    start: int
-    end: int | None
+    ranges: list[tuple[str, int, int | None]]
     names: list[str] | None = field(default=None)
     prefix: str = ""
 
-    def __init__(self, archive: str, start: int, end: int | None, names: list[str] | None = None, prefix: str = "") -> None:
-        super().__init__(archive)
-        self.archive, self.start, self.end, self.names, self.prefix = archive, start, end, names, prefix
+    def __init__(self, ranges: list[tuple[str, int, int | None]], names: list[str] | None = None, prefix: str = "") -> None:
+        super().__init__(ranges)
+        self.ranges, self.names, self.prefix = ranges, names, prefix
 
     def wants(self, name: str) -> bool:
         return safe(name) and (self.names is None or name in self.names) and name.startswith(self.prefix)
@@ -105,7 +107,7 @@ class ArchiveSource(DataSource):
     """spark.read.format("archive").load(folder or file): a row for each entry, or for each piece of its content.
 
     Options: content (true: the bytes too), entry (that one alone), pattern (a glob of archive names),
-    split (packed bytes of a partition), mode (FAILFAST, the default, or PERMISSIVE: a broken archive gives one row
+    split (packed bytes of a partition, as long as that makes no more than TASKS of them), mode (FAILFAST, the default, or PERMISSIVE: a broken archive gives one row
     with `error`). Entries whose names leave the archive's folder are dropped. Filters on entry_name (=, IN, LIKE 'x%')
     reach the source: other entries aren't read.
     """
@@ -149,7 +151,10 @@ class ArchiveReader(DataSourceReader):
         self.names = names if self.names is None else [n for n in self.names if n in names]
 
     def partitions(self) -> list[Entries]:
-        """One for a small archive or for names alone; of a large one, whose directory is read here, one for each `split` bytes."""
+        """One for a small archive or for names alone; of a large one, whose directory is read here, one for each `split` bytes.
+
+        Where these would be more than TASKS, larger ranges are planned and several of them, of several archives, are one partition.
+        """
         import fnmatch
 
         store, path = opened(self.root)
@@ -157,48 +162,69 @@ class ArchiveReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.root)
         found = [info] if info.is_file else sorted((i for i in store.get_file_info(fs.FileSelector(path, recursive=True)) if i.is_file), key=lambda i: i.path)
-        out = []
+        found = [i for i in found if info.is_file or fnmatch.fnmatch(i.base_name, self.pattern)]
+        split, ranges = max(self.split, min(SPLIT, sum(i.size for i in found) // TASKS)), []
         for i in found:
-            if info.is_file or fnmatch.fnmatch(i.base_name, self.pattern):
-                out += self._ranges(store, i) if self.content and self.names is None and i.size > self.split else [(i.path, 0, None)]
-        return [Entries(*r, self.names, self.prefix) for r in out]
+            whole = not self.content or self.names is not None
+            ranges += [(i.path, 0, None, 0 if whole else i.size)] if whole or i.size <= split else self._ranges(store, i, split)
+        return [Entries(r, self.names, self.prefix) for r in self._dealt(ranges)]
 
-    def _ranges(self, store: fs.FileSystem, info: fs.FileInfo) -> list[tuple[str, int, int | None]]:
+    @staticmethod
+    def _dealt(ranges: list[tuple[str, int, int | None, int]]) -> list[list[tuple[str, int, int | None]]]:
+        """The ranges (with their bytes) of each partition."""
+        if len(ranges) <= TASKS:
+            return [[r[:3]] for r in ranges]
+        total, out, held = sum(r[3] + OPEN for r in ranges), {}, 0
+        tasks = max(TASKS, -(-total // SPLIT))
+        for *r, size in ranges:
+            out.setdefault(held * tasks // total, []).append(tuple(r))
+            held += size + OPEN
+        return list(out.values())
+
+    def _ranges(self, store: fs.FileSystem, info: fs.FileInfo, split: int) -> list[tuple[str, int, int | None, int]]:
         out, start, held = [], 0, 0
         try:
             with archive_at(store, info.path) as archive:
                 for k, x in enumerate(archive.infolist()):
-                    if held and held + x.compress_size > self.split:
-                        out.append((info.path, start, k))
+                    if held and held + x.compress_size > split:
+                        out.append((info.path, start, k, held))
                         start, held = k, 0
                     held += x.compress_size
         except zipfile.BadZipFile:
-            return [(info.path, 0, None)]  # read() tells it
-        return [*out, (info.path, start, None)]
+            return [(info.path, 0, None, info.size)]  # read() tells it
+        return [*out, (info.path, start, None, held)]
 
     def read(self, partition: Entries | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # of a folder without archives
             return
         store, _ = opened(self.root)
-        try:
-            with archive_at(store, partition.archive) as archive:
-                for k, x in enumerate(archive.infolist()[partition.start : partition.end], partition.start):
-                    if partition.wants(x.filename):
-                        yield from self._rows(partition.archive, k, archive, x)
-        except (zipfile.BadZipFile, EOFError, OSError, NotImplementedError, RuntimeError) as e:
-            if not self.permissive:
-                raise
-            yield self._batch([(partition.archive, *[None] * 8, f"{type(e).__name__}: {e}")])
-
-    def _rows(self, path: str, k: int, archive: zipfile.ZipFile, x: zipfile.ZipInfo) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for path, start, end in partition.ranges:
+            try:
+                with archive_at(store, path) as archive:
+                    for k, x in enumerate(archive.infolist()[start:end], start):
+                        for row in self._rows(path, k, archive, x) if partition.wants(x.filename) else ():
+                            rows.append(row)
+                            size += len(row[-2] or b"")
+                            if len(rows) == BATCH or size >= PIECE:
+                                yield self._batch(rows)
+                                rows, size = [], 0
+            except (zipfile.BadZipFile, EOFError, OSError, NotImplementedError, RuntimeError) as e:
+                if not self.permissive:
+                    raise
+                rows.append((path, *[None] * 8, f"{type(e).__name__}: {e}"))
+        if rows:
+            yield self._batch(rows)
+
+    def _rows(self, path: str, k: int, archive: zipfile.ZipFile, x: zipfile.ZipInfo) -> Iterator[tuple]:
         facts = (path, k, x.filename, x.is_dir(), x.file_size, x.compress_size, x.CRC)
         if not self.content or x.is_dir():
-            yield self._batch([(*facts, 0, None, None)])
+            yield (*facts, 0, None, None)
             return
         with archive.open(x) as body:  # checks the CRC at the end
             piece, data = 0, body.read(PIECE)
             while data or piece == 0:
-                yield self._batch([(*facts, piece, data, None)])
+                yield (*facts, piece, data, None)
                 piece, data = piece + 1, body.read(PIECE)
 
     @staticmethod

@@ -133,3 +133,20 @@ def test_pieces_are_one_file(spark, tmp_path):
     rows = spark.createDataFrame([("a", b"1", 0), ("a", b"2", 1), ("b", b"3", 0)], "path string, content binary, piece int").coalesce(1)
     organize.write_files(rows, str(tmp_path / "out"))
     assert tree(tmp_path / "out") == {"a": b"12", "b": b"3"}
+
+
+def test_very_many_ranges_are_dealt_to_a_bounded_number_of_tasks(tmp_path, monkeypatch):
+    """Every entry is read once, in order, and a broken archive costs only its own rows."""
+    for i in range(60):
+        with zipfile.ZipFile(tmp_path / f"a{i:02}.zip", "w") as z:
+            for k in range(8):
+                z.writestr(f"e{k}", os.urandom(1000 * (i % 5 + 1)))
+    (tmp_path / "a30x.zip").write_bytes(b"PK no archive")
+    monkeypatch.setattr(stores, "TASKS", 10)
+    for content in ("true", "false"):
+        reader = stores.ArchiveReader({"path": str(tmp_path), "content": content, "split": "1", "mode": "PERMISSIVE"})
+        parts = reader.partitions()
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert len(parts) <= 10 and [(os.path.basename(r["archive"]), r["entry_name"]) for r in rows if not r["error"]] == [(f"a{i:02}.zip", f"e{k}") for i in range(60) for k in range(8)]
+        assert [os.path.basename(r["archive"]) for r in rows if r["error"]] == ["a30x.zip"]
+        assert content == "false" or all(len(r["content"]) == r["size"] for r in rows if not r["error"])
