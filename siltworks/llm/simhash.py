@@ -18,11 +18,11 @@ BLOCK fingerprints is dealt to blocks of them and every two blocks meet in a gro
 unbounded group and no pair is lost.
 
 For filtering (keep_one) a node is a set of distinct shingles, so texts of one node have similarity 1, and its fingerprint
-is the vote of the distinct shingles, so that a repeated line counts once. Nodes whose fingerprints are connected within
-KEEP_RADIUS bits, found by steps 1 to 5, meet in a group. A fingerprint of few shingles changes in many bits with one of
-them, so nodes meet in bands of MinHash values too: two sets share a value with a chance of exactly their Jaccard
+is the vote of the distinct shingles, so that a repeated line counts once. Steps 1 to 4 give the links within KEEP_RADIUS
+bits. A fingerprint of few shingles changes in many bits with one of them, so nodes meet
+in bands of MinHash values too: two sets share a value with a chance of exactly their Jaccard
 similarity, whatever their sizes. Every link is verified by the exact similarity. Nodes that meet in
-a group are compared with the smallest and largest node there, which costs one row a node. The pairs left in groups
+a band are compared with the smallest and largest node there, which costs one row a node. The pairs left in groups
 that this doesn't connect are compared where the shingles of their documents meet, in blocks of bounded size; the task
 that holds two blocks verifies their pairs exactly and sends out a link for each two groups that it connects.
 
@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Near-duplicates for filtering: words in a shingle, least Jaccard similarity, bits between fingerprints whose nodes meet.
+#: Near-duplicates for filtering: words in a shingle, least Jaccard similarity, bits between fingerprints of candidates.
 KEEP_SIZE, KEEP_SHARE, KEEP_RADIUS = 5, 0.8, 3
 #: Bands and MinHash values in each. Sets of similarity 0.8 share no band with a chance of (1 - 0.8^5)^40 = 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
@@ -495,23 +495,17 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def print_groups(nodes: DataFrame, radius: int) -> DataFrame:
-    """(node, group): nodes of one group have fingerprints (f0) that are connected within radius bits."""
-    prints = nodes.filter("f0 IS NOT NULL").select("node", "f0")
-    roots = stars(links(checkpointed(prints.select(F.col("f0").alias("node"), "f0").distinct()), radius))
-    return prints.join(respread(roots, "a"), F.col("f0") == F.col("a"), "left").select("node", F.xxhash64(F.coalesce("b", "f0")).alias("group"))
-
-
 def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of all nodes (node, first, f0, bands) connected over near-duplicate pairs, as stars() gives them."""
     spark = nodes.sparkSession
-    bands = nodes.select("node", F.explode("bands").alias("group")).unionByName(print_groups(nodes, KEEP_RADIUS))
+    near = checkpointed(links(nodes.filter("f0 IS NOT NULL").select("node", "f0"), KEEP_RADIUS))
+    bands = nodes.select("node", F.explode("bands").alias("group"))
     ends = bands.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("n > 1")
     met = checkpointed(bands.join(ends, "group"))
-    sets = shingle_sets(met.select("node").distinct(), nodes, docs, KEEP_SIZE)
+    sets = shingle_sets(met.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), nodes, docs, KEEP_SIZE)
     release_shuffles(spark)
     first = met.groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b")).filter("a <> b")
-    roots = stars(similar(first, sets, KEEP_SHARE))
+    roots = stars(similar(near.unionByName(first).distinct(), sets, KEEP_SHARE))
     release_shuffles(spark)
     star = met.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     roots = stars(roots.unionByName(similar(checkpointed(across(star.distinct(), roots)), sets, KEEP_SHARE)))
