@@ -116,17 +116,18 @@ def _bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
     """Number of nodes and the 64 x 64 counts of bits of f0 that are set together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((64, 64), np.int64)
+        total, rows = np.zeros((64, 64), np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             bits = np.unpackbits(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
             total += (bits.T @ bits).astype(np.int64)
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total.ravel()[cells], pa.int64())], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*cells, 64 * 64], pa.int64()), pa.array([*total.ravel()[cells], rows], pa.int64())], names=["cell", "n"])
 
-    both = np.zeros(64 * 64, np.int64)
+    both = np.zeros(64 * 64 + 1, np.int64)  # the last is the number of nodes
     for r in nodes.select("f0").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         both[r[0]] = r[1]
-    return nodes.count(), both.reshape(64, 64)
+    return int(both[-1]), both[:-1].reshape(64, 64)
 
 
 def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
@@ -499,6 +500,7 @@ def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of all nodes (node, first, f0, bands) connected over near-duplicate pairs, as stars() gives them."""
     spark = nodes.sparkSession
     near = checkpointed(links(nodes.filter("f0 IS NOT NULL").select("node", "f0"), KEEP_RADIUS))
+    release_shuffles(spark)
     bands = nodes.select("node", F.explode("bands").alias("group"))
     ends = bands.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("n > 1")
     met = checkpointed(bands.join(ends, "group"))
@@ -508,11 +510,14 @@ def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     roots = stars(similar(near.unionByName(first).distinct(), sets, KEEP_SHARE))
     release_shuffles(spark)
     star = met.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    roots = stars(roots.unionByName(similar(checkpointed(across(star.distinct(), roots)), sets, KEEP_SHARE)))
+    apart = checkpointed(across(star.distinct(), roots))
+    if apart.limit(1).count():
+        release_shuffles(spark)
+        roots = stars(roots.unionByName(similar(apart, sets, KEEP_SHARE)))
     release_shuffles(spark)
     settled = checkpointed(settle(met.filter("n > 2").select("node", "group"), sets, roots))
     release_shuffles(spark)
-    return stars(roots.unionByName(settled))
+    return stars(roots.unionByName(settled)) if settled.limit(1).count() else roots
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
