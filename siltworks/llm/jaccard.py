@@ -291,12 +291,17 @@ def candidates(sent: DataFrame, percent: int, small: int = SMALL) -> tuple[DataF
     row = F.struct("node", "n", "pos", "s0", "s1")
     # Most shingles that share a cell are in one set alone: they go before the wide rows are grouped.
     shared = checkpointed(sent.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1").select("shingle"))
-    sent = checkpointed(sent.join(few(shared), "shingle", "left_semi").dropDuplicates(["shingle", "node"]))
-    ends = sent.groupBy("shingle").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("met"))
-    met = checkpointed(sent.join(respread(ends.filter("low.node <> high.node"), "shingle"), "shingle").select("shingle", row.alias("x"), "low", "high", "met"))
+    release_shuffles(sent.sparkSession)
+    # One shuffle of the wide rows serves the lookup, the duplicates and the ends, as all of them go by the shingle.
+    own = sent.join(few(shared), "shingle", "left_semi").dropDuplicates(["shingle", "node"])
+    ends = own.groupBy("shingle").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("met")).filter("low.node <> high.node")
+    crowd = [F.when(F.col("met") > small, F.col(c)).alias(c) for c in ("low", "high")]
+    met = checkpointed(own.join(ends, "shingle").select("shingle", row.alias("x"), *crowd, "met"))
+    release_shuffles(sent.sparkSession)
     few_met, many = met.filter(F.col("met") <= small), met.filter(F.col("met") > small)
-    left, right = few_met.select("shingle", "x"), few_met.select("shingle", F.col("x").alias("y"))
-    close = left.join(right, "shingle").filter("x.node < y.node").filter(filters("x", "y", percent)).select(*pair("x", "y"))
+    listed = few_met.groupBy("shingle").agg(F.collect_list("x").alias("xs"))  # `small` rows at most
+    close = listed.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y"))
+    close = close.filter("x.node < y.node").filter(filters("x", "y", percent)).select(*pair("x", "y"))
     star = many.select("x", F.explode(F.array("low", "high")).alias("y")).filter("x.node <> y.node").filter(filters("x", "y", percent)).select(*pair("x", "y"))
     # Shingles with the same nodes make the same pairs: one of them is enough.
     told = many.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x.node")).alias("h"), F.min("x.node").alias("least"), F.max("x.node").alias("most"))
@@ -312,7 +317,9 @@ def connect(docs: DataFrame, nodes: DataFrame, size: int, percent: int, repeated
     shipped = spark.sparkContext.broadcast(rarity(texts, size))
     sent = checkpointed(prefixes(texts, size, percent, shipped))
     shipped.destroy()
+    release_shuffles(spark)
     pairs, crowded = candidates(sent, percent)
+    del sent  # its checkpoint goes with the next collection
     release_shuffles(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
     sets = sets_of(ends, nodes, docs, size, repeated)

@@ -2,6 +2,7 @@
 
 import functools
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -79,3 +80,25 @@ def test_hashes_of_words_in_bulk_equal_those_of_single_texts():
     single = [next(jaccard.shingle_sets(pa.array([t], pa.string()), 5)).tolist() for t in texts]
     sliced = [x.tolist() for x in jaccard.shingle_sets(pa.array(["skipped", *texts]).slice(1), 5)]
     assert bulk == single == sliced and [len(x) for x in bulk] == [len(shingles(t)) for t in texts]
+
+
+def test_wide_rows_are_shuffled_once_before_they_meet(spark, monkeypatch):
+    """Candidates whose lookups are too large to broadcast: each shuffle by the shingle is made once and used again."""
+    made, real = [], jaccard.checkpointed
+
+    def recorded(df):
+        out = real(df)
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        made.append(len(re.findall(r"(?<!Reused)Exchange hashpartitioning\(shingle", plan)))
+        return out
+
+    monkeypatch.setattr(jaccard, "checkpointed", recorded)
+    monkeypatch.setattr(jaccard, "few", lambda df: df)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = list(enumerate(family(random.Random(4), 40, 80, 3) + family(random.Random(5), 5, 80, 3)))
+        assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sum(made) <= 7, made
