@@ -9,7 +9,7 @@ import string
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Everything but digits, a-z and non-ASCII separates words (after lower-casing A-Z).
@@ -55,9 +55,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a checkpointed table of narrow rows, to be broadcast if a count shows no more than `rows` of them."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as checkpointed() gives it and its number of rows, which the same job counts.
+
+    Spark's driver keeps the plan and the tasks of every query, so a count of its own costs it memory.
+    """
+    seen = Observation()
+    return checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS, n: int | None = None) -> DataFrame:
+    """df, a checkpointed table of narrow rows, to be broadcast if a count (n, if it is known) shows no more than `rows` of them."""
+    return F.broadcast(df) if (df.limit(rows + 1).count() if n is None else n) <= rows else df
 
 
 def respread(df: DataFrame, key: str) -> DataFrame:

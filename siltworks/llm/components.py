@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import checkpointed, respread
+from siltworks.llm.common import checkpointed, release_shuffles, respread
 
 
 def settled(edges: DataFrame) -> bool:
@@ -31,4 +31,5 @@ def stars(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(respread(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         now = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        release_shuffles(now.sparkSession)
     return now

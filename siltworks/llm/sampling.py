@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import checkpointed, crc_mod
+from siltworks.llm.common import checkpointed, crc_mod, release_shuffles
 
 #: Bytes of features that a sample may have, half of them for each class, and of one document's; beyond, rows are left out of the fit.
 SAMPLE_BYTES, ROW_BYTES = 48 << 20, 1 << 20
+#: Parts in which a sample comes to the driver.
+PARTS = 8
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], per_class: int, features: Callable[[str], bytes], sample_bytes: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
@@ -39,5 +41,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, fold: tupl
     made = checkpointed(chosen.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary"))
     so_far = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sized = made.select("doc_id", "label", F.sum(F.octet_length("features")).over(so_far).alias("upto")).filter(F.col("upto") <= sample_bytes // 2)
-    rows = made.join(F.broadcast(sized), ["doc_id", "label"]).select("doc_id", "label", "features").collect()
+    # A part at a time: collected at once, the sample takes the driver's JVM several times its bytes.
+    rows = list(made.join(F.broadcast(sized), ["doc_id", "label"]).select("doc_id", "label", "features").coalesce(PARTS).toLocalIterator())
+    release_shuffles(docs.sparkSession)
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[0], r[2]))]

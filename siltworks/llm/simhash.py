@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import ASCII_LOWER, checkpointed, few, free_name, release_shuffles, respread, small_batches, text_or_empty
+from siltworks.llm.common import ASCII_LOWER, checkpointed, counted, few, free_name, release_shuffles, respread, small_batches, text_or_empty
 from siltworks.llm.components import stars
 
 #: Fingerprints that may meet in one group of a key.
@@ -403,8 +403,8 @@ def banded(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, shingles): the distinct shingles' hashes of the first document of each node in ends."""
-    wanted = checkpointed(ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")))
-    texts = docs.select("doc_id", "text", text_hash().alias("hash")).join(few(wanted), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("row")))
+    wanted, n = counted(ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")))
+    texts = docs.select("doc_id", "text", text_hash().alias("hash")).join(few(wanted, n=n), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -510,14 +510,14 @@ def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     roots = stars(similar(near.unionByName(first).distinct(), sets, KEEP_SHARE))
     release_shuffles(spark)
     star = met.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    apart = checkpointed(across(star.distinct(), roots))
-    if apart.limit(1).count():
+    apart, n = counted(across(star.distinct(), roots))
+    if n:
         release_shuffles(spark)
         roots = stars(roots.unionByName(similar(apart, sets, KEEP_SHARE)))
     release_shuffles(spark)
-    settled = checkpointed(settle(met.filter("n > 2").select("node", "group"), sets, roots))
+    settled, n = counted(settle(met.filter("n > 2").select("node", "group"), sets, roots))
     release_shuffles(spark)
-    return stars(roots.unionByName(settled)) if settled.limit(1).count() else roots
+    return stars(roots.unionByName(settled)) if n else roots
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """The filtering near-duplicate stage against all pairs by exact Jaccard similarity."""
 
+import sys
+import zlib
+
 import numpy as np
+import pytest
 import xxhash
 
-from siltworks.llm import simhash
+from siltworks.llm import sampling, simhash
 
 
 def exact_left(texts, share=0.8):
@@ -74,3 +78,23 @@ def test_fingerprints_alone_bring_near_copies_together(spark):
     roots = dict(map(tuple, simhash.connect(nodes, docs).collect()))
     assert len(near) > 12 and all(roots.get(a, a) == roots.get(b, b) for a, b in near)
     assert len({roots.get(r.node, r.node) for r in made}) >= 12
+
+
+def test_rows_are_counted_by_the_jobs_that_make_them(spark, monkeypatch):
+    """The driver keeps every query's plan and tasks: of the counts only those of sweeps and repeated rows are queries of their own."""
+    texts = mixed_texts()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    own, real = [], type(docs).count
+    monkeypatch.setattr(type(docs), "count", lambda df: own.append(sys._getframe(1).f_code.co_name) or real(df))
+    assert {r[0] for r in simhash.keep_one(docs).collect()} == exact_left(texts)
+    assert set(own) <= {"settled", "keep_one"}
+
+
+def test_a_sample_comes_to_the_driver_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * 9) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    whole = lambda df: pytest.fail("the sample was collected at once")
+    monkeypatch.setattr(type(docs), "collect", whole)
+    got = sampling.labelled_features(docs, labels, "quality", (4, 2), 40, str.encode)
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(got) == sorted((i % 2, f"text {i} ".encode() * 9) for i in kept)
