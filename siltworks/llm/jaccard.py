@@ -6,7 +6,7 @@ y share a shingle among the first |x| - that + 1 of x and likewise of y (their p
 
 1. count shingles: each task counts into an array of CELLS cells, the arrays are added up by segments and broadcast as
    classes of four bits (the size of the array is fixed; fuller cells weaken the order, never the result);
-2. send the prefixes, one of each distinct set and task, leaving out shingles that stand alone in their cell: those are
+2. send the prefixes of one document of each distinct set, leaving out shingles that stand alone in their cell: those are
    in one document;
 3. join nodes (distinct sets) on prefix shingles under the length filter, the positional filter (what can still follow
    after both positions is enough) and the suffix filter (the parts after both positions, counted in 8 fixed ranges of
@@ -219,7 +219,10 @@ def ranges(suffixes: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, size: int, percent: int, shipped: Broadcast) -> DataFrame:
-    """(shingle, node, n, pos, s0, s1): the prefix of each distinct set, once a task; s0, s1: the counts of what follows pos by ranges of hashes."""
+    """(shingle, node, n, pos, s0, s1): the prefix of each distinct set; s0, s1: the counts of what follows pos by ranges of hashes.
+
+    Texts of one set give rows once a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, packed = set(), np.frombuffer(shipped.value, np.uint8)
@@ -290,19 +293,18 @@ def candidates(sent: DataFrame, percent: int, small: int = SMALL) -> tuple[DataF
     """(pairs a, b that pass the filters, members node, group of shingles with over `small` nodes) of prefix rows."""
     row = F.struct("node", "n", "pos", "s0", "s1")
     # Most shingles that share a cell are in one set alone: they go before the wide rows are grouped.
-    shared = checkpointed(sent.groupBy("shingle").agg(F.count("*").alias("rows")).filter("rows > 1").select("shingle"))
+    shared = checkpointed(sent.groupBy("shingle").agg(F.count("*").alias("met")).filter("met > 1"))
     release_shuffles(sent.sparkSession)
-    # One shuffle of the wide rows serves the lookup, the duplicates and the ends, as all of them go by the shingle.
-    own = sent.join(few(shared), "shingle", "left_semi").dropDuplicates(["shingle", "node"])
-    ends = own.groupBy("shingle").agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("met")).filter("low.node <> high.node")
-    crowd = [F.when(F.col("met") > small, F.col(c)).alias(c) for c in ("low", "high")]
-    met = checkpointed(own.join(ends, "shingle").select("shingle", row.alias("x"), *crowd, "met"))
+    # The lookup is made once and gives the number of sets too, so that only crowded shingles need their ends.
+    met = checkpointed(sent.join(few(shared), "shingle").select("shingle", row.alias("x"), "met"))
     release_shuffles(sent.sparkSession)
     few_met, many = met.filter(F.col("met") <= small), met.filter(F.col("met") > small)
     listed = few_met.groupBy("shingle").agg(F.collect_list("x").alias("xs"))  # `small` rows at most
     close = listed.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y"))
     close = close.filter("x.node < y.node").filter(filters("x", "y", percent)).select(*pair("x", "y"))
-    star = many.select("x", F.explode(F.array("low", "high")).alias("y")).filter("x.node <> y.node").filter(filters("x", "y", percent)).select(*pair("x", "y"))
+    ends = many.groupBy("shingle").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low.node <> high.node")
+    star = many.join(respread(ends, "shingle"), "shingle").select("x", F.explode(F.array("low", "high")).alias("y"))
+    star = star.filter("x.node <> y.node").filter(filters("x", "y", percent)).select(*pair("x", "y"))
     # Shingles with the same nodes make the same pairs: one of them is enough.
     told = many.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x.node")).alias("h"), F.min("x.node").alias("least"), F.max("x.node").alias("most"))
     one = told.groupBy("n", "h", "least", "most").agg(F.min("shingle").alias("group")).select("group")
@@ -315,7 +317,9 @@ def connect(docs: DataFrame, nodes: DataFrame, size: int, percent: int, repeated
     spark, share = docs.sparkSession, percent / 100 - 1e-12  # shares of sets differ by more, and equality is enough
     texts = docs.select(text_or_empty().alias("text"))
     shipped = spark.sparkContext.broadcast(rarity(texts, size))
-    sent = checkpointed(prefixes(texts, size, percent, shipped))
+    # Copies of a set don't go again from each task that has one; other rows of a chosen doc_id may, which changes nothing.
+    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(few(nodes.select("first")), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    sent = checkpointed(prefixes(chosen.select("text"), size, percent, shipped))
     shipped.destroy()
     release_shuffles(spark)
     pairs, crowded = candidates(sent, percent)

@@ -102,3 +102,26 @@ def test_wide_rows_are_shuffled_once_before_they_meet(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert sum(made) <= 7, made
+
+
+def test_copies_are_sent_once_and_the_lookup_is_made_once(spark, monkeypatch):
+    """Copies lie in several tasks; the lookup is too large to broadcast."""
+    sent, plans, real, candidates = [], [], jaccard.checkpointed, jaccard.candidates
+
+    def recorded(df):
+        out = real(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return out
+
+    monkeypatch.setattr(jaccard, "candidates", lambda rows, *a: sent.append(rows) or candidates(rows, *a))
+    monkeypatch.setattr(jaccard, "checkpointed", recorded)
+    monkeypatch.setattr(jaccard, "few", lambda df: df)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = list(enumerate(family(random.Random(6), 6, 60, 3) * 20))
+        assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sent[0].count() == sent[0].dropDuplicates(["shingle", "node"]).count()
+    assert max(len(re.findall(r"Join \[shingle#\d+L\]", p)) for p in plans) == 1
